@@ -80,6 +80,5 @@ METRIC_COLUMNS = {
     "throughput": "events_per_second_median",
 }
 
-# |electric charge| in thirds of e by |PDG id|, for stable and near-stable
-# particles that appear with final status; other ids count as neutral.
-CHARGED_PDG = (11, 13, 15, 211, 321, 411, 431, 521, 541, 2212, 3112, 3222, 3312, 3334, 24)
+# |PDG id| of charged particles that can appear with final status; others count as neutral.
+CHARGED_PDG = (11, 13, 15, 24, 211, 321, 411, 431, 521, 541, 2212, 3112, 3222, 3312, 3334)

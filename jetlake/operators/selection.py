@@ -47,7 +47,7 @@ def _exclusive(stop: Column) -> Column:
 def by_pt(jets: Column) -> Column:
     """Hardest first; equal pt keeps the given order."""
     keyed = F.transform(jets, lambda j, i: F.struct((-_pt(j)).alias("k"), i.alias("i"), j.alias("j")))
-    return F.transform(F.array_sort(keyed), lambda x: x["j"])
+    return F.transform(F.sort_array(keyed), lambda x: x["j"])
 
 
 def select_jets(clustered: DataFrame, ptmin=None, dcut=None, njets=None) -> DataFrame:
@@ -72,7 +72,7 @@ def select_jets(clustered: DataFrame, ptmin=None, dcut=None, njets=None) -> Data
             F.raise_error(F.format_string(
                 f"{njets} exclusive jets requested from an event with %d particles", inputs)),
         ).otherwise(_exclusive(F.greatest(2 * inputs - F.lit(int(njets)), inputs)))
-    rest = [c for c in clustered.columns if c not in ("jets", "history", "membership")]
+    rest = [c for c in clustered.columns if c not in ("jets", "history", "membership", "particles")]
     return clustered.select(*rest, by_pt(chosen).alias("jets"))
 
 

@@ -14,20 +14,35 @@ from jetlake.operators import clustering, selection
 METHODS = ("filter", "trim", "mass_drop", "soft_drop")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once and used many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _beam_jets(ptmin) -> Column:
+    """The jets that met the beam with pt >= ptmin: number, history entry, momentum."""
+    numbered = F.transform(selection.beam_entries(), lambda x, i: F.struct(
+        i.alias("jet_id"), x.alias("entry"), selection._jet_of(x).alias("jet")))
+    return F.filter(numbered, lambda j: kin.pt(j["jet"]["px"], j["jet"]["py"]) >= F.lit(float(ptmin)))
+
+
 def constituents(clustered: DataFrame, ptmin=2.0, particles="particles") -> DataFrame:
     """One row per inclusive jet with pt >= ptmin, with its constituents as ``particles``.
 
-    Jets are numbered by ``jet_id`` in the order they met the beam.
+    Jets are numbered by ``jet_id`` in the order they met the beam.  Members are
+    gathered before the jets become rows, so no row carries a whole event.
     """
     keys = [c for c in clustered.columns if c not in ("jets", "history", "membership", particles)]
-    found = F.transform(selection.beam_entries(), selection._jet_of)
     momenta = F.transform(F.col(particles), lambda p: F.struct(*[p[c].alias(c) for c in clustering.COMPONENTS]))
     members = F.arrays_zip(F.col("membership").alias("owner"), momenta.alias("p"))
-    rows = clustered.select(*keys, members.alias("_members"), F.posexplode(found).alias("jet_id", "jet"))
-    own = F.transform(
-        F.filter("_members", lambda m: m["owner"] == F.col("jet_id")), lambda m: m["p"])
-    return (rows.where(kin.pt(F.col("jet.px"), F.col("jet.py")) >= F.lit(float(ptmin)))
-            .select(*keys, "jet_id", "jet", own.alias("particles")))
+
+    def own(jet_id):
+        return F.transform(F.filter("_members", lambda m: m["owner"] == jet_id), lambda m: m["p"])
+
+    rows = clustered.select(*keys, members.alias("_members"), _beam_jets(ptmin).alias("_found"))
+    rows = rows.select(*keys, F.explode(F.transform("_found", lambda j: F.struct(
+        j["jet_id"].alias("jet_id"), j["jet"].alias("jet"), own(j["jet_id"]).alias("particles")))).alias("j"))
+    return rows.select(*keys, "j.*")
 
 
 def _groomed(rows: DataFrame, momentum: Column) -> DataFrame:
@@ -49,58 +64,72 @@ def jet_trim(jets: DataFrame, R=0.3, fraction=0.3, algorithm="CA") -> DataFrame:
     return _groomed(subjets, kin.total(kept))
 
 
-def _parents(entry: Column):
-    """The two objects merged into a history entry, as (number, momentum) pairs."""
-    step = F.get(F.col("history"), entry)
-    return [(step[c], selection._jet_of(step[c])) for c in ("parent1", "parent2")]
+def _measure(clustered: DataFrame) -> DataFrame:
+    """Add ``_m``: the kinematics of every object, looked up on each walk step."""
+    return clustered.withColumn("_m", F.transform("jets", lambda j: F.struct(
+        kin.pt(j["px"], j["py"]).alias("pt"), kin.rapidity(*kin.of(j)).alias("rap"),
+        kin.phi(j["px"], j["py"]).alias("phi"), kin.mass2(*kin.of(j)).alias("m2"))))
+
+
+def _look(entry: Column) -> Column:
+    return F.get(F.col("_m"), F.get(F.col("history"), entry)["jet"])
+
+
+def _distance2(a: Column, b: Column) -> Column:
+    dphi = F.abs(a["phi"] - b["phi"])
+    folded = F.least(dphi, F.lit(kin.TWO_PI) - dphi)
+    dy = a["rap"] - b["rap"]
+    return dy * dy + folded * folded
 
 
-def _walk(start: Column, accept, harder) -> Column:
-    """Undo merges from ``start``, following the harder branch until one is accepted.
+def _walk(start: Column, accept, size: str) -> Column:
+    """Undo merges from ``start``, following the branch with more ``size``, until accepted.
 
     The state is the current entry and whether the walk has ended: 0 still
     walking, 1 accepted, 2 nothing left to undo.  A jet of n constituents has at
     most n - 1 merges, so the history length bounds the loop.
     """
-    def advance(state, _):
-        entry = state["entry"]
-        (a, ja), (b, jb) = _parents(entry)
-        first = harder(ja, jb)
-        lead, other = F.when(first, ja).otherwise(jb), F.when(first, jb).otherwise(ja)
-        next_entry = F.when(first, a).otherwise(b)
-        whole = selection._jet_of(entry)
-        return F.when(state["ended"] > 0, state).when(
-            F.get(F.col("history"), entry)["parent1"] < 0,
-            F.struct(entry.alias("entry"), F.lit(2).alias("ended")),
-        ).when(
-            accept(whole, lead, other), F.struct(entry.alias("entry"), F.lit(1).alias("ended")),
-        ).otherwise(F.struct(next_entry.alias("entry"), F.lit(0).alias("ended")))
-
-    zero = F.struct(start.alias("entry"), F.lit(0).alias("ended"))
-    loops = F.sequence(F.lit(0), (F.size("history") / 2).cast("int"))
-    end = F.aggregate(loops, zero, advance)
-    return F.when(end["ended"] == 1, selection._jet_of(end["entry"]))
+    def state(entry, ended):
+        return F.struct(entry.alias("entry"), F.lit(ended).alias("ended"))
+
+    def undo(entry, step):
+        pair = F.struct(step["parent1"].alias("a"), _look(step["parent1"]).alias("ja"),
+                        step["parent2"].alias("b"), _look(step["parent2"]).alias("jb"))
+
+        def decide(x):
+            first = x["ja"][size] >= x["jb"][size]
+            lead, other = F.when(first, x["ja"]).otherwise(x["jb"]), F.when(first, x["jb"]).otherwise(x["ja"])
+            onward = F.struct(F.when(first, x["a"]).otherwise(x["b"]).alias("entry"),
+                              lead.alias("lead"), other.alias("other"), _look(entry).alias("whole"))
+            return _let(onward, lambda o: F.when(
+                accept(o["whole"], o["lead"], o["other"]), state(entry, 1)).otherwise(state(o["entry"], 0)))
 
+        return _let(pair, decide)
 
-def _min_pt(a: Column, b: Column) -> Column:
-    return F.least(kin.pt(a["px"], a["py"]), kin.pt(b["px"], b["py"]))
+    def advance(now, _):
+        return F.when(now["ended"] > 0, now).otherwise(_let(
+            F.get(F.col("history"), now["entry"]),
+            lambda step: F.when(step["parent1"] < 0, state(now["entry"], 2)).otherwise(
+                undo(now["entry"], step))))
+
+    loops = F.sequence(F.lit(0), (F.size("history") / 2).cast("int"))
+    return F.aggregate(loops, state(start, 0), advance, lambda end: F.when(
+        end["ended"] == 1, selection._jet_of(end["entry"])))
 
 
 def mass_drop(clustered: DataFrame, mu=0.67, y=0.09, ptmin=2.0) -> DataFrame:
     """Mass-drop tagging of the inclusive jets; ``groomed`` is NULL for untagged jets."""
-    def m2(j):
-        return kin.mass2(*kin.of(j))
-
     def accept(whole, lead, other):
-        scale = F.pow(_min_pt(lead, other), F.lit(2.0)) * kin.delta_r2(lead, other)
-        return (m2(lead) < m2(whole) * F.lit(mu * mu)) & (scale > m2(whole) * F.lit(float(y)))
+        softer = F.least(lead["pt"], other["pt"])
+        return ((lead["m2"] < whole["m2"] * F.lit(mu * mu))
+                & (softer * softer * _distance2(lead, other) > whole["m2"] * F.lit(float(y))))
 
     keys = [c for c in clustered.columns if c not in ("jets", "history", "membership", "particles")]
-    tagged = F.transform(selection.beam_entries(), lambda x: F.struct(
-        selection._jet_of(x).alias("jet"),
-        _walk(x, accept, lambda a, b: m2(a) >= m2(b)).alias("groomed")))
-    rows = clustered.select(*keys, F.posexplode(tagged).alias("jet_id", "t")).select(*keys, "jet_id", "t.*")
-    return rows.where(kin.pt(F.col("jet.px"), F.col("jet.py")) >= F.lit(float(ptmin)))
+    rows = _measure(clustered).withColumn("_found", _beam_jets(ptmin))
+    tagged = F.transform("_found", lambda j: F.struct(
+        j["jet_id"].alias("jet_id"), j["jet"].alias("jet"),
+        _walk(j["entry"], accept, "m2").alias("groomed")))
+    return rows.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.*")
 
 
 def soft_drop(jets: DataFrame, z_cut=0.1, beta=2.0, R0=1.0) -> DataFrame:
@@ -109,21 +138,17 @@ def soft_drop(jets: DataFrame, z_cut=0.1, beta=2.0, R0=1.0) -> DataFrame:
     The hardest jet of the reclustering is declustered; ``groomed`` is NULL when
     no branching passes.
     """
-    again = clustering.cluster(jets, "CA", R0)
-
     def accept(_, lead, other):
-        pts = kin.pt(lead["px"], lead["py"]) + kin.pt(other["px"], other["py"])
-        angle = F.pow(kin.delta_r2(lead, other) / F.lit(R0 * R0), F.lit(beta / 2.0))
-        return _min_pt(lead, other) / pts > F.lit(float(z_cut)) * angle
-
-    def harder(a, b):
-        return kin.pt(a["px"], a["py"]) >= kin.pt(b["px"], b["py"])
+        angle = F.pow(_distance2(lead, other) / F.lit(float(R0 * R0)), F.lit(beta / 2.0))
+        share = F.least(lead["pt"], other["pt"]) / (lead["pt"] + other["pt"])
+        return share > F.lit(float(z_cut)) * angle
 
-    hardest = F.array_min(F.transform(selection.beam_entries(), lambda x, i: F.struct(
-        (-kin.pt(*kin.of(selection._jet_of(x))[:2])).alias("k"), i.alias("i"), x.alias("entry"))))["entry"]
     keys = [c for c in jets.columns if c != "particles"]
-    seeded = again.select(*keys, "history", "jets", hardest.alias("_start"))
-    return seeded.select(*keys, _walk(F.col("_start"), accept, harder).alias("groomed"))
+    again = _measure(clustering.cluster(jets, "CA", R0))
+    hardest = F.array_min(F.transform(selection.beam_entries(), lambda x, i: F.struct(
+        (-_look(x)["pt"]).alias("k"), i.alias("i"), x.alias("entry"))))["entry"]
+    seeded = again.select(*keys, "history", "jets", "_m", hardest.alias("_start"))
+    return seeded.select(*keys, _walk(F.col("_start"), accept, "pt").alias("groomed"))
 
 
 def groom(clustered: DataFrame, method: str, ptmin=2.0, **params) -> DataFrame:

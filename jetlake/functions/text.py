@@ -83,7 +83,7 @@ def number_or_null(text: Column) -> Column:
 
 
 def comma_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def value_label(value: Column, kind: str) -> Column:

@@ -20,7 +20,13 @@ def checked_broadcast(small: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
 
 
 def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
-    """Equi-join where NULL keys match each other; keys appear once, from the left."""
+    """Equi-join where NULL keys match each other; keys appear once, from the left.
+
+    Without keys the right side is the one row of a whole-table aggregate.
+    """
+    if not keys:
+        one = F.lit(0)
+        return join_on(left.withColumn("_all", one), right.withColumn("_all", one), ["_all"], how).drop("_all")
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
@@ -32,12 +38,13 @@ def quantiles(df: DataFrame, keys, values, probs, extra=(), accuracy=20_000) ->
     Returns the keys, ``{value}_n``, ``{value}_q{i}`` for the i-th probability,
     and the ``extra`` aggregates.  Columns of all-NULL groups are NULL.
 
-    Three steps, none of which brings a group together in one place:
+    Three steps, none of which brings a large group together in one place:
     a mergeable sketch brackets every wanted quantile between two values; rows
     outside the brackets are counted, rows inside keep their value and are
     counted by value, both before the shuffle; the running count over the few
-    values left gives the exact order statistics.  A bracket that misses its
-    rank, which the sketch's error bound rules out, is an error and not a guess.
+    values left gives the exact order statistics.  Groups of up to ``accuracy``
+    rows keep all their values.  A bracket that misses its rank, which the
+    sketch's error bound rules out, is an error and not a guess.
     """
     keys, values, probs = list(keys), list(values), list(probs)
     if not keys:
@@ -54,13 +61,15 @@ def quantiles(df: DataFrame, keys, values, probs, extra=(), accuracy=20_000) ->
     def cell(v):
         """Where a value lies: itself inside a bracket, else the next bracket up."""
         x, b = F.col(v).cast("double"), F.col(f"_b_{v}")
-        inside = reduce(lambda a, c: a | c, [(x >= b[i]) & (x <= b[m + i]) for i in range(m)])
+        inside = reduce(lambda a, c: a | c, [(x >= b[i]) & (x <= b[m + i]) for i in range(m)],
+                        b.isNull() & x.isNotNull())
         above = [F.when(b[i] > x, b[i]) for i in range(m)]
         nearest = F.least(*above) if m > 1 else above[0]
         return F.struct(F.lit(values.index(v)).alias("v"), F.when(inside, x).otherwise(nearest).alias("x"),
                         inside.alias("inside"))
 
-    bounds = sketch.select(*keys, *[f"_b_{v}" for v in values])
+    bounds = sketch.select(*keys, *[
+        F.when(F.col(f"{v}_n") > accuracy, F.col(f"_b_{v}")).alias(f"_b_{v}") for v in values])
     slim = df.select(*keys, *values)
     cells = join_on(slim, bounds, keys).select(*keys, F.explode(F.array(*[cell(v) for v in values])).alias("c"))
     counted = (cells.select(*keys, "c.*").where(F.col("x").isNotNull())

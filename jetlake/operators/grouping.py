@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Small sides are broadcast only after their size was counted.
 BROADCAST_ROWS = 200_000
+# Largest group whose values one task may hold to find an exact quantile.
+BUFFER_ROWS = 200_000
 
 
 def checked_broadcast(small: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
@@ -32,13 +34,43 @@ def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def quantiles(df: DataFrame, keys, values, probs, extra=(), accuracy=20_000) -> DataFrame:
+def quantiles(df: DataFrame, keys, values, probs, extra=(), buffer_rows=BUFFER_ROWS) -> DataFrame:
     """Exact quantiles (linear interpolation, NULLs ignored) per group, at any group size.
 
     Returns the keys, ``{value}_n``, ``{value}_q{i}`` for the i-th probability,
     and the ``extra`` aggregates.  Columns of all-NULL groups are NULL.
 
-    Three steps, none of which brings a large group together in one place:
+    The groups are counted first.  If none has more than ``buffer_rows`` rows
+    the built-in aggregate, which buffers the values of a group, does it all in
+    one pass; otherwise see ``large_group_quantiles``.  Wide keys are replaced by
+    a hash while aggregating, if the count shows that it tells all groups apart,
+    so that sorting by group compares one number.
+    """
+    keys, values, probs, extra = list(keys), list(values), list(probs), list(extra)
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn("_g", F.xxhash64(*keys or [F.lit(0)]))
+    if len(keys) > 1:
+        groups = groups.persist()
+    size = groups.agg(F.max("_rows").alias("rows"), F.count("*").alias("n"),
+                      F.count_distinct("_g").alias("hashes")).first()
+    how = built_in_quantiles if (size["rows"] or 0) <= buffer_rows else large_group_quantiles
+    if len(keys) < 2 or size["n"] != size["hashes"]:
+        return how(df, keys, values, probs, extra)
+    found = how(df.withColumn("_g", F.xxhash64(*keys)), ["_g"], values, probs, extra)
+    return groups.drop("_rows").join(found, "_g").drop("_g")
+
+
+def built_in_quantiles(df: DataFrame, keys, values, probs, extra=()) -> DataFrame:
+    """Exact quantiles by the built-in aggregate, for groups of a checked size."""
+    found = df.groupBy(*keys).agg(
+        *[F.count(v).alias(f"{v}_n") for v in values],
+        *[F.percentile(F.col(v).cast("double"), probs).alias(f"_q_{v}") for v in values], *extra)
+    return found.select(
+        *[c for c in found.columns if not c.startswith("_q_")],
+        *[F.get(f"_q_{v}", F.lit(i)).alias(f"{v}_q{i}") for v in values for i in range(len(probs))])
+
+
+def large_group_quantiles(df: DataFrame, keys, values, probs, extra=(), accuracy=20_000) -> DataFrame:
+    """Exact quantiles in three steps that never bring a large group together:
     a mergeable sketch brackets every wanted quantile between two values; rows
     outside the brackets are counted, rows inside keep their value and are
     counted by value, both before the shuffle; the running count over the few
@@ -48,7 +80,8 @@ def quantiles(df: DataFrame, keys, values, probs, extra=(), accuracy=20_000) ->
     """
     keys, values, probs = list(keys), list(values), list(probs)
     if not keys:
-        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], values, probs, extra, accuracy).drop("_all")
+        whole = df.withColumn("_all", F.lit(0))
+        return large_group_quantiles(whole, ["_all"], values, probs, extra, accuracy).drop("_all")
     margin = 5.0 / accuracy
     ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     m = len(probs)

@@ -19,7 +19,7 @@ FAR = 1e20
 TWO_PI = 2.0 * np.pi
 TINY_KT2 = 1e-300
 # Work per chunk of events: small enough for the arrays of a step to stay in cache.
-CHUNK_SLOTS = 24_000
+CHUNK_SLOTS = 40_000
 
 
 class Spec:
@@ -139,10 +139,219 @@ def cluster_batch(mom, counts, spec, max_steps=None):
         slot = np.arange(width)
         filled = slot < n[:, None]
         source = np.where(filled, steps.offsets[rows][:, None] + slot, 0)
-        _lockstep(np.where(filled, mom[:, source], 0.0), n, spec, steps, steps.offsets[rows], max_steps)
+        start = np.where(filled, mom[:, source], 0.0)
+        if max_steps is None and _use_tiles(start, n, spec):
+            _tiled(start, n, spec, steps, steps.offsets[rows])
+        else:
+            _lockstep(start, n, spec, steps, steps.offsets[rows], max_steps)
     return steps
 
 
+def _use_tiles(start, n, spec):
+    """Whether to look for neighbours in tiles of the (y, phi) plane only.
+
+    Worth it when the tiles around an object hold a small part of its event.
+    """
+    if spec.family != "pp" or spec.strategy == "N2Plain":
+        return False
+    if spec.strategy == "N2Tiled":
+        return True
+    if start.shape[2] < 250:
+        return False
+    tiles = Tiles(len(n), spec.R)
+    event, slot = np.nonzero(np.arange(start.shape[2]) < n[:, None])
+    tile = tiles.locate(event, *place(start[:, event, slot], spec)[0])
+    tiles.count = np.bincount(tile, minlength=len(tiles.count))
+    return 20 * tiles.crowd(tile).sum() < (n * n).sum()
+
+
+class Tiles:
+    """Objects of many events by (y, phi) tile.
+
+    A tile is at least R wide, so whatever is within R of an object lies in its
+    own tile or one next to it.  ``members`` lists the objects of each tile;
+    the last, always empty, tile stands in for neighbours beyond the edge.
+    """
+
+    MAX_Y = 10.0
+    MIN_SIZE = 0.3
+
+    def __init__(self, events, R):
+        size = max(R, self.MIN_SIZE)
+        self.ny = max(1, int(2 * self.MAX_Y / size))
+        self.nphi = max(1, int(TWO_PI / size))
+        self.per_event = self.ny * self.nphi
+        iy, iphi = np.divmod(np.arange(self.per_event), self.nphi)
+        turns = sorted({t % self.nphi for t in (-1, 0, 1)}) if self.nphi < 3 else (-1, 0, 1)
+        self.empty = events * self.per_event
+        self.steps = []
+        for dy in (-1, 0, 1):
+            for dphi in turns:
+                to = (iy + dy) * self.nphi + (iphi + dphi) % self.nphi
+                self.steps.append(np.where((iy + dy >= 0) & (iy + dy < self.ny), to, -1))
+        self.steps = np.stack(self.steps, axis=1)
+        self.members = np.full((self.empty + 1, 4), -1, np.int64)
+        self.count = np.zeros(self.empty + 1, np.int64)
+
+    def locate(self, event, y, phi):
+        iy = ((np.clip(y, -self.MAX_Y, self.MAX_Y) + self.MAX_Y) * (self.ny / (2 * self.MAX_Y))).astype(np.int64)
+        iphi = (phi * (self.nphi / TWO_PI)).astype(np.int64)
+        return event * self.per_event + np.minimum(iy, self.ny - 1) * self.nphi + np.minimum(iphi, self.nphi - 1)
+
+    def _room(self, needed):
+        width = self.members.shape[1]
+        if needed > width:
+            more = np.full((len(self.members), max(needed, width + width // 2) - width), -1, np.int64)
+            self.members = np.concatenate([self.members, more], axis=1)
+
+    def fill(self, tile, ident):
+        """Enter many objects at once."""
+        order = np.argsort(tile, kind="stable")
+        tile, ident = tile[order], ident[order]
+        place = np.arange(len(tile)) - np.searchsorted(tile, tile)
+        self._room(2 * int(place.max()) + 2)
+        self.members[tile, place] = ident
+        self.count = np.bincount(tile, minlength=len(self.count))
+
+    def add(self, tile, ident):
+        """Enter objects into tiles that are all different."""
+        place = self.count[tile]
+        self._room(int(place.max(initial=0)) + 1)
+        self.members[tile, place] = ident
+        self.count[tile] = place + 1
+
+    def remove(self, tile, ident):
+        last = self.count[tile] - 1
+        place = (self.members[tile] == ident[:, None]).argmax(axis=1)
+        self.members[tile, place] = self.members[tile, last]
+        self.members[tile, last] = -1
+        self.count[tile] = last
+
+    def _beside(self, tile):
+        event, own = np.divmod(tile, self.per_event)
+        near = self.steps[own]
+        return np.where(near < 0, self.empty, near + (event * self.per_event)[:, None])
+
+    def crowd(self, tile):
+        """How many objects ``around`` would list for each tile."""
+        return self.count[self._beside(tile)].sum(axis=1)
+
+    def around(self, tile):
+        """Members of the tiles at and next to each given one, query by query.
+
+        Returns the number of members per query, and for each member its query
+        and object number.
+        """
+        near = self._beside(tile)
+        counts = self.count[near]
+        per_query = counts.sum(axis=1)
+        flat = counts.reshape(-1)
+        ends = np.cumsum(flat)
+        cell = np.repeat(np.arange(len(flat)), flat)
+        place = np.arange(len(cell)) - (ends - flat)[cell]
+        return per_query, cell // near.shape[1], self.members[near.reshape(-1)[cell], place]
+
+
+def _tiled(start, n, spec, steps, base):
+    """As ``_lockstep``, looking for neighbours only in the tiles around an object.
+
+    Objects are numbered over all events, event by event in creation order.
+    """
+    events, width = start.shape[1:]
+    reach = np.nextafter(spec.reach, np.inf)
+    span = 2 * width
+    total = events * span
+    # One more entry is the object that stands for "none": out of everyone's reach.
+    y, phi = np.full(total + 1, FAR), np.zeros(total + 1)
+    weight, near = np.full(total + 1, np.inf), np.full(total + 1, reach)
+    nn, tile = np.full(total + 1, -1, np.int64), np.zeros(total + 1, np.int64)
+    mom = np.zeros((4, total))
+    cost = np.full((events, span), np.inf)
+    flat_cost = cost.reshape(-1)
+    tiles = Tiles(events, spec.R)
+    running = np.searchsorted(-n, -np.arange(width + 1), side="left")
+
+    def search(ident):
+        """Nearest neighbour within reach of each object; and what was looked at."""
+        per_query, q, found = tiles.around(tile[ident])
+        d = distance((y[found], phi[found]), (y[ident][q], phi[ident][q]), spec)
+        d[found == ident[q]] = FAR
+        starts = np.cumsum(per_query) - per_query  # an object sees itself, so no query is empty
+        best = np.minimum.reduceat(d, starts)
+        at_best = np.flatnonzero(d == best[q])
+        first = np.full(len(ident), total)
+        np.minimum.at(first, q[at_best], found[at_best])
+        seen = best < reach
+        return np.where(seen, best, reach), np.where(seen, first, -1), q, found, d
+
+    def settle(ident, best, neighbour):
+        near[ident], nn[ident] = best, neighbour
+        flat_cost[ident] = weight[ident] * best
+
+    event, slot = np.nonzero(np.arange(width) < n[:, None])
+    ident = event * span + slot
+    mom[:, ident] = start[:, event, slot]
+    pos, weight[ident] = place(mom[:, ident], spec)
+    y[ident], phi[ident] = pos
+    tile[ident] = tiles.locate(event, *pos)
+    tiles.fill(tile[ident], ident)
+    for part in np.array_split(ident, max(1, len(ident) // 4000)):
+        settle(part, *search(part)[:2])
+
+    worst = np.zeros(events)
+    for step in range(width):
+        k = running[step]
+        r = np.arange(k)
+        i = cost[:k, :width + step].argmin(axis=1) + r * span
+        j = nn[i]
+        beam = j < 0
+        j = np.where(beam, i, j)
+        pair = ~beam
+        w = np.minimum(weight[i], weight[j])
+        d = np.where(beam, w, spec.scale * near[i] * w)
+        worst[:k] = np.maximum(worst[:k], d)
+        first, second = np.minimum(i, j), np.maximum(i, j)
+        if spec.scheme == "E":
+            merged = mom[:, i] + pair * mom[:, j]
+        else:
+            merged = np.where(beam, mom[:, i], recombine(mom[:, first], mom[:, second], spec.scheme))
+
+        def name(ident):
+            s = ident - r * span
+            return np.where(s < width, s, s - width + n[:k])
+
+        out = base[:k] + step
+        steps.parent1[out] = name(first)
+        steps.parent2[out] = np.where(beam, -1, name(second))
+        steps.dij[out], steps.max_dij[out] = d, worst[:k]
+        steps.mom[:, out] = merged
+
+        tiles.remove(tile[i], i)
+        gone_j = j[pair]
+        tiles.remove(tile[gone_j], gone_j)
+        flat_cost[i] = flat_cost[j] = np.inf
+
+        if pair.any():
+            new = (r * span + width + step)[pair]
+            mom[:, new] = merged[:, pair]
+            pos, weight[new] = place(merged[:, pair], spec)
+            y[new], phi[new] = pos
+            tile[new] = tiles.locate(r[pair], *pos)
+            tiles.add(tile[new], new)
+            best, neighbour, q, found, d = search(new)
+            settle(new, best, neighbour)
+            closer = np.flatnonzero(d < near[found])
+            closer = closer[found[closer] != new[q[closer]]]
+            settle(found[closer], d[closer], new[q[closer]])
+
+        # Objects whose neighbour has gone are around the place it had.
+        gone = np.concatenate([i, gone_j])
+        _, q, found = tiles.around(tile[gone])
+        stale = found[nn[found] == gone[q]]
+        if len(stale):
+            settle(stale, *search(stale)[:2])
+
+
 def _lockstep(start, n, spec, steps, base, max_steps):
     events, width = start.shape[1:]
     total_steps = width if max_steps is None else min(width, max_steps)

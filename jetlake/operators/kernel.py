@@ -19,7 +19,7 @@ FAR = 1e20
 TWO_PI = 2.0 * np.pi
 TINY_KT2 = 1e-300
 # Work per chunk of events: small enough for the arrays of a step to stay in cache.
-CHUNK_SLOTS = 40_000
+CHUNK_SLOTS, CHUNK_EVENTS = 40_000, 800
 
 
 class Spec:
@@ -88,6 +88,11 @@ def distance(a, b, spec):
     return np.subtract(a[3], dot, out=dot)
 
 
+def _headroom(width):
+    """Slots kept free for new objects before gaps are closed."""
+    return width if width <= 32 else width // 2
+
+
 def _where(mask):
     return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
@@ -133,7 +138,7 @@ def cluster_batch(mom, counts, spec, max_steps=None):
     at = 0
     while at < len(order):
         width = int(counts[order[at]])
-        rows = order[at:at + max(1, CHUNK_SLOTS // width)]
+        rows = order[at:at + max(1, min(CHUNK_EVENTS, CHUNK_SLOTS // width))]
         at += len(rows)
         n = counts[rows]
         slot = np.arange(width)
@@ -366,7 +371,7 @@ def _lockstep(start, n, spec, steps, base, max_steps):
     dead[4 if spec.family == "pp" else 7] = FAR
     dead[[COST, WEIGHT, NEAR, NN]] = [[np.inf], [np.inf], [reach], [-1]]
 
-    used, spare = width, max(8, width // 3)
+    used, spare = width, _headroom(width)
     state = np.empty((last + 5, events, width + spare))
     state[:, :, width:] = dead[:, :, None]
     state[:4, :, :width], state[P, :, :width], state[WEIGHT, :, :width] = start, pos, weight
@@ -461,8 +466,8 @@ def _lockstep(start, n, spec, steps, base, max_steps):
             k = running[step + 1]
             live = np.isfinite(state[WEIGHT, :k])
             kept = int(live.sum(axis=1).max())
-            size = kept + max(8, kept // 3)
-            q, s = np.nonzero(live)
+            size = kept + _headroom(kept)
+            q, s = _where(live)
             to = (np.cumsum(live, axis=1) - 1)
             packed = np.empty((last + 5, k, size))
             packed[:] = dead[:, :, None]

@@ -11,13 +11,14 @@ def assemble_events(particles: DataFrame, keys=("file", "event"), order="idx", f
     """One row per event from one row per particle, inputs in ``order``.
 
     The single shuffle is by event, so a file of any size spreads over all
-    tasks; an event is the unit that clustering needs together.  Only
-    ``columns`` travel with it.
+    tasks; an event is the unit that clustering needs together.  Flat rows with
+    only ``columns`` are exchanged, and the lists are built after the exchange.
     """
     if final_only:
         particles = particles.where(F.col("status") == FINAL_STATE)
     fields = [order, *[c for c in columns if c != order]]
-    return particles.groupBy(*keys).agg(
+    rows = particles.select(*keys, *fields).repartition(*keys)
+    return rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("particles"))
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jetlake.operators.grouping import checked_broadcast, join_on
+
 FINAL_STATE = 1
 
 
@@ -28,53 +30,71 @@ def final_state(events: DataFrame) -> DataFrame:
         "particles", F.filter("particles", lambda p: p["status"] == FINAL_STATE))
 
 
-def event_window(events: DataFrame, max_events=None, skip_events=0, keys=("file",)) -> DataFrame:
-    """Per file: cap at ``max_events`` events first, then drop ``skip_events``.
+# Event numbers per span when ranking a file: the most one task sorts.
+SPAN = 65536
+
+
+def _spans(events: DataFrame, keys, span):
+    """Events with their span of consecutive numbers, and where each span starts in its file."""
+    spanned = events.withColumn("_span", F.floor(F.col("event") / F.lit(span)))
+    sizes = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
+    by = ", ".join(keys)
+    starts = sizes.selectExpr(
+        *keys, "_span", "_n",
+        f"coalesce(sum(_n) OVER (PARTITION BY {by} ORDER BY _span "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start")
+    return spanned, starts
 
-    Only the two boundary event numbers of each file are looked for.  They come
-    from a ranking limited to the first events, which Spark prunes before the
-    shuffle, so no task ever holds or sorts a whole file.
-    """
-    if skip_events < 0:
-        raise ValueError("skip_events must not be negative")
-    if max_events is not None and max_events < 0:
-        max_events = None
-    last = max(skip_events, max_events or 0)
-    if last == 0:
-        return events if max_events is None else events.limit(0)
 
-    rank = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY event)"
-    ranked = events.select(*keys, "event").selectExpr("*", f"{rank} AS rank").where(F.col("rank") <= last)
+def nth_event(events: DataFrame, n: int, keys=("file",), span=SPAN) -> DataFrame:
+    """The number of the n-th event of each file that has as many: ``keys``, ``bound``.
 
-    def boundary(n):  # the n-th event, or the last one there is
-        return F.max(F.when(F.col("rank") <= n, F.col("event")))
+    Spans of event numbers are counted first; only the span that holds the n-th
+    event is ranked.
+    """
+    keys = list(keys)
+    spanned, starts = _spans(events.select(*keys, "event"), keys, span)
+    holding = starts.where((F.col("_start") < n) & (F.col("_start") + F.col("_n") >= n))
+    inside = join_on(spanned, checked_broadcast(holding), [*keys, "_span"])
+    by = ", ".join([*keys, "_span"])
+    return (inside.selectExpr("*", f"row_number() OVER (PARTITION BY {by} ORDER BY event) AS _rank")
+            .where(F.col("_start") + F.col("_rank") == n).select(*keys, F.col("event").alias("bound")))
 
-    bounds = ranked.groupBy(*keys).agg(
-        boundary(skip_events).alias("_skip"),
-        (boundary(max_events) if max_events is not None else F.lit(None).cast("bigint")).alias("_max"))
-    keep = F.col("_skip").isNull() | (F.col("event") > F.col("_skip"))
-    if max_events is not None:
-        keep = keep & (F.col("event") <= F.col("_max"))
-    return events.join(bounds, list(keys), "left").where(keep).drop("_skip", "_max")
 
+def event_window(events: DataFrame, max_events=None, skip_events=0, keys=("file",), span=SPAN) -> DataFrame:
+    """Per file: cap at ``max_events`` events first, then drop ``skip_events``.
 
-def event_positions(events: DataFrame, keys=("file",), span=65536) -> DataFrame:
+    A negative cap is no cap.  Event numbers are unique in their file.  Only the
+    boundary events are looked up; the events themselves are filtered in place.
+    """
+    if skip_events < 0:
+        raise ValueError("skip_events must not be negative")
+    keys = list(keys)
+    kept = events
+    if max_events == 0:
+        return events.limit(0)
+    if max_events is not None and max_events > 0:
+        last = checked_broadcast(nth_event(events, max_events, keys, span))
+        kept = join_on(kept, last, keys, "left").where(
+            F.col("bound").isNull() | (F.col("event") <= F.col("bound"))).drop("bound")
+    if skip_events:
+        # Files with fewer events have no such event, and nothing left.
+        first = checked_broadcast(nth_event(events, skip_events, keys, span))
+        kept = join_on(kept, first, keys).where(F.col("event") > F.col("bound")).drop("bound")
+    return kept
+
+
+def event_positions(events: DataFrame, keys=("file",), span=SPAN) -> DataFrame:
     """Add ``position``: 1-based order of each event number within its file.
 
-    Event numbers are cut into spans of consecutive values.  Spans are counted,
-    the counts are summed up in order, and rows are ranked inside their span
-    only, so one large file is ranked by many tasks.
+    Rows are ranked inside their span of event numbers only, so one large file
+    is ranked by many tasks.
     """
     keys = list(keys)
-    spanned = events.withColumn("_span", F.floor(F.col("event") / F.lit(span)))
-    sizes = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
-    by = ", ".join(keys)
-    starts = sizes.selectExpr(
-        *keys, "_span",
-        f"coalesce(sum(_n) OVER (PARTITION BY {by} ORDER BY _span "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start")
-    return (spanned.join(starts, [*keys, "_span"])
-            .selectExpr("*", f"_start + row_number() OVER (PARTITION BY {by}, _span ORDER BY event) AS position")
+    spanned, starts = _spans(events, keys, span)
+    by = ", ".join([*keys, "_span"])
+    return (join_on(spanned, starts.drop("_n"), [*keys, "_span"])
+            .selectExpr("*", f"_start + row_number() OVER (PARTITION BY {by} ORDER BY event) AS position")
             .drop("_span", "_start"))
 
 

@@ -1,5 +1,6 @@
 """Grouping helpers that stay safe when one group holds a large share of the rows."""
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -146,7 +147,40 @@ def first_known(column: str, order: Column) -> Column:
     return F.min_by(F.col(column), F.when(known, order))
 
 
-def ordinals(df: DataFrame, columns, name: str) -> DataFrame:
+def fixed(df: DataFrame) -> DataFrame:
+    """Write a table out and read it back, so that every use sees the same rows.
+
+    The cluster names the shared folder in ``spark.checkpoint.dir``; a local
+    session without one gets its own.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jetlake-"))
+    return df.checkpoint()
+
+
+def numbered(distinct: DataFrame, columns, name: str, max_rows=BROADCAST_ROWS) -> DataFrame:
+    """Number the rows of a table of distinct ``columns`` by their sorted order, from 1.
+
+    A counted small table is ranked directly.  A larger one is cut into sorted
+    ranges, which are ranked apart and shifted by the sizes of those before.
+    """
+    order = [F.col(c).asc_nulls_last() for c in columns]
+    kept = distinct.persist()
+    if kept.limit(max_rows + 1).count() <= max_rows:
+        return kept.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    ranges = fixed(kept.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return join_on(ranges, checked_broadcast(starts), ["_range"]).select(
+        *columns, (F.col("_start") + inside).cast("int").alias(name))
+
+
+def ordinals(df: DataFrame, columns, name: str, max_rows=BROADCAST_ROWS) -> DataFrame:
     """Add the 1-based sorted position of each distinct combination of ``columns``.
 
     Only the distinct combinations are numbered; rows look their number up.
@@ -154,9 +188,8 @@ def ordinals(df: DataFrame, columns, name: str) -> DataFrame:
     columns = list(columns)
     if not columns:
         return df.withColumn(name, F.lit(1))
-    numbered = df.select(*columns).distinct().withColumn(
-        name, F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in columns])))
-    return join_on(df, checked_broadcast(numbered), columns, "left")
+    table = numbered(df.select(*columns).distinct(), columns, name, max_rows)
+    return join_on(df, checked_broadcast(table, max_rows), columns, "left")
 
 
 def prefix_min(df: DataFrame, index: str, value: str, keys=(), span=65536) -> DataFrame:

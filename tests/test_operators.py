@@ -137,6 +137,8 @@ def test_event_window_and_positions(spark):
     df = spark.createDataFrame(data, "file string, event bigint")
     kept = rows(ev.event_window(df, max_events=5, skip_events=2))
     assert kept == [("a", 4), ("a", 6), ("a", 8), ("b", 4)]
+    assert rows(ev.event_window(df, max_events=5, skip_events=2, span=3)) == kept
+    assert rows(ev.event_window(df, skip_events=3, span=1)) == [("a", e) for e in (10, 12, 14, 16, 6, 8)]
     assert rows(ev.event_window(df, max_events=0)) == [] and ev.event_window(df).count() == 12
     assert len(rows(ev.event_window(df, max_events=-1, skip_events=1))) == 10
     numbered = rows(ev.event_positions(df, span=4))
@@ -210,6 +212,12 @@ def test_ordinals_with_null(spark):
     assert rows(grouping.ordinals(df, ["k"], "n")) == [("a", 1), ("b", 2), ("b", 2), (None, 3)]
 
 
+def test_many_ordinals_are_numbered_in_ranges(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("k"))
+    got = grouping.ordinals(df, ["k"], "n", max_rows=100)
+    assert got.where("n <> k + 1").count() == 0 and got.count() == 3000
+
+
 # Trials
 
 def test_trial_statistics_of_small_groups(spark):

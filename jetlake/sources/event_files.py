@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from jetlake.operators import events as ev
 
-END_MARK = r"HepMC::[^\n]*-END_EVENT_LISTING"
+END_MARK = "-END_EVENT_LISTING"
 # Token positions (from 0) in a particle line.
 TOKENS = {"barcode": (1, "int"), "vertex": (2, "int"), "pdgid": (3, "int"),
           "px": (4, "double"), "py": (5, "double"), "pz": (6, "double"), "e": (7, "double"),
@@ -18,17 +18,25 @@ def parse_hepmc3(records: DataFrame, final_only=True) -> DataFrame:
     A record is what follows an event tag up to the next one.  The record ahead
     of the first event holds the file header and has no event number.
     """
-    body = F.regexp_replace(F.split("value", END_MARK, 2)[0], "^E ", "")
-    records = records.select(
-        "file", F.regexp_extract(body, r"^\s*(\d+)\s", 1).alias("number"), body.alias("body"))
-    lines = F.filter(F.split("body", "\n"), lambda line: line.startswith("P "))
-    tokens = F.transform(lines, lambda line: F.split(F.rtrim(line), r"\s+"))
+    # The listing ends at this mark; what is left of its line is no particle line.
+    body = F.substring_index("value", END_MARK, 1)
+    number = F.regexp_extract("value", r"^(?:E )?\s*(\d+)\s", 1)
+    lines = F.filter(F.split(body, "\n"), lambda line: line.startswith("P "))
+    tokens = F.transform(lines, _tokens)
     if final_only:
         tokens = F.filter(tokens, lambda t: t[TOKENS["status"][0]] == F.lit(str(ev.FINAL_STATE)))
-    particle = lambda t: F.struct(*[t[i].cast(kind).alias(name) for name, (i, kind) in TOKENS.items()])
-    return records.where("number <> ''").select(
-        "file", F.col("number").cast("bigint").alias("event"),
-        F.transform(tokens, particle).alias("particles"))
+
+    def particle(t):
+        return F.struct(*[t[i].cast(kind).alias(name) for name, (i, kind) in TOKENS.items()])
+
+    return records.select("file", number.alias("number"), F.transform(tokens, particle).alias("particles")).where(
+        "number <> ''").select("file", F.col("number").cast("bigint").alias("event"), "particles")
+
+
+def _tokens(line):
+    """Blank-separated tokens; only uneven blanks need the pattern."""
+    uneven = line.contains("  ") | line.contains("\t")
+    return F.when(uneven, F.split(F.trim(line), r"\s+")).otherwise(F.split(line, " "))
 
 
 def read_hepmc3(spark, paths, max_events=None, skip_events=0, final_only=True) -> DataFrame:

@@ -56,6 +56,9 @@ def test_hepmc_plain_and_compressed(spark, hepmc):
 def test_hepmc_without_header_and_broken_number(spark, tmp_path):
     (tmp_path / "c.hepmc3").write_text(hepmc_event(3, EVENTS[7]))
     assert [r.event for r in event_files.read_hepmc3(spark, str(tmp_path / "c.hepmc3")).collect()] == [3]
+    (tmp_path / "u.hepmc3").write_text("E 5 1 1\nP  1 0 211\t1.0  2.0 3.0 4.0 0.1 1\n")
+    spaced = event_files.read_hepmc3(spark, str(tmp_path / "u.hepmc3")).first()
+    assert (spaced.event, spaced.particles[0].py) == (5, 2.0)
     (tmp_path / "d.hepmc3").write_text(hepmc_event(3, [(211, "x1", 0, 0, 1, 1)]))
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         event_files.read_hepmc3(spark, str(tmp_path / "d.hepmc3")).collect()

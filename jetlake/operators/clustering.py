@@ -113,27 +113,54 @@ def _sequence_arrays(momenta, steps):
     history["child"][start + steps.parent1] = own
     history["child"][(start + steps.parent2)[merge]] = own[merge]
 
-    # Number the beam jets of each event, then hand the number down to the inputs.
-    number = np.cumsum(~merge) - 1
-    number -= np.concatenate([[0], np.cumsum(n - merges)])[:-1][event] if len(event) else 0
-    owner = np.full(total, -1, np.int32)
-    owner[steps_at] = np.where(merge, -1, number)
-    longest = np.argsort(-n, kind="stable")
-    for step in range(int(n.max(initial=0)) - 1, -1, -1):
-        rows = longest[:np.searchsorted(-n[longest], -step, side="left")]
-        at = first[rows] + step
-        value = owner[2 * first[rows] + n[rows] + step]
-        owner[2 * first[rows] + steps.parent1[at]] = value
-        pair = merge[at]
-        owner[(2 * first[rows] + steps.parent2[at])[pair]] = value[pair]
-
     return {
         "jets": _list(_struct(**dict(zip(COMPONENTS, jets))), n + merges),
         "history": _list(_struct(**history), 2 * n),
-        "membership": _list(pa.array(owner[inputs_at]), n),
+        "membership": _list(pa.array(_owners(steps)), n),
     }
 
 
+def _owners(steps):
+    """For each input, the number of the beam jet it ends in (in beam order)."""
+    n, first = steps.counts, steps.offsets[:-1]
+    event = _event_of(n)
+    beam = steps.parent2 == BEAM
+    number = np.cumsum(beam) - 1
+    number -= np.concatenate([[0], np.cumsum(np.bincount(event, weights=beam, minlength=len(n)))])[:-1].astype(int)[event]
+    # Hand the number down from the last step to the inputs.
+    owner = np.full(2 * len(event), -1, np.int32)
+    owner[np.arange(len(event)) + first[event] + n[event]] = np.where(beam, number, -1)
+    longest = np.argsort(-n, kind="stable")
+    for step in range(int(n.max(initial=0)) - 1, -1, -1):
+        rows = longest[:np.searchsorted(-n[longest], -step, side="left")]
+        at, start = first[rows] + step, 2 * first[rows]
+        value = owner[start + n[rows] + step]
+        owner[start + steps.parent1[at]] = value
+        pair = ~beam[at]
+        owner[(start + steps.parent2[at])[pair]] = value[pair]
+    return owner[np.arange(len(event)) + first[event]]
+
+
+def _member_arrays(momenta, steps, ptmin):
+    """Beam jets with pt >= ptmin and their constituents, in beam order."""
+    n = steps.counts
+    event = _event_of(n)
+    beam = np.flatnonzero(steps.parent2 == BEAM)
+    jets_per_event = np.bincount(event[beam], minlength=len(n))
+    starts = np.cumsum(jets_per_event) - jets_per_event
+    jet = starts[event] + _owners(steps)
+    kept = np.hypot(steps.mom[0, beam], steps.mom[1, beam]) >= ptmin
+    inside = np.flatnonzero(kept[jet])
+    inside = inside[np.argsort(jet[inside], kind="stable")]
+    particles = _list(_struct(**dict(zip(COMPONENTS, momenta[:, inside]))),
+                      np.bincount(jet[inside], minlength=len(beam))[kept])
+    number = (np.arange(len(beam)) - starts[event[beam]])[kept].astype(np.int32)
+    found = pa.StructArray.from_arrays(
+        [pa.array(number), _struct(**dict(zip(COMPONENTS, steps.mom[:, beam[kept]]))), particles],
+        ["jet_id", "jet", "particles"])
+    return _list(found, np.bincount(event[beam][kept], minlength=len(n)))
+
+
 def _first_step_arrays(steps):
     has = steps.counts > 0
     at = np.where(has, steps.offsets[:-1], 0)
@@ -191,6 +218,21 @@ def inclusive_jets(events: DataFrame, algorithm="AntiKt", R=0.4, p=None, scheme=
         f"jets array<{schemas.MOMENTUM}>", keep, particles)
 
 
+def jets_with_constituents(events: DataFrame, algorithm="CA", R=0.4, p=None, scheme="E", strategy="Best",
+                           ptmin=2.0, particles="particles") -> DataFrame:
+    """One row per inclusive jet: ``jet_id`` (beam order), ``jet`` and its constituents as ``particles``.
+
+    Each jet is an event row of its own, ready to be clustered again.
+    """
+    spec = resolve(algorithm, R, p, scheme, strategy)
+    keep = [c for c in events.columns if c != particles]
+    found = _cluster_map(
+        events, spec, lambda momenta, steps: {"found": _member_arrays(momenta, steps, ptmin)},
+        f"found array<struct<jet_id:int,jet:{schemas.MOMENTUM},particles:array<{schemas.MOMENTUM}>>>",
+        keep, particles)
+    return found.select(*keep, F.inline("found"))
+
+
 def first_merge(events: DataFrame, algorithm="AntiKt", R=0.4, p=None, scheme="E",
                 particles="particles") -> DataFrame:
     """The first step of each event: ``parent1``, ``parent2`` (-1 beam), ``dij``."""

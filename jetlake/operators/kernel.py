@@ -145,10 +145,8 @@ def cluster_batch(mom, counts, spec, max_steps=None):
         filled = slot < n[:, None]
         source = np.where(filled, steps.offsets[rows][:, None] + slot, 0)
         start = np.where(filled, mom[:, source], 0.0)
-        if max_steps is None and _use_tiles(start, n, spec):
-            _tiled(start, n, spec, steps, steps.offsets[rows])
-        else:
-            _lockstep(start, n, spec, steps, steps.offsets[rows], max_steps)
+        search = _tiled if _use_tiles(start, n, spec) else _lockstep
+        search(start, n, spec, steps, steps.offsets[rows], width if max_steps is None else min(width, max_steps))
     return steps
 
 
@@ -257,7 +255,7 @@ class Tiles:
         return per_query, cell // near.shape[1], self.members[near.reshape(-1)[cell], place]
 
 
-def _tiled(start, n, spec, steps, base):
+def _tiled(start, n, spec, steps, base, total_steps):
     """As ``_lockstep``, looking for neighbours only in the tiles around an object.
 
     Objects are numbered over all events, event by event in creation order.
@@ -304,7 +302,7 @@ def _tiled(start, n, spec, steps, base):
         settle(part, *search(part)[:2])
 
     worst = np.zeros(events)
-    for step in range(width):
+    for step in range(total_steps):
         k = running[step]
         r = np.arange(k)
         i = cost[:k, :width + step].argmin(axis=1) + r * span
@@ -357,9 +355,8 @@ def _tiled(start, n, spec, steps, base):
             settle(stale, *search(stale)[:2])
 
 
-def _lockstep(start, n, spec, steps, base, max_steps):
+def _lockstep(start, n, spec, steps, base, total_steps):
     events, width = start.shape[1:]
-    total_steps = width if max_steps is None else min(width, max_steps)
     # A distance equal to the reach still counts as a pair, ahead of the beam.
     reach = np.nextafter(spec.reach, np.inf)
 

@@ -157,8 +157,21 @@ def groom(clustered: DataFrame, method: str, ptmin=2.0, **params) -> DataFrame:
         raise ValueError(f"unknown method: {method}")
     if method == "mass_drop":
         return mass_drop(clustered, ptmin=ptmin, **params)
-    jets = constituents(clustered, ptmin)
-    return {"filter": jet_filter, "trim": jet_trim, "soft_drop": soft_drop}[method](jets, **params)
+    return RECLUSTERING[method](constituents(clustered, ptmin), **params)
+
+
+RECLUSTERING = {"filter": jet_filter, "trim": jet_trim, "soft_drop": soft_drop}
+
+
+def groom_events(events: DataFrame, method: str, R=0.4, ptmin=2.0, **params) -> DataFrame:
+    """Cluster events with CA and groom their jets in one go.
+
+    Methods that recluster need only the constituents of the jets, so the
+    sequence of the first clustering is not kept.
+    """
+    if method in RECLUSTERING:
+        return RECLUSTERING[method](clustering.jets_with_constituents(events, "CA", R, ptmin=ptmin), **params)
+    return groom(substructure_input(events, R), method, ptmin, **params)
 
 
 def substructure_input(events: DataFrame, R=0.4) -> DataFrame:

@@ -31,5 +31,4 @@ def exclusive(spark, sf_dir, algorithm, R, p=None, dcut=None, njets=None) -> Dat
 
 
 def groomed(spark, sf_dir, method, R=1.0, **params) -> DataFrame:
-    sequence = substructure.substructure_input(event_rows(spark, sf_dir), R)
-    return substructure.measured(substructure.groom(sequence, method, **params))
+    return substructure.measured(substructure.groom_events(event_rows(spark, sf_dir), method, R, **params))

@@ -120,6 +120,13 @@ def test_soft_wide_branch_is_dropped(spark, make_events):
         substructure.groom(clustered, "prune")
 
 
+def test_constituents_either_way(spark, make_events):
+    events = make_events(random_events(12, [40, 0, 1, 25]))
+    long = substructure.constituents(substructure.substructure_input(events, 1.0), ptmin=10.0)
+    short = clustering.jets_with_constituents(events, "CA", 1.0, ptmin=10.0)
+    assert rows(long) == rows(short) and long.count() > 5
+
+
 def test_mass_drop_finds_two_prongs(spark, make_events):
     def massless(pt, y, f):
         return (pt * math.cos(f), pt * math.sin(f), pt * math.sinh(y), pt * math.cosh(y))

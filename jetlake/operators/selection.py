@@ -34,14 +34,22 @@ def beam_entries() -> Column:
     return F.transform(met, lambda h: h["parent1"])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once and used many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _exclusive(stop: Column) -> Column:
     """Jets that exist once all history entries before ``stop`` have happened."""
     history = F.col("history")
-    # Each later entry uses up one or two objects; those made before the stop are the answer.
-    used = F.flatten(F.transform(
-        F.slice(history, stop + 1, F.greatest(F.size(history) - stop, F.lit(0))),
-        lambda h: F.array(h["parent1"], h["parent2"])))
-    return F.transform(F.filter(used, lambda x: (x >= 0) & (x < stop)), _jet_of)
+
+    def alive(stop):
+        # Each later entry uses up one or two objects; those made before the stop are the answer.
+        later = F.slice(history, stop + 1, F.greatest(F.size(history) - stop, F.lit(0)))
+        used = F.flatten(F.transform(later, lambda h: F.array(h["parent1"], h["parent2"])))
+        return F.transform(F.filter(used, lambda x: (x >= 0) & (x < stop)), _jet_of)
+
+    return let(stop, alive)
 
 
 def by_pt(jets: Column) -> Column:

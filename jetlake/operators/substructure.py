@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 
 from jetlake.functions import kinematics as kin
 from jetlake.operators import clustering, selection
+from jetlake.operators.selection import let
 
 METHODS = ("filter", "trim", "mass_drop", "soft_drop")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once and used many times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _beam_jets(ptmin) -> Column:
     """The jets that met the beam with pt >= ptmin: number, history entry, momentum."""
     numbered = F.transform(selection.beam_entries(), lambda x, i: F.struct(
@@ -101,13 +97,13 @@ def _walk(start: Column, accept, size: str) -> Column:
             lead, other = F.when(first, x["ja"]).otherwise(x["jb"]), F.when(first, x["jb"]).otherwise(x["ja"])
             onward = F.struct(F.when(first, x["a"]).otherwise(x["b"]).alias("entry"),
                               lead.alias("lead"), other.alias("other"), _look(entry).alias("whole"))
-            return _let(onward, lambda o: F.when(
+            return let(onward, lambda o: F.when(
                 accept(o["whole"], o["lead"], o["other"]), state(entry, 1)).otherwise(state(o["entry"], 0)))
 
-        return _let(pair, decide)
+        return let(pair, decide)
 
     def advance(now, _):
-        return F.when(now["ended"] > 0, now).otherwise(_let(
+        return F.when(now["ended"] > 0, now).otherwise(let(
             F.get(F.col("history"), now["entry"]),
             lambda step: F.when(step["parent1"] < 0, state(now["entry"], 2)).otherwise(
                 undo(now["entry"], step))))

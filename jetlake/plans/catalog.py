@@ -197,7 +197,7 @@ def multiplicity_hist(spark, sf_dir):
 @query
 def multiplicity_auto_hist(spark, sf_dir):
     counts = mult.event_counts(views.particle_rows(spark, sf_dir))
-    return rounded(trials.trial_histogram(counts, [], "n_particles"))
+    return rounded(trials.trial_histogram(counts, [], "n_particles"), digits=8)
 
 
 @query
@@ -223,7 +223,7 @@ def trial_outliers(spark, sf_dir):
 
 @query
 def trial_histogram(spark, sf_dir):
-    return rounded(trials.trial_histogram(views.trials(spark, sf_dir), ["workload"]))
+    return rounded(trials.trial_histogram(views.trials(spark, sf_dir), ["workload"]), digits=8)
 
 
 @query

@@ -307,8 +307,8 @@ b AS (SELECT *, CAST(least(greatest(ceil((high0 - low0) / width), 1), 80) AS INT
 h AS (SELECT *, CASE WHEN high0 > low0 THEN CAST(high0 - low0 AS DOUBLE) / n_bins ELSE width END AS step FROM b),
 c AS (SELECT {k}n_bins, low0, step, CAST(least(floor(({value} - low0) / step), n_bins - 1) AS INT) AS bin
       FROM src JOIN h {on})
-SELECT {k}n_bins, bin, round(CAST(low0 + bin * step AS DOUBLE), 5) AS low,
-  round(CAST(low0 + (bin + 1) * step AS DOUBLE), 5) AS high,
+SELECT {k}n_bins, bin, round(CAST(low0 + bin * step AS DOUBLE), 8) AS low,
+  round(CAST(low0 + (bin + 1) * step AS DOUBLE), 8) AS high,
   count(*) AS count FROM c GROUP BY ALL"""
 
 

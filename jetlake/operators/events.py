@@ -46,19 +46,23 @@ def _spans(events: DataFrame, keys, span):
     return spanned, starts
 
 
-def nth_event(events: DataFrame, n: int, keys=("file",), span=SPAN) -> DataFrame:
-    """The number of the n-th event of each file that has as many: ``keys``, ``bound``.
+def nth_events(events: DataFrame, places: dict[str, int], keys=("file",), span=SPAN) -> DataFrame:
+    """Event numbers by their place in each file: one column per name in ``places``.
 
-    Spans of event numbers are counted first; only the span that holds the n-th
-    event is ranked.
+    Spans of event numbers are counted first; only spans that hold a wanted
+    place are ranked.  Files without that many events have NULL.
     """
     keys = list(keys)
     spanned, starts = _spans(events.select(*keys, "event"), keys, span)
-    holding = starts.where((F.col("_start") < n) & (F.col("_start") + F.col("_n") >= n))
+    wanted = F.filter(F.array(*[F.lit(n).cast("bigint") for n in places.values()]),
+                      lambda n: (F.col("_start") < n) & (F.col("_start") + F.col("_n") >= n))
+    holding = starts.select(*keys, "_span", "_start", wanted.alias("_wanted")).where(F.size("_wanted") > 0)
     inside = join_on(spanned, checked_broadcast(holding), [*keys, "_span"])
     by = ", ".join([*keys, "_span"])
-    return (inside.selectExpr("*", f"row_number() OVER (PARTITION BY {by} ORDER BY event) AS _rank")
-            .where(F.col("_start") + F.col("_rank") == n).select(*keys, F.col("event").alias("bound")))
+    ranked = inside.selectExpr(
+        *keys, "event", "_wanted", f"_start + row_number() OVER (PARTITION BY {by} ORDER BY event) AS _place")
+    return ranked.where(F.array_contains("_wanted", F.col("_place"))).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_place") == n, F.col("event"))).alias(name) for name, n in places.items()])
 
 
 def event_window(events: DataFrame, max_events=None, skip_events=0, keys=("file",), span=SPAN) -> DataFrame:
@@ -69,19 +73,23 @@ def event_window(events: DataFrame, max_events=None, skip_events=0, keys=("file"
     """
     if skip_events < 0:
         raise ValueError("skip_events must not be negative")
-    keys = list(keys)
-    kept = events
     if max_events == 0:
         return events.limit(0)
+    places = {}
+    if skip_events:
+        places["_skip"] = skip_events
     if max_events is not None and max_events > 0:
-        last = checked_broadcast(nth_event(events, max_events, keys, span))
-        kept = join_on(kept, last, keys, "left").where(
-            F.col("bound").isNull() | (F.col("event") <= F.col("bound"))).drop("bound")
+        places["_last"] = max_events
+    if not places:
+        return events
+    keys = list(keys)
+    kept = join_on(events, checked_broadcast(nth_events(events, places, keys, span)), keys, "left")
     if skip_events:
         # Files with fewer events have no such event, and nothing left.
-        first = checked_broadcast(nth_event(events, skip_events, keys, span))
-        kept = join_on(kept, first, keys).where(F.col("event") > F.col("bound")).drop("bound")
-    return kept
+        kept = kept.where(F.col("event") > F.col("_skip"))
+    if "_last" in places:
+        kept = kept.where(F.col("_last").isNull() | (F.col("event") <= F.col("_last")))
+    return kept.drop(*places)
 
 
 def event_positions(events: DataFrame, keys=("file",), span=SPAN) -> DataFrame:

@@ -35,7 +35,8 @@ def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def quantiles(df: DataFrame, keys, values, probs, extra=(), buffer_rows=BUFFER_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, keys, values, probs, extra=(), buffer_rows=BUFFER_ROWS,
+              largest=None) -> DataFrame:
     """Exact quantiles (linear interpolation, NULLs ignored) per group, at any group size.
 
     Returns the keys, ``{value}_n``, ``{value}_q{i}`` for the i-th probability,
@@ -45,9 +46,13 @@ def quantiles(df: DataFrame, keys, values, probs, extra=(), buffer_rows=BUFFER_R
     the built-in aggregate, which buffers the values of a group, does it all in
     one pass; otherwise see ``large_group_quantiles``.  Wide keys are replaced by
     a hash while aggregating, if the count shows that it tells all groups apart,
-    so that sorting by group compares one number.
+    so that sorting by group compares one number.  A caller that knows a bound
+    on the group size passes it as ``largest`` and saves the count.
     """
     keys, values, probs, extra = list(keys), list(values), list(probs), list(extra)
+    if largest is not None and len(keys) < 2:
+        how = built_in_quantiles if largest <= buffer_rows else large_group_quantiles
+        return how(df, keys, values, probs, extra)
     groups = df.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn("_g", F.xxhash64(*keys or [F.lit(0)]))
     if len(keys) > 1:
         groups = groups.persist()

@@ -19,7 +19,7 @@ FAR = 1e20
 TWO_PI = 2.0 * np.pi
 TINY_KT2 = 1e-300
 # Work per chunk of events: small enough for the arrays of a step to stay in cache.
-CHUNK_SLOTS, CHUNK_EVENTS = 40_000, 800
+CHUNK_SLOTS, CHUNK_EVENTS = 100_000, 800
 
 
 class Spec:

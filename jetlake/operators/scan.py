@@ -1,12 +1,12 @@
 """Thread scans: one row shape for all inputs, medians per setting, speedup."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jetlake.constants import (DEFAULT_CODE, DEFAULT_JSON_BACKEND, DEFAULT_SCHEDULE, SCAN_METRICS,
                                SCAN_ROW, WORKLOAD)
 from jetlake.functions import text
-from jetlake.operators.grouping import first_known, join_on, quantiles
+from jetlake.operators.grouping import first_known, quantiles
 from jetlake.operators.results import require_columns
 from jetlake.sources import tables
 
@@ -137,10 +137,10 @@ def with_speedup(merged: DataFrame, strict=True) -> DataFrame:
     The baseline is the median over the schedules measured with one thread.
     With ``strict``, a workload without a baseline is an error.
     """
-    # One row per schedule is left here, so a plain median buffers a handful of values.
-    base = (merged.where(F.col("threads") == 1).groupBy(*WORKLOAD)
-            .agg(F.median("events_per_second_median").alias("baseline_events_per_second_median")))
-    joined = join_on(merged, base, WORKLOAD, "left")
+    # One row per thread count and schedule is left of each workload.
+    single = F.when(F.col("threads") == 1, F.col("events_per_second_median"))
+    joined = merged.withColumn(
+        "baseline_events_per_second_median", F.median(single).over(Window.partitionBy(*WORKLOAD)))
     b = F.col("baseline_events_per_second_median")
     if strict:
         missing = F.raise_error(F.lit("cannot compute speedup: a workload has no 1-thread baseline"))

@@ -9,7 +9,7 @@ from jetlake.operators.grouping import checked_broadcast, join_on, quantiles
 STATS = ("n_samples", *TIMING_STATS)
 
 
-def trial_stats(df: DataFrame, keys, value="time_us") -> DataFrame:
+def trial_stats(df: DataFrame, keys, value="time_us", largest=None) -> DataFrame:
     """n_samples, mean, std, median, min, max, q25, q75, iqr of each group.
 
     The standard deviation of a single trial is 0.
@@ -18,29 +18,33 @@ def trial_stats(df: DataFrame, keys, value="time_us") -> DataFrame:
     stats = quantiles(df, keys, [value], [0.25, 0.5, 0.75], extra=[
         F.avg(v).alias("mean"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max")])
+        F.min(v).alias("min"), F.max(v).alias("max")], largest=largest)
     return stats.select(
         *keys, F.col(f"{value}_n").alias("n_samples"), "mean", "std", F.col(f"{value}_q1").alias("median"),
         "min", "max", F.col(f"{value}_q0").alias("q25"), F.col(f"{value}_q2").alias("q75"),
         (F.col(f"{value}_q2") - F.col(f"{value}_q0")).alias("iqr"))
 
 
-def reject_outliers(df: DataFrame, keys, value="time_us", band=2.0) -> DataFrame:
-    """Rows within ``band`` interquartile ranges of the quartiles, ends included."""
+def within_band(df: DataFrame, stats: DataFrame, keys, value="time_us", band=2.0) -> DataFrame:
+    """Rows within ``band`` interquartile ranges of their group's quartiles, ends included."""
     keys = list(keys)
-    limits = quantiles(df, keys, [value], [0.25, 0.75])
-    q25, q75 = F.col(f"{value}_q0"), F.col(f"{value}_q1")
-    reach = F.lit(float(band)) * (q75 - q25)
-    limits = limits.select(*keys, (q25 - reach).alias("_low"), (q75 + reach).alias("_high"))
+    reach = F.lit(float(band)) * F.col("iqr")
+    limits = stats.select(*keys, (F.col("q25") - reach).alias("_low"), (F.col("q75") + reach).alias("_high"))
     kept = join_on(df, checked_broadcast(limits), keys)
     return kept.where(F.col(value).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
+def reject_outliers(df: DataFrame, keys, value="time_us", band=2.0) -> DataFrame:
+    return within_band(df, trial_stats(df, keys, value), keys, value, band)
+
+
 def outlier_statistics(df: DataFrame, keys, value="time_us", band=2.0) -> DataFrame:
     """Full and outlier-excluded statistics of each group, told apart by ``selection``."""
-    full = trial_stats(df, keys, value).withColumn("selection", F.lit("full"))
-    kept = trial_stats(reject_outliers(df, keys, value, band), keys, value)
-    return full.unionByName(kept.withColumn("selection", F.lit("outlier_excluded")))
+    full = trial_stats(df, keys, value).persist()
+    largest = full.agg(F.max("n_samples")).first()[0] or 0
+    kept = trial_stats(within_band(df, full, keys, value, band), keys, value, largest)
+    return full.withColumn("selection", F.lit("full")).unionByName(
+        kept.withColumn("selection", F.lit("outlier_excluded")))
 
 
 def trial_histogram(df: DataFrame, keys, value="time_us", max_bins=80) -> DataFrame:

@@ -165,7 +165,7 @@ def _use_tiles(start, n, spec):
     event, slot = np.nonzero(np.arange(start.shape[2]) < n[:, None])
     tile = tiles.locate(event, *place(start[:, event, slot], spec)[0])
     tiles.count = np.bincount(tile, minlength=len(tiles.count))
-    return 20 * tiles.crowd(tile).sum() < (n * n).sum()
+    return 12 * tiles.crowd(tile).sum() < (n * n).sum()
 
 
 class Tiles:
@@ -362,22 +362,22 @@ def _lockstep(start, n, spec, steps, base, total_steps):
 
     pos, weight = place(start, spec)
     last = 4 + len(pos)
-    P, (COST, WEIGHT, NEAR, NN, NAME) = slice(4, last), range(last, last + 5)
+    P, (COST, WEIGHT, NEAR, NAME) = slice(4, last), range(last, last + 4)
     # A slot nobody can see or choose: out of reach and infinitely costly.
-    dead = np.zeros((last + 5, 1))
+    dead = np.zeros((last + 4, 1))
     dead[4 if spec.family == "pp" else 7] = FAR
-    dead[[COST, WEIGHT, NEAR, NN]] = [[np.inf], [np.inf], [reach], [-1]]
+    dead[[COST, WEIGHT, NEAR]] = [[np.inf], [np.inf], [reach]]
 
-    used, spare = width, _headroom(width)
-    state = np.empty((last + 5, events, width + spare))
+    size = width + _headroom(width)
+    state = np.empty((last + 4, events, size))
     state[:, :, width:] = dead[:, :, None]
     state[:4, :, :width], state[P, :, :width], state[WEIGHT, :, :width] = start, pos, weight
-    state[NEAR, :, :width], state[NN, :, :width] = reach, -1
-    state[NAME, :, :width] = np.arange(width)
+    state[NEAR, :, :width], state[NAME, :, :width] = reach, np.arange(width)
     empty = np.nonzero(np.arange(width) >= n[:, None])
     state[:, empty[0], empty[1]] = dead
-    if spec.family == "pp":
+    if spec.family == "pp":  # keeps empty slots out of each other's reach
         state[4, empty[0], empty[1]] = FAR * (1.0 + empty[1])
+    neighbour = np.full((events, size), -1, np.int16 if 2 * width < 32_000 else np.int32)
     running = np.searchsorted(-n, -np.arange(width + 1), side="left")  # events longer than i
 
     rows = np.arange(events)
@@ -385,76 +385,76 @@ def _lockstep(start, n, spec, steps, base, total_steps):
         k = running[i]
         d = distance(state[P, :k, :i], state[P, :k, i:i + 1], spec)
         q, s = _where(d < state[NEAR, :k, :i])
-        state[NEAR, q, s], state[NN, q, s] = d[q, s], i
+        state[NEAR, q, s], neighbour[q, s] = d[q, s], i
         j = d.argmin(axis=1)
         best = d[rows[:k], j]
         state[NEAR, :k, i] = np.minimum(best, reach)
-        state[NN, :k, i] = np.where(best < reach, j, -1)
+        neighbour[:k, i] = np.where(best < reach, j, -1)
     state[COST] = state[WEIGHT] * state[NEAR]
 
     worst = np.zeros(events)
+    fill = n.copy()  # where the next object of each event goes
+    used = width
     for step in range(total_steps):
         k, c = running[step], used
         r = rows[:k]
         i = state[COST, :k, :c].argmin(axis=1)
         one = state[:, r, i]
-        nn = one[NN]
-        beam = nn < 0
-        paired = ~beam
-        j = np.where(beam, i, nn).astype(np.intp)
-        two = state[:, r, j]
-        w = np.minimum(one[WEIGHT], two[WEIGHT])
-        d = spec.scale * one[NEAR] * w
-        d[beam] = w[beam] * (4.0 if spec.family == "Durham" else 1.0)
+        j = neighbour[r, i].astype(np.intp)
+        beam = j < 0
+        pairs = np.flatnonzero(~beam)
+        j = np.where(beam, i, j)
+        two = state[:, pairs, j[pairs]]
+        w, merged, name = one[WEIGHT], one[:4], one[NAME]
+        d = w * (4.0 if spec.family == "Durham" else 1.0)
+        other = np.full(k, -1.0)
+        if len(pairs):
+            lead = one[:, pairs]
+            d[pairs] = spec.scale * lead[NEAR] * np.minimum(lead[WEIGHT], two[WEIGHT])
+            swap = lead[NAME] > two[NAME]
+            if spec.scheme == "E":
+                made = lead[:4] + two[:4]
+            else:
+                made = recombine(np.where(swap, two[:4], lead[:4]), np.where(swap, lead[:4], two[:4]), spec.scheme)
+            merged[:, pairs] = made
+            other[pairs], name[pairs] = np.maximum(lead[NAME], two[NAME]), np.minimum(lead[NAME], two[NAME])
         worst[:k] = np.maximum(worst[:k], d)
-        swap = one[NAME] > two[NAME]
-        if spec.scheme == "E":
-            merged = one[:4] + paired * two[:4]
-        else:
-            both = recombine(np.where(swap, two[:4], one[:4]), np.where(swap, one[:4], two[:4]), spec.scheme)
-            merged = np.where(beam, one[:4], both)
         out = base[:k] + step
-        steps.parent1[out] = np.minimum(one[NAME], two[NAME])
-        steps.parent2[out] = np.where(beam, -1, np.maximum(one[NAME], two[NAME]))
+        steps.parent1[out], steps.parent2[out] = name, other
         steps.dij[out], steps.max_dij[out] = d, worst[:k]
         steps.mom[:, out] = merged
-
-        state[:, r, i] = dead
-        state[:, r, j] = dead
-        pos, weight = place(merged, spec)
-        fresh = state[:, :k, c]
-        fresh[:4], fresh[P], fresh[WEIGHT], fresh[NEAR], fresh[NN] = merged, pos, weight, reach, -1
-        fresh[NAME] = n[:k] + step
-        # Jets that met the beam leave no new object; -FAR keeps clear of dead slots.
-        fresh[:, beam] = dead
-        if spec.family == "pp":
-            pos[0, beam] = -FAR
-        used += 1
-
-        d = distance(state[P, :k, :c], pos[:, :, None], spec)
-        if spec.family != "pp":
-            d[beam] = FAR
-        q, s = _where(d < state[NEAR, :k, :c])
-        if len(q):
-            closer = d[q, s]
-            state[NEAR, q, s], state[NN, q, s] = closer, c
-            state[COST, q, s] = state[WEIGHT, q, s] * closer
-        a = d.argmin(axis=1)
-        best = d[r, a]
-        fresh[NEAR] = np.minimum(best, reach)
-        fresh[NN] = np.where(best < reach, a, -1)
-        fresh[COST] = fresh[WEIGHT] * fresh[NEAR]
+        state[:, r, i], neighbour[r, i] = dead, -1
+
+        if len(pairs):
+            state[:, pairs, j[pairs]], neighbour[pairs, j[pairs]] = dead, -1
+            pos, weight = place(made, spec)
+            view = slice(0, k) if len(pairs) == k else pairs
+            d = distance(state[P, view, :c], pos[:, :, None], spec)
+            q, s = _where(d < state[NEAR, view, :c])
+            at = fill[pairs]
+            closer, q_row = d[q, s], pairs[q]
+            state[NEAR, q_row, s], neighbour[q_row, s] = closer, at[q]
+            state[COST, q_row, s] = state[WEIGHT, q_row, s] * closer
+            a = d.argmin(axis=1)
+            best = d[np.arange(len(pairs)), a]
+            near = np.minimum(best, reach)
+            state[:, pairs, at] = np.concatenate(
+                [made, pos, [weight * near, weight, near, n[pairs] + step]])
+            neighbour[pairs, at] = np.where(best < reach, a, -1)
+            fill[pairs] += 1
+            used = max(used, int(fill[:k].max()))
 
         # Objects whose neighbour has gone look for a new one.
-        nn = state[NN, :k, :c]
-        q, s = _where((nn == i[:, None]) | (nn == j[:, None]))
+        seen = neighbour[:k, :used]
+        gone_i, gone_j = i.astype(seen.dtype)[:, None], j.astype(seen.dtype)[:, None]
+        q, s = _where((seen == gone_i) | (seen == gone_j) if len(pairs) else seen == gone_i)
         if len(q):
-            d = distance(state[P][:, q, :used], state[P][:, q, s][:, :, None], spec)
+            d = distance(state[P, q, :used], state[P, q, s][:, :, None], spec)
             m = np.arange(len(q))
             d[m, s] = FAR
             a = d.argmin(axis=1)
             best = d[m, a]
-            state[NN, q, s] = np.where(best < reach, a, -1)
+            neighbour[q, s] = np.where(best < reach, a, -1)
             best = np.minimum(best, reach)
             state[NEAR, q, s], state[COST, q, s] = best, state[WEIGHT, q, s] * best
 
@@ -462,13 +462,15 @@ def _lockstep(start, n, spec, steps, base, total_steps):
             # Close the gaps, keeping creation order; drop finished events.
             k = running[step + 1]
             live = np.isfinite(state[WEIGHT, :k])
-            kept = int(live.sum(axis=1).max())
-            size = kept + _headroom(kept)
+            fill = live.sum(axis=1)
+            used = int(fill.max())
+            size = used + _headroom(used)
             q, s = _where(live)
-            to = (np.cumsum(live, axis=1) - 1)
-            packed = np.empty((last + 5, k, size))
+            to = np.cumsum(live, axis=1) - 1
+            packed = np.empty((last + 4, k, size))
             packed[:] = dead[:, :, None]
             packed[:, q, to[q, s]] = state[:, q, s]
-            nn = packed[NN].astype(np.intp)
-            packed[NN] = np.where(nn >= 0, np.take_along_axis(to, np.maximum(nn, 0), 1), -1)
-            state, used = packed, kept
+            old = neighbour[q, s].astype(np.intp)
+            neighbour = np.full((k, size), -1, neighbour.dtype)
+            neighbour[q, to[q, s]] = np.where(old >= 0, to[q, np.maximum(old, 0)], -1)
+            state = packed

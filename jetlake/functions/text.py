@@ -17,6 +17,13 @@ def divide_or_null(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of floating-point values, infinite or NaN for a zero denominator."""
+    a, b = a.cast("double"), b.cast("double")
+    by_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def positive_or_null(value: Column, name="time_per_event") -> Column:
     """NULL passes; zero and below is an error."""
     v = value.cast("double")

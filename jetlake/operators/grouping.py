@@ -205,7 +205,7 @@ def prefix_min(df: DataFrame, index: str, value: str, keys=(), span=65536) -> Da
     """
     keys = list(keys)
     low = F.struct(F.col(value).alias("value"), F.col(index).alias("index"))
-    rows = df.withColumn("_span", F.floor(F.col(index) / F.lit(span))).withColumn("_low", low)
+    rows = df.withColumn("_span", F.expr(f"`{index}` div {span}")).withColumn("_low", low)
     spans = rows.groupBy(*keys, "_span").agg(F.min("_low").alias("_span_low"))
     earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     before = spans.select(*keys, "_span", F.min("_span_low").over(earlier).alias("_before"))

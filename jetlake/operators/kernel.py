@@ -159,7 +159,7 @@ def _use_tiles(start, n, spec):
         return False
     if spec.strategy == "N2Tiled":
         return True
-    if start.shape[2] < 250:
+    if start.shape[2] < 350:
         return False
     tiles = Tiles(len(n), spec.R)
     event, slot = np.nonzero(np.arange(start.shape[2]) < n[:, None])

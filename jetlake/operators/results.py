@@ -74,7 +74,7 @@ def with_baseline(df: DataFrame, keys, order: str, value: str) -> DataFrame:
 def speedup_from_first(df: DataFrame, keys, time: str, threads="threads") -> DataFrame:
     """t(first row) / t, the first row being the one with fewest threads."""
     return with_baseline(df, keys, threads, time).withColumn(
-        "speedup", F.col("baseline") / F.col(time)).drop("baseline")
+        "speedup", text.ratio(F.col("baseline"), F.col(time))).drop("baseline")
 
 
 def ideal_scaling(df: DataFrame, strong: int, weak_value: float, keys=(), rate="event_rate",
@@ -102,7 +102,7 @@ def runtime_ratio(df: DataFrame, numerator, denominator, keys, value="time_per_e
     paired = (df.where(F.col(column).isin(numerator, denominator)).groupBy(*keys)
               .agg(side(numerator).alias("num"), side(denominator).alias("den")))
     return paired.where(F.col("num").isNotNull() & F.col("den").isNotNull()).select(
-        *keys, (F.col("num") / F.col("den")).alias("ratio"))
+        *keys, text.ratio(F.col("num"), F.col("den")).alias("ratio"))
 
 
 def ratio_means(ratios: DataFrame, by=("algorithm", "strategy"), split="R", at_least=1.0) -> DataFrame:
@@ -133,13 +133,13 @@ def weighted_means(files: DataFrame, weight: str, times: dict[str, str]) -> Data
     """Weighted mean over all files, as rows of (method, time)."""
     w = F.col(weight)
     sums = files.agg(*[
-        (F.sum(w * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(m) for m, c in times.items()])
+        F.try_divide(F.sum(w * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), w))).alias(m) for m, c in times.items()])
     return sums.unpivot([], list(times), "method", "time")
 
 
 def fastest_per_jet(samples: DataFrame, keys=("file", "method"), time="seconds", jets="n_jets") -> DataFrame:
     """Smallest time per jet over the samples, in microseconds."""
-    return samples.groupBy(*keys).agg(F.min(F.col(time) * F.lit(1e6) / F.col(jets)).alias("time_per_jet"))
+    return samples.groupBy(*keys).agg(F.min(text.ratio(F.col(time) * F.lit(1e6), F.col(jets))).alias("time_per_jet"))
 
 
 def lookup_one(df: DataFrame, table: DataFrame, key: str) -> DataFrame:

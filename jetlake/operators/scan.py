@@ -146,9 +146,9 @@ def with_speedup(merged: DataFrame, strict=True) -> DataFrame:
         missing = F.raise_error(F.lit("cannot compute speedup: a workload has no 1-thread baseline"))
         joined = joined.withColumn(
             "baseline_events_per_second_median", F.when(b.isNull(), missing.cast("double")).otherwise(b))
-    speedup = F.col("events_per_second_median") / b
+    speedup = text.ratio(F.col("events_per_second_median"), b)
     return joined.withColumn("speedup_median", speedup).withColumn(
-        "efficiency_median", F.col("speedup_median") / F.col("threads"))
+        "efficiency_median", text.ratio(F.col("speedup_median"), F.col("threads")))
 
 
 def sorted_scan(summary: DataFrame) -> DataFrame:

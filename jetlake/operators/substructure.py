@@ -136,7 +136,7 @@ def soft_drop(jets: DataFrame, z_cut=0.1, beta=2.0, R0=1.0) -> DataFrame:
     """
     def accept(_, lead, other):
         angle = F.pow(_distance2(lead, other) / F.lit(float(R0 * R0)), F.lit(beta / 2.0))
-        share = F.least(lead["pt"], other["pt"]) / (lead["pt"] + other["pt"])
+        share = F.try_divide(F.least(lead["pt"], other["pt"]), lead["pt"] + other["pt"])
         return share > F.lit(float(z_cut)) * angle
 
     keys = [c for c in jets.columns if c != "particles"]

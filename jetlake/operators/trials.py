@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jetlake.constants import TIMING_STATS
+from jetlake.functions.text import ratio
 from jetlake.operators.grouping import checked_broadcast, join_on, quantiles
 
 STATS = ("n_samples", *TIMING_STATS)
@@ -78,18 +79,18 @@ def sample_moments(df: DataFrame, keys, value, n_events) -> DataFrame:
         (F.avg(v) / F.max(n)).alias("mean"),
         (F.coalesce(F.stddev_samp(v), F.lit(0.0)) / F.max(n)).alias("sigma"),
         (F.min(v) / F.max(n)).alias("lowest"),
-        (F.max(n) / F.min(v)).alias("event_rate"))
+        ratio(F.max(n), F.min(v)).alias("event_rate"))
 
 
 def sample_metrics(df: DataFrame, time="wall_time_seconds", events="measured_events",
                    allocated="allocated_bytes_total", gc="gc_time_seconds") -> DataFrame:
-    """Rates and per-event figures of each sample; the GC share of no time is 0."""
+    """Rates and per-event figures of each sample; in no time the rate is infinite, the GC share 0."""
     t = F.col(time)
     return df.withColumns({
-        "events_per_second": F.try_divide(F.col(events).cast("double"), t),
-        "time_per_event_seconds": F.try_divide(t, F.col(events)),
-        "allocated_bytes_per_event": F.try_divide(F.col(allocated).cast("double"), F.col(events)),
-        "gc_fraction": F.when(t == 0, F.lit(0.0)).otherwise(F.try_divide(F.col(gc), t))})
+        "events_per_second": ratio(F.col(events), t),
+        "time_per_event_seconds": ratio(t, F.col(events)),
+        "allocated_bytes_per_event": ratio(F.col(allocated), F.col(events)),
+        "gc_fraction": F.when(t == 0, F.lit(0.0)).otherwise(ratio(F.col(gc), t))})
 
 
 SUMMARY_METRICS = ("wall_time_seconds", "events_per_second", "allocated_bytes_total", "gc_fraction")

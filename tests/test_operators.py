@@ -251,7 +251,7 @@ def test_no_time_has_no_gc_share(spark):
     df = spark.createDataFrame([(0.0, 10, 5, 0.0), (2.0, 10, 5, 0.5)],
                                "wall_time_seconds double, measured_events int, allocated_bytes_total bigint, gc_time_seconds double")
     got = trials.sample_metrics(df).collect()
-    assert got[0].gc_fraction == 0.0 and got[0].events_per_second is None and got[1].gc_fraction == 0.25
+    assert got[0].gc_fraction == 0.0 and got[0].events_per_second == math.inf and got[1].gc_fraction == 0.25
 
 
 # Tables

@@ -173,12 +173,16 @@ def _first_step_arrays(steps):
             "dij": column(steps.dij, float)}
 
 
+def _flat(events, keep, particles):
+    """The columns to keep, and one array per momentum component."""
+    none = F.array().cast("array<double>")
+    return events.select(*keep, *[
+        F.coalesce(F.col(particles).getField(c), none).cast("array<double>").alias(f"_{c}") for c in COMPONENTS])
+
+
 def _cluster_map(events, spec, make, out, keep, particles, max_steps=None):
-    source = F.col(particles)
     kept = [c for c in events.columns if c in keep]
-    flat = events.select(*kept, *[
-        F.coalesce(source.getField(c), F.array().cast("array<double>")).cast("array<double>").alias(f"_{c}")
-        for c in COMPONENTS])
+    flat = _flat(events, kept, particles)
     schema = ", ".join([f"`{c}` {events.schema[c].dataType.simpleString()}" for c in kept] + [out])
 
     def work(batches):
@@ -243,7 +247,7 @@ def first_merge(events: DataFrame, algorithm="AntiKt", R=0.4, p=None, scheme="E"
         "parent1 int, parent2 int, dij double", keep, particles, max_steps=1)
 
 
-def parameter_grid(spark, algorithms, radii, powers=(None,), strategies=("Best",)) -> list[dict]:
+def parameter_grid(algorithms, radii, powers=(None,), strategies=("Best",)) -> list[dict]:
     """All consistent parameter combinations, with fixed powers filled in.
 
     A power list applies to the algorithms that take one.  Durham has no radius.
@@ -266,10 +270,7 @@ def scan(events: DataFrame, grid: list[dict], ptmin=5.0, particles="particles")
     """
     points = [(g, resolve(g["algorithm"], g["R"], g["p"], strategy=g.get("strategy", "Best"))) for g in grid]
     keep = [c for c in events.columns if c != particles]
-    source = F.col(particles)
-    flat = events.select(*keep, *[
-        F.coalesce(source.getField(c), F.array().cast("array<double>")).cast("array<double>").alias(f"_{c}")
-        for c in COMPONENTS])
+    flat = _flat(events, keep, particles)
     kept = [f"`{c}` {events.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join(kept + ["algorithm string", "strategy string", "R double", "p double",
                                f"jets array<{schemas.MOMENTUM}>"])

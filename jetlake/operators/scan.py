@@ -29,7 +29,7 @@ def json_rows(runs: DataFrame) -> DataFrame:
     """Scan rows of successful thread-run documents (medians of their samples)."""
     c = F.col
     wall = c("summary.wall_time_seconds_median")
-    package = c("packages.JetReconstruction")
+    package = c(f"packages.{DEFAULT_CODE}")
     julia = text.text_or(c("julia_version"), "unknown")
     allocated = c("summary.allocated_bytes_total_median")
     same = ("R", "p", "input_event_count", "measured_events", "nsamples", "repeats", "warmup_events",
@@ -103,7 +103,7 @@ def read_scan(spark, paths, output=None) -> DataFrame:
         parts.append(json_rows(runs.withColumn("_order", order)))
     for path in csv_paths:
         raw = spark.read.csv(path, header=True)
-        typed = tables._typed(raw.withColumns({
+        typed = tables.typed(raw.withColumns({
             "source_file": F.col("_metadata.file_path"), "_order": F.struct(*_order_fields(paths))}))
         parts.append(csv_rows(typed, path))
     if not parts:

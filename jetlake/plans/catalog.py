@@ -102,7 +102,7 @@ def jet_documents(spark, sf_dir):
 
 @query
 def param_scan(spark, sf_dir):
-    grid = clustering.parameter_grid(spark, ["AntiKt", "CA", "Kt"], [0.4, 1.0])
+    grid = clustering.parameter_grid(["AntiKt", "CA", "Kt"], [0.4, 1.0])
     found = clustering.scan(pipe.event_rows(spark, sf_dir), grid)
     total = F.aggregate("jets", F.lit(0.0), lambda a, j: a + kin.pt(j["px"], j["py"]))
     return rounded(found.select("algorithm", "R", "p", "event", F.size("jets").alias("n_jets"),

@@ -1,14 +1,11 @@
 """Spark types of the data model."""
 
-from jetlake.constants import SCAN_ROW
+from jetlake.constants import DEFAULT_CODE
 
 MOMENTUM = "struct<px:double,py:double,pz:double,e:double>"
-PARTICLE = ("struct<barcode:int,vertex:int,pdgid:int,"
-            "px:double,py:double,pz:double,e:double,status:int>")
 HISTORY = ("struct<parent1:int,parent2:int,child:int,jet:int,"
            "dij:double,max_dij:double>")
 
-MANIFEST = "File string, mean_particles double"
 OLD_RESULT = ("File string, mean_particles double, File_path string, "
               "n_samples int, time_per_event double")
 RESULT = OLD_RESULT + "".join(
@@ -17,8 +14,6 @@ RESULT = OLD_RESULT + "".join(
      "radius double, power double, threads int, schedule string, "
      "backend string, backend_version string")
 
-SCAN = ", ".join(f"`{name}` {kind}" for name, kind in SCAN_ROW)
-
 _SUMMARY = ", ".join(
     f"{m}_{s}: double"
     for m in ("wall_time_seconds", "events_per_second", "time_per_event_seconds",
@@ -42,7 +37,7 @@ THREAD_RUN = f"""
         total_memory_bytes: bigint>,
     git struct<repo_root: string, commit: string, short_commit: string, branch: string,
         is_dirty: boolean, remote_origin: string>,
-    packages struct<JetReconstruction: struct<name: string, version: string, uuid: string,
+    packages struct<{DEFAULT_CODE}: struct<name: string, version: string, uuid: string,
         tree_hash: string, git_revision: string, git_source: string, is_direct_dep: boolean,
         is_tracking_path: boolean, is_tracking_repo: boolean, source: string>>,
     benchmark_command string,

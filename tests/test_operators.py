@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from jetlake.constants import CODES
 from jetlake.functions import kinematics as kin
 from jetlake.functions import text
 from jetlake.operators import clustering, events as ev, grouping, multiplicity, results as res
@@ -80,7 +81,7 @@ def test_jet_documents_keep_or_drop_empty_events(spark, make_events):
 
 
 def test_parameter_grid():
-    grid = clustering.parameter_grid(None, ["AntiKt", "EEKt", "Durham"], [0.4, 1.0], [-1.0, 1.0])
+    grid = clustering.parameter_grid(["AntiKt", "EEKt", "Durham"], [0.4, 1.0], [-1.0, 1.0])
     assert len(grid) == 2 + 4 + 1
     assert {g["p"] for g in grid if g["algorithm"] == "AntiKt"} == {-1.0}
 
@@ -264,11 +265,11 @@ def result_rows(spark, data):
 def test_scan_rules(spark):
     base = ("AntiKt", "N2Plain", 0.4, -1.0)
     data = [("Fastjet", *base, 1, 100.0, "f", None), ("Fastjet", *base, 1, 300.0, "f", "dynamic"),
-            ("Fastjet", *base, 2, 50.0, "f", ""), ("JetReconstruction", *base, 2, 10.0, "f", None)]
+            ("Fastjet", *base, 2, 50.0, "f", ""), (CODES[0], *base, 2, 10.0, "f", None)]
     table = result_rows(spark, data).withColumn("_order", F.monotonically_increasing_id())
     one = scan.csv_rows(table)
     assert {(r.code, r.schedule, r.backend) for r in one.collect()} == {
-        ("Fastjet", "static", "C++"), ("Fastjet", "dynamic", "C++"), ("JetReconstruction", "julia_threads_default", "Julia")}
+        ("Fastjet", "static", "C++"), ("Fastjet", "dynamic", "C++"), (CODES[0], "julia_threads_default", "Julia")}
     merged = scan.merge_scan(one)
     fast = scan.with_speedup(merged.where("code = 'Fastjet'")).where("threads = 2").first()
     assert fast.baseline_events_per_second_median == pytest.approx((1e4 + 1e6 / 300) / 2)

@@ -5,6 +5,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from jetlake.constants import CODES
 from jetlake.operators import clustering, scan, selection
 from jetlake.plans import pipelines
 from jetlake.sources import event_files, sinks, tables
@@ -158,7 +159,7 @@ def run_document(threads, median, success=True):
             "measured_events": 200, "nsamples": 3, "julia_version": "1.11.1", "julia_threads": threads, "sample_index": None,
             "samples": [{"sample_index": 1, "wall_time_seconds": median, "events_per_second": 200 / median}],
             "summary": {"wall_time_seconds_median": median, "events_per_second_median": 200 / median},
-            "packages": {"JetReconstruction": {"version": "0.4.3"}}, "git": {"commit": "abc", "is_dirty": False},
+            "packages": {CODES[0]: {"version": "0.4.3"}}, "git": {"commit": "abc", "is_dirty": False},
             "hardware": {"cpu_threads": 16}, "runtime": {"environment": {"JULIA_NUM_GC_THREADS": None}}}
 
 
@@ -173,8 +174,8 @@ def test_mixed_scan(spark, tmp_path):
     summary = scan.scan_summary(spark, paths, output=paths[-1]).collect()
     shown = [(r.code, r.code_version, r.threads, r.schedule, r.raw_rows, r.nsamples, round(r.speedup_median, 6)) for r in summary]
     assert shown == [("Fastjet", "unknown", 1, "static", 1, 16, 1.0), ("Fastjet", "unknown", 4, "static", 1, None, 4.0),
-                     ("JetReconstruction", "0.4.3", 1, "julia_threads_default", 1, 3, 1.0),
-                     ("JetReconstruction", "0.4.3", 2, "julia_threads_default", 1, 3, 1.6)]
+                     (CODES[0], "0.4.3", 1, "julia_threads_default", 1, 3, 1.0),
+                     (CODES[0], "0.4.3", 2, "julia_threads_default", 1, 3, 1.6)]
     json_row = summary[2]
     assert json_row.time_per_event_seconds_median == 0.01 and json_row.repo_dirty is False and json_row.cpu_threads == 16
     with pytest.raises(ValueError, match="unsupported input extension"):

@@ -63,7 +63,9 @@ def update_state(spark: SparkSession, arrivals: str, state: str, files_per_trigg
     best = F.max(F.struct("chars", (-F.col("doc_id")).alias("id"), (-F.col("row")).alias("row"), "file"))
     retained = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
     with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-                             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}):
+                             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+                             # no space is set aside in advance: many partitions then cost no more than their keys
+                             "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}):
         query = (retained.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
                  .option("checkpointLocation", state).start())
         query.awaitTermination()

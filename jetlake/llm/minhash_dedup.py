@@ -99,7 +99,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on the full shingle sets."""
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids), "id", "left_semi")
-    # A repeated id has equal text in all its rows or counts as its first by text.
+    # An id with several texts counts with the least of its sets.
     sets = staged(texts.mapInArrow(_sets, "id long, shingles array<long>").groupBy("id")
                   .agg(F.min("shingles").alias("shingles")), "sets")
     rows = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -109,41 +109,79 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
+def _own_shingles(batches):
+    """(shingle, rows, owner): shingles counted within a piece of the input before they are exchanged."""
+    for batch in slices(batches, 4096):
+        ids = batch.column("id").to_numpy()
+        found = [shingle_set(text) for text in texts_of(batch)]
+        joined = np.concatenate(found) if found else np.array([], np.uint64)
+        owners = np.repeat(ids, [len(f) for f in found])
+        values, first, counts = np.unique(joined, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(values.view(np.int64)), pa.array(counts, pa.int64()), pa.array(owners[first], pa.int64())],
+            names=["shingle", "rows", "owner"])
+
+
+def private_sizes(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of a class occur in no other class of ``ids``."""
+    texts = (docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids), "id", "left_semi")
+             .groupBy("id").agg(F.min("text").alias("text")))
+    counted = texts.mapInArrow(_own_shingles, "shingle long, rows long, owner long")
+    single = counted.groupBy("shingle").agg(F.sum("rows").alias("rows"), F.min("owner").alias("owner")).where("rows = 1")
+    return single.groupBy(F.col("owner").alias("id")).agg(F.count("*").alias("own"))
+
+
 def _candidates(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (pivot, member) of a band whose sizes allow the similarity."""
-    pivots = pivots.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    """Distinct pairs (pivot, member) of a band that the sizes allow: no more than ``s`` shingles can be common."""
+    pivots = pivots.select("band", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps"),
+                           F.col("label").alias("pl"))
     pairs = members.join(pivots, "band").where(
-        f"a < id and la <> label and 100 * least(n, na) >= {percent} * greatest(n, na)")
-    return pairs.select("a", F.col("id").alias("b")).distinct()
+        f"p <> id and pl <> label and 100 * least(s, ps, n, pn) >= {percent} * (n + pn - least(s, ps, n, pn))")
+    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their labels, of the bands that still hold several components."""
+    members = members.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return members.join(several.select("band"), "band", "left_semi")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(id, label) of the classes that have a link; classes: id, n, bands."""
-    buckets = classes.select(F.explode("bands").alias("band"), "id", "n", F.col("id").alias("label"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("members"), F.min("id").alias("first")).where("members > 1")
+    """(id, label) of the classes that have a link; classes: id, n, bands.
+
+    The first pivot of a band is the member that shares most bands with others,
+    the likely origin of a group of copies.  Later pivots come in blocks, members
+    without links first.  Before them, shingles that no other open member has
+    bound what a member can have in common with any other.
+    """
+    buckets = classes.select(F.explode("bands").alias("band"), "id", "n", F.col("n").alias("s"), F.col("id").alias("label"))
+    shared = buckets.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     members = staged(buckets.join(shared, "band"), "members")
-    links, labels, pivots_per_band = None, None, 1
+    degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
+    ranked = members.drop("members").join(degree, "id")
+    first = staged(ranked.groupBy("band").agg(
+        F.max(F.struct("degree", (-F.col("id")).alias("neg"), "n")).alias("m"))
+        .select("band", (-F.col("m.neg")).alias("id"), F.col("m.n").alias("n"), F.col("m.n").alias("s"),
+                (-F.col("m.neg")).alias("label")), "pivots")
+    members, pivots, links, block = members.drop("members"), first, None, 1
     while True:
-        if labels is None:
-            pivots = members.where("id = first")
-            rest = members.where("id <> first")
-        else:
-            order = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-            pivots = members.withColumn("rank", order).where(F.col("rank") <= pivots_per_band).drop("rank")
-            pivots = staged(pivots, "pivots")
-            rest = members
-        pairs = staged(_candidates(rest, pivots, percent), "pairs")
+        pairs = staged(_candidates(members, pivots, percent), "pairs")
         found = staged(confirmed(docs, pairs, percent), "links")
         links = found if links is None else links.union(found)
         labels = components(links)
-        last = pivots.select("band", "id")
-        left = rest.join(last, ["band", "id"], "left_anti") if rest is members else rest
-        left = (left.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-        open_bands = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        members = staged(left.join(open_bands.select("band"), "band", "left_semi"), "members")
+        left = members.join(pivots.select("band", "id"), ["band", "id"], "left_anti")
+        members = staged(_unresolved(left, labels), "members")
         if members.isEmpty():
             return labels
-        pivots_per_band *= 4
+        if block == 1:
+            ids = staged(members.select("id").distinct(), "ids")
+            own = private_sizes(docs, ids)
+            members = staged(members.drop("s").join(own, "id", "left")
+                             .withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "members")
+        block *= 8
+        order = F.row_number().over(Window.partitionBy("band").orderBy(F.col("label") != F.col("id"), "id"))
+        pivots = staged(members.withColumn("rank", order).where(F.col("rank") <= block).drop("rank"), "pivots")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, permutations: int = PERMUTATIONS, band: int = BAND) -> DataFrame:

@@ -30,4 +30,25 @@ g AS (SELECT doc_id, sha, first_value(doc_id) OVER (PARTITION BY sha ORDER BY ch
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha AS text_sha256 FROM g
 """
 
-ORACLES = {"op1_minhash_dedup": OP1, "op4_exact_dedup": OP4}
+PROBE = r"\### Assistant: </turn> ok"
+ESCAPED = r"regexp_replace({}, '([\\<>])', '\\\1', 'g')"
+
+OP7 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}')) p)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE role WHEN 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(16 + length({ESCAPED.format('role')}) + length({ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP8 = f"""
+WITH d AS ({SHINGLES.format(id='doc_id', table='documents')}), i AS ({SHINGLES.format(id='item_id', table='benchmark')}),
+dx AS (SELECT id, unnest(s) AS x FROM d), ix AS (SELECT id, len(s) AS n, unnest(s) AS x FROM i)
+SELECT dx.id AS doc_id, ix.id AS item_id, ix.n AS item_shingles, count(*) AS common
+FROM dx JOIN ix ON dx.x = ix.x GROUP BY dx.id, ix.id, ix.n HAVING 100 * count(*) >= 80 * ix.n
+"""
+
+ORACLES = {"op1_minhash_dedup": OP1, "op4_exact_dedup": OP4, "op7_chat_format": OP7, "op8_decontamination": OP8}

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jetlake.llm import exact_dedup, minhash_dedup
+from jetlake.llm import decontamination, exact_dedup, minhash_dedup, sentencepiece_codec, toxicity
 from jetlake.llm.common import staged
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go."""
+    return toxicity.accepted_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact_dedup.kept_documents(docs)
@@ -18,8 +23,25 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_dedup.kept_documents(docs)
 
 
-STAGES = [("exact dedup", exact), ("MinHash near-dedup", near)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, encoded and decoded."""
+    return sentencepiece_codec.digests(docs)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("benchmark decontamination", decontaminated),
+    ("SentencePiece encoding and decoding", encoded),
+]
 
+#: The first stage is a trained model and the last a segmentation: SQL states neither.
 ORACLE_SQL = None
 
 

@@ -1,15 +1,18 @@
 """The registered queries of this subpackage, by name."""
 
 import corpus_pipeline
-from jetlake.llm import chat_format, decontamination, exact_dedup, minhash_dedup, toxicity
+from jetlake.llm import (
+    chat_format, decontamination, exact_dedup, minhash_dedup, sentencepiece_codec, token_counts, toxicity)
 from jetlake.llm.sql import ORACLES
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.query,
+    "op2_sentencepiece": sentencepiece_codec.query,
     "op4_exact_dedup": exact_dedup.query,
     "op6_toxicity": toxicity.query,
     "op7_chat_format": chat_format.query,
     "op8_decontamination": decontamination.query,
+    "op9_token_counts": token_counts.query,
     "pipeline": corpus_pipeline.query,
 }
 

@@ -222,5 +222,12 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
+def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that the model does not reject, columns as they came; rows without id stay."""
+    rejected = staged(scores(docs, labels).where("predicted = 1 and doc_id is not null")
+                      .select(F.col("doc_id").alias("__id")).distinct(), "rejected")
+    return docs.join(small(rejected), F.col("doc_id") == F.col("__id"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,17 +2,21 @@
 
 import corpus_pipeline
 from jetlake.llm import (
-    chat_format, decontamination, exact_dedup, minhash_dedup, sentencepiece_codec, token_counts, toxicity)
+    chat_format, decontamination, exact_dedup, html_extract, minhash_dedup, pii, sentencepiece_codec, substring_dedup,
+    token_counts, toxicity)
 from jetlake.llm.sql import ORACLES
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.query,
     "op2_sentencepiece": sentencepiece_codec.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_pii": pii.query,
     "op6_toxicity": toxicity.query,
     "op7_chat_format": chat_format.query,
     "op8_decontamination": decontamination.query,
     "op9_token_counts": token_counts.query,
+    "op10_html_extraction": html_extract.query,
     "pipeline": corpus_pipeline.query,
 }
 

@@ -55,6 +55,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bounded_texts(df: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` distinct texts with the least hashes; only hashes are sorted, texts stay spread."""
+    hashed = df.withColumn("__o", F.xxhash64("text"))
+    last = hashed.select("__o").distinct().orderBy("__o").limit(rows).agg(F.max("__o")).first()[0]
+    return hashed.where(F.col("__o") <= F.lit(last).cast("long")).dropDuplicates(["__o"]).drop("__o")
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: any others, whatever their names, stay out of the plan."""
     return df.select(*names)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jetlake.llm.common import columns, mixed, slices, small, staged, texts_of
+from jetlake.llm.common import bounded_texts, columns, mixed, slices, small, staged, texts_of
 
 HISTORY = 5
 SLOT_BITS = 21
@@ -212,8 +212,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = ratios(counted) if usable else ratios(counted).limit(0)
     model = spark.sparkContext.broadcast(model_arrays(table))
     # A bounded sample of labelled rows fits the two numbers of the curve.
-    calibration = (labelled([1]).select("toxic", "text", F.xxhash64("text").alias("o"))
-                   .orderBy("o").limit(CURVE_ROWS).select("toxic", "text"))
+    calibration = bounded_texts(labelled([1]), CURVE_ROWS)
     fitted = with_evidence(calibration, model).toArrow()
     scale, slope, level = fit_curve(fitted.column("evidence").to_numpy(), fitted.column("toxic").to_numpy().astype(float))
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.log1p(F.col("evidence") / F.lit(scale)) + F.lit(level))))

@@ -80,5 +80,5 @@ METRIC_COLUMNS = {
     "throughput": "events_per_second_median",
 }
 
-# |PDG id| of charged particles that can appear with final status; others count as neutral.
-CHARGED_PDG = (11, 13, 15, 24, 211, 321, 411, 431, 521, 541, 2212, 3112, 3222, 3312, 3334)
+# |PDG id| of charged particles that are not hadrons: quarks, leptons, bosons.
+CHARGED_ELEMENTARY = (*range(1, 9), 11, 13, 15, 17, 24, 34, 37)

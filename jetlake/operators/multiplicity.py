@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jetlake.constants import CHARGED_PDG
+from jetlake.constants import CHARGED_ELEMENTARY
 from jetlake.operators.events import FINAL_STATE
 
 
@@ -26,7 +26,21 @@ def event_counts(particles: DataFrame, keys=("event",), charged=False) -> DataFr
 
 
 def is_charged(pdgid):
-    return F.abs(pdgid).isin(*CHARGED_PDG)
+    """Whether a particle number stands for a charged particle, by its digits.
+
+    Nuclei are 10LZZZAAAI.  Hadrons name their quarks by three digits in front of
+    the last one; quarks 2, 4 and 6 have the upper charge.  A meson (first digit
+    0) is charged if its quarks differ in that, a baryon unless exactly one of
+    its three has the upper charge.
+    """
+    code = F.abs(pdgid).cast("long")
+    digit = lambda place: F.floor(code / place) % 10
+    upper = lambda place: digit(place).isin(2, 4, 6).cast("int")
+    nucleus = F.floor(code / 10_000) % 1000 > 0
+    baryon = upper(10) + upper(100) + upper(1000) != 1
+    meson = upper(10) != upper(100)
+    return (F.when(code >= 1_000_000_000, nucleus).when(code <= 100, code.isin(*CHARGED_ELEMENTARY))
+            .when(digit(1000) > 0, baryon).otherwise(meson))
 
 
 def charged_counts(events: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Thread scans: one row shape for all inputs, medians per setting, speedup."""
 
+import os
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +64,13 @@ def json_rows(runs: DataFrame) -> DataFrame:
         "julia_num_gc_threads": c("runtime.environment.JULIA_NUM_GC_THREADS"),
         "julia_exclusive": c("runtime.environment.JULIA_EXCLUSIVE"),
     }
-    return scan_rows(runs.where("success"), values)
+    known = F.when(c("success").isNull(), F.raise_error(F.concat(F.lit("no success field in "), c("source_file"))))
+    return scan_rows(runs.where(known.otherwise(c("success"))), values)
+
+
+def skipped_runs(runs: DataFrame) -> DataFrame:
+    """The documents that the merge leaves out because their run failed: source_file."""
+    return runs.where(~F.col("success")).select("source_file")
 
 
 def csv_rows(results: DataFrame, name="results") -> DataFrame:
@@ -97,14 +106,18 @@ def read_scan(spark, paths, output=None) -> DataFrame:
     """Scan rows of a mixed list of thread-run JSON files and result CSV files."""
     json_paths, csv_paths = tables.split_by_format(paths, output)
     parts = []
+    order = {path: F.lit(n).alias("file") for n, path in enumerate(paths)}
     if json_paths:
         runs = tables.read_thread_runs(spark, json_paths)
-        order = F.struct(*_order_fields(paths))
-        parts.append(json_rows(runs.withColumn("_order", order)))
+        placed = runs.withColumn("_path", _path_key(F.col("_metadata.file_path")))
+        known = spark.createDataFrame([(_absolute(p), n) for n, p in enumerate(paths)], "_path string, _file int")
+        placed = placed.withColumns(_order_fields()).join(F.broadcast(known), "_path", "left")
+        parts.append(json_rows(placed.withColumn("_order", F.struct(F.col("_file").alias("file"), "block", "row"))))
     for path in csv_paths:
         raw = spark.read.csv(path, header=True)
         typed = tables.typed(raw.withColumns({
-            "source_file": F.col("_metadata.file_path"), "_order": F.struct(*_order_fields(paths))}))
+            "source_file": F.col("_metadata.file_path"),
+            "_order": F.struct(order[path], *[v.alias(k) for k, v in _order_fields().items()])}))
         parts.append(csv_rows(typed, path))
     if not parts:
         raise ValueError("no input rows to merge")
@@ -114,11 +127,18 @@ def read_scan(spark, paths, output=None) -> DataFrame:
     return rows
 
 
-def _order_fields(paths):
-    names = F.array(*[F.lit(p.rsplit("/", 1)[-1]) for p in paths])
-    path = F.col("_metadata.file_path")
-    return [F.array_position(names, F.element_at(F.split(path, "/"), -1)).alias("file"),
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+def _order_fields():
+    return {"block": F.col("_metadata.file_block_start"), "row": F.monotonically_increasing_id()}
+
+
+def _path_key(path):
+    """A path without scheme and authority."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def _absolute(path: str) -> str:
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
+    return bare if bare.startswith("/") else os.path.abspath(bare)
 
 
 def merge_scan(rows: DataFrame, order="_order") -> DataFrame:
@@ -157,4 +177,7 @@ def sorted_scan(summary: DataFrame) -> DataFrame:
 
 def scan_summary(spark, paths, output=None) -> DataFrame:
     """The whole merge: mixed files to a sorted table of medians, speedup and efficiency."""
-    return sorted_scan(with_speedup(merge_scan(read_scan(spark, paths, output))))
+    rows = read_scan(spark, paths, output)
+    if rows.isEmpty():
+        raise ValueError("no successful run to merge")
+    return sorted_scan(with_speedup(merge_scan(rows)))

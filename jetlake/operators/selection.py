@@ -58,13 +58,17 @@ def by_pt(jets: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda x: x["j"])
 
 
-def select_jets(clustered: DataFrame, ptmin=None, dcut=None, njets=None) -> DataFrame:
+def select_jets(clustered: DataFrame, ptmin=None, dcut=None, njets=None, too_few="error") -> DataFrame:
     """Replace ``jets`` by the selected jets, hardest first.
 
     Exactly one of: ``ptmin`` (inclusive), ``dcut`` or ``njets`` (exclusive).
+    An event with fewer than ``njets`` particles fails, or with
+    ``too_few="none"`` stays with an empty list.
     """
     if sum(x is not None for x in (ptmin, dcut, njets)) != 1:
         raise ValueError("exactly one of ptmin, dcut and njets must be given")
+    if too_few not in ("error", "none"):
+        raise ValueError("too_few must be 'error' or 'none'")
     history = F.col("history")
     if ptmin is not None:
         chosen = F.filter(F.transform(beam_entries(), _jet_of), lambda j: _pt(j) >= F.lit(float(ptmin)))
@@ -77,7 +81,7 @@ def select_jets(clustered: DataFrame, ptmin=None, dcut=None, njets=None) -> Data
         inputs = (F.size(history) / 2).cast("int")
         chosen = F.when(
             inputs < njets,
-            F.raise_error(F.format_string(
+            F.slice("jets", 1, 0) if too_few == "none" else F.raise_error(F.format_string(
                 f"{njets} exclusive jets requested from an event with %d particles", inputs)),
         ).otherwise(_exclusive(F.greatest(2 * inputs - F.lit(int(njets)), inputs)))
     rest = [c for c in clustered.columns if c not in ("jets", "history", "membership", "particles")]

@@ -22,12 +22,10 @@ def jets(spark, sf_dir, algorithm="AntiKt", R=0.4, p=None, ptmin=5.0, event="l_p
 
 
 def exclusive(spark, sf_dir, algorithm, R, p=None, dcut=None, njets=None) -> DataFrame:
-    """Exclusive jets as rows; a jet number only applies to events with enough particles."""
-    events = event_rows(spark, sf_dir)
-    if njets is not None:
-        events = events.where(F.size("particles") >= njets)
-    sequence = clustering.cluster(events, algorithm, R, p)
-    return selection.jet_rows(selection.select_jets(sequence, dcut=dcut, njets=njets))
+    """Exclusive jets as rows; with a jet number, an event of too few particles stays as one row without a jet."""
+    sequence = clustering.cluster(event_rows(spark, sf_dir), algorithm, R, p)
+    chosen = selection.select_jets(sequence, dcut=dcut, njets=njets, too_few="none")
+    return selection.jet_rows(chosen, keep_empty=njets is not None)
 
 
 def groomed(spark, sf_dir, method, R=1.0, **params) -> DataFrame:

@@ -94,10 +94,9 @@ def inclusive(ptmin=5.0, **options):
 
 
 def exclusive_njets(k, **options):
-    part = PART.replace("WHERE status = 1)", "WHERE status = 1 "
-                        f"QUALIFY count(*) OVER (PARTITION BY event) >= {k})")
     state = cluster(stop=f"AND n - step > {k}", **options)
-    return f"WITH RECURSIVE {part}, {state} {_shown('st', f'done = 0 AND n - step = {k}')}"
+    few = f"SELECT event, NULL, NULL, NULL, NULL FROM st WHERE step = 0 AND n < {k} GROUP BY event"
+    return f"WITH RECURSIVE {PART}, {state} {_shown('st', f'done = 0 AND n - step = {k}')} UNION ALL {few}"
 
 
 def exclusive_dcut(dcut, **options):
@@ -485,7 +484,7 @@ def figure_queries():
     label = "CASE code " + " ".join(
         "WHEN '{}' THEN '{}'".format(k, v.replace("\n", "' || chr(10) || '")) for k, v in CODE_LABELS.items()) + " END"
     xy = "mean_particles AS x, round(time_per_event, 5) AS y"
-    wide = "trial % 1000 AS trial, max(time_us) FILTER (WHERE workload = '{w}') AS v"
+    wide = "trial, max(time_us) FILTER (WHERE workload = '{w}') AS v"
     return {
         "figure_series": f"""SELECT algorithm, radius, code, code_version,
   CAST(dense_rank() OVER (ORDER BY algorithm, radius) AS INT) AS facet_no,

@@ -132,11 +132,17 @@ def private_sizes(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _candidates(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (pivot, member) of a band that the sizes allow: no more than ``s`` shingles can be common."""
+    """Distinct pairs (pivot, member) of a band that the sizes allow: no more than ``s`` shingles can be common.
+
+    Pivots that know the bands they ``led`` meet a member in the first of its ``open`` bands only.
+    """
+    condition = f"p <> id and pl <> label and 100 * least(s, ps, n, pn) >= {percent} * (n + pn - least(s, ps, n, pn))"
+    led = ["led"] if "led" in pivots.columns else []
+    if led:
+        condition += " and array_min(array_intersect(led, open)) = band"
     pivots = pivots.select("band", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps"),
-                           F.col("label").alias("pl"))
-    pairs = members.join(pivots, "band").where(
-        f"p <> id and pl <> label and 100 * least(s, ps, n, pn) >= {percent} * (n + pn - least(s, ps, n, pn))")
+                           F.col("label").alias("pl"), *led)
+    pairs = members.join(pivots, "band").where(condition)
     return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
@@ -153,7 +159,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     The first pivot of a band is the member that shares most bands with others,
     the likely origin of a group of copies.  Later pivots come in blocks, members
     without links first.  Before them, shingles that no other open member has
-    bound what a member can have in common with any other.
+    bound what a member can have in common with any other.  From then on a pair
+    is made once, not in every band it shares: a band of ``open`` that a member
+    has left since is one where it was a pivot and met all others.
     """
     buckets = classes.select(F.explode("bands").alias("band"), "id", "n", F.col("n").alias("s"), F.col("id").alias("label"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
@@ -165,6 +173,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
         .select("band", (-F.col("m.neg")).alias("id"), F.col("m.n").alias("n"), F.col("m.n").alias("s"),
                 (-F.col("m.neg")).alias("label")), "pivots")
     members, pivots, links, block = members.drop("members"), first, None, 1
+    bands_of = Window.partitionBy("id")
     while True:
         pairs = staged(_candidates(members, pivots, percent), "pairs")
         found = staged(confirmed(docs, pairs, percent), "links")
@@ -178,10 +187,12 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
             ids = staged(members.select("id").distinct(), "ids")
             own = private_sizes(docs, ids)
             members = staged(members.drop("s").join(own, "id", "left")
-                             .withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "members")
+                             .withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+                             .withColumn("open", F.collect_list("band").over(bands_of)), "members")
         block *= 8
         order = F.row_number().over(Window.partitionBy("band").orderBy(F.col("label") != F.col("id"), "id"))
-        pivots = staged(members.withColumn("rank", order).where(F.col("rank") <= block).drop("rank"), "pivots")
+        pivots = staged(members.drop("open").withColumn("rank", order).where(F.col("rank") <= block).drop("rank")
+                        .withColumn("led", F.collect_list("band").over(bands_of)), "pivots")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, permutations: int = PERMUTATIONS, band: int = BAND) -> DataFrame:

@@ -26,11 +26,13 @@ class Vocabulary:
     unknown: float = 0.0
     splits: bool = True  # no piece has a space after another character
     texts: dict[int, bytes] = field(default_factory=dict)
+    prefixes: dict[str, float] = field(default_factory=dict)  # score of a piece, NEVER for what only begins one
 
     def __post_init__(self):
         self.longest = max(map(len, self.scores))
         self.unknown = min(self.scores.values()) - 10
         self.splits = not any(" " in piece.lstrip(" ") for piece in self.scores)
+        self.prefixes = {piece[:k]: self.scores.get(piece[:k], NEVER) for piece in self.scores for k in range(1, len(piece) + 1)}
         self.texts = {number: piece.encode() for piece, number in self.ids.items()}
         self.texts |= {number: bytes([value]) for value, number in enumerate(self.byte_ids)}
 
@@ -69,15 +71,22 @@ def step(text: str, end: int, best: list[float], vocabulary: Vocabulary, first:
 
 def forward(text: str, vocabulary: Vocabulary, entry: list[float] | None = None) -> tuple[list[float], list[int]]:
     """Best score of each end and the start of its last piece; ``entry`` gives the scores of the first ends."""
-    best, starts = ([0.0], [-1]) if entry is None else (list(entry), [-1] * len(entry))
-    entries = len(best)
-    for end in range(1, len(text) + 1):
-        top, start = step(text, end, best, vocabulary)
-        if end < entries:
-            best[end], starts[end] = (best[end], -1) if best[end] >= top else (top, start)
-        else:
-            best.append(top)
-            starts.append(start)
+    size, score_of = len(text), vocabulary.prefixes.get
+    best = [0.0] if entry is None else list(entry)
+    best += [NEVER] * (size + 1 - len(best))
+    starts = [-1] * len(best)
+    for begin in range(size):
+        base = best[begin]
+        if base == NEVER:
+            continue
+        for end in range(begin + 1, size + 1):
+            score = score_of(text[begin:end])
+            if score is None:
+                break
+            if base + score > best[end]:
+                best[end], starts[end] = base + score, begin
+        if text[begin] not in vocabulary.scores and base + vocabulary.unknown > best[begin + 1]:
+            best[begin + 1], starts[begin + 1] = base + vocabulary.unknown, begin
     return best, starts
 
 

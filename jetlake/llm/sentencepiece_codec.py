@@ -23,7 +23,6 @@ table gives an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,41 +31,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jetlake.llm.common import slices, small, staged, texts_of
-from jetlake.llm.unigram import NEVER, Vocabulary, forward, load, pieces, segment, units
+from jetlake.llm.unigram import NEVER, Lattice, Vocabulary, forward, load, pieces, segment, units
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 CACHED_UNITS, CACHED_LENGTH = 300_000, 40
+BLOCK = 8192  # units segmented together
 
 _CHUNKS = "id string, doc_id long, chunk int, body string, ahead string"
 _RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Encoder:
-    """Segments units and remembers the common ones, in bounded memory."""
+    """Segments units and remembers the common ones, in bounded memory.
+
+    New units of a piece of the input are segmented together.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.lattice = Lattice(vocabulary)
         self.known: dict[str, bytes] = {}
-        self.scored = lru_cache(CACHED_UNITS)(lambda unit: forward(unit, vocabulary)[0][-1])
+        self.scored: dict[str, float] = {}
+
+    def _learn(self, found: set[str]):
+        """Segment the units that are not known yet; the long ones are left out."""
+        new = [unit for unit in found.difference(self.known) if len(unit) <= CACHED_LENGTH]
+        if len(self.known) + len(new) > CACHED_UNITS:
+            self.known.clear()
+            self.scored.clear()
+            new = [unit for unit in found if len(unit) <= CACHED_LENGTH]
+        new.sort(key=len)
+        for start in range(0, len(new), BLOCK):
+            block = new[start:start + BLOCK]
+            ids, scores = self.lattice.segmented(block)
+            self.known.update(zip(block, ids))
+            self.scored.update(zip(block, scores))
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers in one string of bytes."""
+        split = [units(text, self.vocabulary) for text in texts]
+        self._learn(set().union(*split))
+        known, out = self.known.get, []
+        for words in split:
+            found = list(map(known, words))
+            if None in found:
+                found = [np.array(segment(unit, self.vocabulary), np.int32).tobytes() if ids is None else ids
+                         for unit, ids in zip(words, found)]
+            out.append(b"".join(found))
+        return out
 
     def ids(self, text: str) -> bytes:
-        """Ids as 32-bit integers in one string of bytes."""
-        known, out = self.known, []
-        for unit in units(text, self.vocabulary):
-            found = known.get(unit)
-            if found is None:
-                found = np.array(segment(unit, self.vocabulary), np.int32).tobytes()
-                if len(unit) <= CACHED_LENGTH:
-                    if len(known) >= CACHED_UNITS:
-                        known.clear()
-                    known[unit] = found
-            out.append(found)
-        return b"".join(out)
+        return self.all_ids([text])[0]
 
     def score(self, text: str) -> float:
-        return sum(self.scored(u) if len(u) <= CACHED_LENGTH else forward(u, self.vocabulary)[0][-1]
-                   for u in units(text, self.vocabulary))
+        words = units(text, self.vocabulary)
+        self._learn(set(words))
+        return sum(self.scored[u] if len(u) <= CACHED_LENGTH else forward(u, self.vocabulary)[0][-1] for u in words)
 
     def decoded(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.texts.__getitem__, np.frombuffer(ids, np.int32).tolist()))
@@ -215,8 +236,8 @@ def _traced(batches, vocabulary):
 
 def _whole(batches, vocabulary):
     encoder = Encoder(vocabulary)
-    for batch in slices(batches):
-        ids = [encoder.ids(" " + text) if text else b"" for text in texts_of(batch)]
+    for batch in slices(batches, 128):
+        ids = encoder.all_ids([" " + text if text else "" for text in texts_of(batch)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
 

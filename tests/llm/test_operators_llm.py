@@ -221,6 +221,16 @@ def test_segmentation_against_library():
         assert total(library.encode(word)) <= total(unigram.segment(" " + word, vocabulary))
 
 
+def test_lattice_equals_single_units():
+    vocabulary, pick = unigram.load(sentencepiece_codec.MODEL), random.Random(5)
+    letters = "aeinrst  \u00e4\u00df\u65e5\u672c\u2581\x00\x7f\x80\u07ff\u0800\uffff\U00010000\U0010ffff\ud800"
+    found = ["".join(pick.choices(letters, k=pick.randint(1, 40))) for _ in range(2000)]
+    ids, scores = unigram.Lattice(vocabulary).segmented(found)
+    for unit, got, score in zip(found, ids, scores):
+        assert np.frombuffer(got, np.int32).tolist() == unigram.segment(unit, vocabulary)
+        assert score == unigram.forward(unit, vocabulary)[0][-1]
+
+
 def test_segmentation_against_enumeration():
     vocabulary = unigram.load(sentencepiece_codec.MODEL)
 

@@ -131,18 +131,58 @@ def private_sizes(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return single.groupBy(F.col("owner").alias("id")).agg(F.count("*").alias("own"))
 
 
+def bitset(shingles: np.ndarray) -> np.ndarray:
+    """Which of a power of two of buckets (at least four for each shingle, within 256 to 16,384) are taken, as 64-bit words."""
+    size = 1 << min(max(int(4 * len(shingles) - 1).bit_length(), 8), 14)
+    taken = np.zeros(size, np.uint8)
+    taken[shingles & np.uint64(size - 1)] = 1
+    return np.packbits(taken, bitorder="little").view(np.uint64)
+
+
+def _bitsets(batches):
+    for batch in slices(batches):
+        offsets, found = [0], [np.array([], np.uint64)]
+        for text in texts_of(batch):
+            found.append(bitset(shingle_set(text)))
+            offsets.append(offsets[-1] + len(found[-1]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), long_list(offsets, np.concatenate(found))], names=["id", "bits"])
+
+
+def bitsets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, bits) of the classes; an id with several texts has none."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids), "id", "left_semi")
+    found = texts.mapInArrow(_bitsets, "id long, bits array<long>")
+    return found.groupBy("id").agg(F.min("bits").alias("bits"), F.max("bits").alias("other")).where("bits = other").drop("other")
+
+
+def _lacking(one: str, other: str):
+    """At least so many shingles of ``one`` are not in ``other``: each bucket that only ``one`` takes holds such a shingle."""
+    def folded(name, against):
+        bits, half = F.col(name), F.expr(f"size({name}) div 2")
+        halves = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseOR(y))
+        return F.when(F.size(bits) > F.size(against), halves).otherwise(bits)
+
+    only = F.zip_with(folded(one, other), folded(other, one), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.coalesce(F.aggregate(only, F.lit(0), lambda total, count: total + count), F.lit(0))
+
+
 def _candidates(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (pivot, member) of a band that the sizes allow: no more than ``s`` shingles can be common.
 
-    Pivots that know the bands they ``led`` meet a member in the first of its ``open`` bands only.
+    Pivots that know the bands they ``led`` meet a member in the first of its ``open`` bands only,
+    and only if the buckets of both sets allow enough common shingles.
     """
     condition = f"p <> id and pl <> label and 100 * least(s, ps, n, pn) >= {percent} * (n + pn - least(s, ps, n, pn))"
-    led = ["led"] if "led" in pivots.columns else []
-    if led:
-        condition += " and array_min(array_intersect(led, open)) = band"
+    led = ["led", F.col("bits").alias("pbits")] if "led" in pivots.columns else []
     pivots = pivots.select("band", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps"),
                            F.col("label").alias("pl"), *led)
-    pairs = members.join(pivots, "band").where(condition)
+    allowed = F.expr(condition)
+    if led:
+        common = F.least(F.col("n") - _lacking("bits", "pbits"), F.col("pn") - _lacking("pbits", "bits"))
+        allowed &= F.expr("array_min(array_intersect(led, open)) = band")
+        allowed &= (100 + percent) * common >= percent * (F.col("n") + F.col("pn"))
+    pairs = members.join(pivots, "band").where(allowed)
     return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
@@ -159,7 +199,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     The first pivot of a band is the member that shares most bands with others,
     the likely origin of a group of copies.  Later pivots come in blocks, members
     without links first.  Before them, shingles that no other open member has
-    bound what a member can have in common with any other.  From then on a pair
+    bound what a member can have in common with any other, and the buckets that
+    its shingles take what two members can have in common.  From then on a pair
     is made once, not in every band it shares: a band of ``open`` that a member
     has left since is one where it was a pivot and met all others.
     """
@@ -186,7 +227,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
         if block == 1:
             ids = staged(members.select("id").distinct(), "ids")
             own = private_sizes(docs, ids)
-            members = staged(members.drop("s").join(own, "id", "left")
+            members = staged(members.drop("s").join(own, "id", "left").join(bitsets(docs, ids), "id", "left")
                              .withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
                              .withColumn("open", F.collect_list("band").over(bands_of)), "members")
         block *= 8

@@ -221,6 +221,20 @@ def test_segmentation_against_library():
         assert total(library.encode(word)) <= total(unigram.segment(" " + word, vocabulary))
 
 
+def test_buckets_bound_what_sets_share(spark):
+    pick, rows = np.random.default_rng(3), []
+    for size in (1, 40, 200, 255, 257, 700, 6000):
+        one = pick.integers(0, 2**63, size, np.uint64)
+        other = np.concatenate([one[size // 10:], pick.integers(0, 2**63, size // 5, np.uint64)])
+        rows.append(([*minhash_dedup.bitset(one).view(np.int64).tolist()], [*minhash_dedup.bitset(other).view(np.int64).tolist()],
+                     len(np.setdiff1d(one, other)), len(np.setdiff1d(other, one))))
+    rows.append((None, rows[0][1], 0, 0))
+    found = spark.createDataFrame(rows, "x array<long>, y array<long>, a int, b int").select(
+        "a", "b", minhash_dedup._lacking("x", "y").alias("la"), minhash_dedup._lacking("y", "x").alias("lb")).collect()
+    assert all(r.la <= r.a and r.lb <= r.b for r in found)
+    assert all(r.la >= r.a / 2 and r.lb >= r.b / 2 for r in found[:6])
+
+
 def test_lattice_equals_single_units():
     vocabulary, pick = unigram.load(sentencepiece_codec.MODEL), random.Random(5)
     letters = "aeinrst  \u00e4\u00df\u65e5\u672c\u2581\x00\x7f\x80\u07ff\u0800\uffff\U00010000\U0010ffff\ud800"

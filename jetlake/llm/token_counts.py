@@ -34,7 +34,7 @@ class Trie:
 
     def clear(self):
         self.children: dict[tuple[int, str], int] = {}
-        self.best, self.tokens = [0.0], [0]
+        self.best, self.tokens, self.open = [0.0], [0], [()]
 
     def count(self, unit: str) -> int:
         """Tokens of the unit; adds the nodes it lacks."""
@@ -51,11 +51,15 @@ class Trie:
         return self.tokens[path[-1]]
 
     def _add(self, unit, end, path):
-        vocabulary, top, tokens = self.vocabulary, NEVER, 0
-        score_of, best = vocabulary.scores.get, self.best
-        for begin in range(max(0, end - vocabulary.longest), end):
+        """A node below the last of the path; ``open`` holds the places from which a piece may still go on."""
+        vocabulary, top, tokens, going = self.vocabulary, NEVER, 0, []
+        score_of, best = vocabulary.prefixes.get, self.best
+        for begin in (*self.open[path[-1]], end - 1):
             score = score_of(unit[begin:end])
-            if score is not None and best[path[begin]] + score > top:
+            if score is None:
+                continue
+            going.append(begin)
+            if best[path[begin]] + score > top:
                 top, tokens = best[path[begin]] + score, self.tokens[path[begin]] + 1
         letter = unit[end - 1]
         if letter not in vocabulary.scores and best[path[-1]] + vocabulary.unknown > top:
@@ -65,6 +69,7 @@ class Trie:
         path.append(len(best))
         best.append(top)
         self.tokens.append(tokens)
+        self.open.append(tuple(going))
 
 
 def _counted(batches, vocabulary: Vocabulary):

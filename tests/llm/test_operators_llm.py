@@ -390,6 +390,26 @@ def test_pages_against_plain_extraction(spark):
         assert got[row.page_id] == "\n".join(t for t in texts if t)
 
 
+def test_pages_without_marked_elements(spark):
+    """Constant containers around the article's place; its tags are stripped, so that only the host's wrapper knows it."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("html is not null").select("page_id", "html")
+    rows = [(r.page_id, f"http://{r.page_id % 3}.example/{r.page_id}", r.html) for r in pages.collect()]
+    around = lambda h, left, right: h.replace("<article>", f"<div><p>The motto</p></div>{left}").replace(
+        "</article>", f"{right}<div><p>All rights</p></div>")
+    make = lambda left, right: spark.createDataFrame(
+        [(i, u, around(h, left, right)) for i, u, h in rows], "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for left, right in (("<article>", "</article>"), ("<div class=x>", "</div>"), ("", "")):
+        assert {r.page_id: r.text for r in html_extract.extract(make(left, right)).collect()} == want
+
+
+def test_marked_elements_are_one_sign(spark):
+    page = "<body><article class=related><p>teaser</p></article><div><h1>{0}</h1><p>{0} long story of the day</p></div><article><p>by us</p></article></body>"
+    rows = [(k, "http://a.example/", page.format(f"n{k}")) for k in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "n1\nn1 long story of the day\nby us"
+
+
 def test_words():
     assert len(word_hashes("A b c\x0bd\x1ce")) == 3  # only the six characters divide words
     assert word_hashes("ÀB")[0] != word_hashes("àb")[0] and word_hashes("AB")[0] == word_hashes("ab")[0]

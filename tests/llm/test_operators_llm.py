@@ -410,6 +410,17 @@ def test_marked_elements_are_one_sign(spark):
     assert got[1] == "n1\nn1 long story of the day\nby us"
 
 
+def test_copies_and_constant_headings_keep_main_text(spark):
+    page = "<body><div class=story><h1>T</h1><p>{0}</p></div><div>{1}</div></body>"
+    rows = [*[(k, "http://copies.example/", page.format("same", "end")) for k in range(3)],  # (a) equal pages are no template
+            *[(10 + k, "http://small.example/", page.format(f"text {k}", "end")) for k in range(2)],  # a heading on all pages
+            *[(20 + k, "http://parts.example/", page.format("a" * 90 + str(k), "b" * 10 + str(k))) for k in range(2)]]  # (b) nine tenths in one child
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got[1] == "T\nsame\nend" and got[10] == "T\ntext 0"
+    assert got[21] == f"T\n{'a' * 90}1\n{'b' * 10}1"
+
+
 def test_words():
     assert len(word_hashes("A b c\x0bd\x1ce")) == 3  # only the six characters divide words
     assert word_hashes("ÀB")[0] != word_hashes("àb")[0] and word_hashes("AB")[0] == word_hashes("ab")[0]

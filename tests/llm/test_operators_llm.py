@@ -140,6 +140,29 @@ def test_passages(spark, odd, empty):
     assert substring_dedup.shared_passages(empty).count() == 0
 
 
+def test_passages_with_an_inserted_word(spark):
+    rows = []
+    for n, size in enumerate((50, 60, 70, 80)):
+        passage = words(300 + n, size)
+        cut = size // 2
+        rows += [(10 * n, " ".join(words(400 + n, 40) + passage + words(500 + n, 40))),
+                 (10 * n + 1, " ".join(words(600 + n, 30) + passage[:cut] + ["inserted"] + passage[cut:] + words(700 + n, 50))),
+                 (10 * n + 2, " ".join(words(800 + n, 30) + passage[:cut] + passage[cut + 12:] + words(900 + n, 50)))]
+    found = {(r.doc_id, r.other_id): r for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, size in enumerate((50, 60, 70, 80)):
+        assert found[10 * n + 1, 10 * n].start_word == 30 and found[10 * n + 1, 10 * n].end_word == 31 + size
+        assert found[10 * n + 1, 10 * n].other_start_word == 40
+    assert (2, 0) not in found  # 12 of 50 words missing: not similar enough
+
+
+def test_aligned_passages_have_the_similarity():
+    pick = np.random.default_rng(4)
+    for size in (50, 70, 120, 300):
+        a = substring_dedup.shingle_hashes(pick.integers(0, 2**60, size).astype(np.uint64))
+        assert substring_dedup.aligned_passages(a, a) == [(0, len(a), 0, len(a))]
+        assert substring_dedup.aligned_passages(a[:46], pick.integers(0, 2**60, 60).astype(np.uint64)) == []
+
+
 def test_compact_windows():
     pick = np.random.default_rng(0)
     for n, top in ((5, 9), (46, 2**60), (120, 30), (300, 2**60)):

@@ -12,13 +12,14 @@ is evidence only as far as its beginnings are.
 
 A word's score is its log-likelihood ratio.  A document's score is the sum of
 the ratios beyond ``DEAD_ZONE``, normalised by length, and turned into a
-probability by a logistic curve.  The counts come from all training rows whose
-remainder is 2 to 4, the curve from at most ``CURVE_ROWS`` rows of remainder 1;
-rows of remainder 0 teach nothing.
+probability by a logistic curve.  The counts come from all training rows, those
+whose remainder is not 0.  The curve comes from at most ``CURVE_ROWS`` rows of
+remainder 1, read with a model from which all training rows of the same texts
+have been subtracted; rows of remainder 0 teach nothing.
 
-Counts are exact per slot of a hash table of 2^SLOT_BITS slots, so the model
-that is broadcast has a fixed size of 16 MB whatever the corpus; what is counted
-and exchanged grows with the corpus.
+Counts are kept by full 64-bit hashes of the grams.  The model that is broadcast
+has one entry of 12 bytes per distinct gram and per distinct history, so it
+grows with the vocabulary of the training rows.
 
 Defined results: empty and null texts have no evidence and get the curve's
 value at zero; labels that are null or without a document teach nothing; rows
@@ -37,7 +38,6 @@ from pyspark.sql import functions as F
 from jetlake.llm.common import bounded_texts, columns, mixed, slices, small, staged, texts_of
 
 HISTORY = 5
-SLOT_BITS = 21
 DISCOUNT = 0.75
 DEAD_ZONE = 3.0
 CURVE_ROWS = 20_000
@@ -50,12 +50,8 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def _slot(values: np.ndarray) -> np.ndarray:
-    return mixed(values) >> np.uint64(64 - SLOT_BITS)
-
-
 def grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each symbol with its history, of the history, of the symbol with the shortened history; word starts."""
+    """Hashes of each symbol with its history, of the history, of the symbol with the shortened history; word starts."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.concatenate([codes, [0]]).astype(np.uint64)
     basic = codes < len(_LETTERS)
@@ -80,33 +76,33 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     symbol = codes * _WEIGHTS[0] + _WEIGHTS[HISTORY + 1]
     starts = np.flatnonzero(used & (inside == 0))
     numbering = np.cumsum(used) - 1
-    return (_slot(history + symbol)[used], _slot(history)[used],
-            _slot(shorter + symbol + np.uint64(7))[used], numbering[starts])
+    return (mixed(history + symbol)[used], mixed(history)[used],
+            mixed(shorter + symbol + np.uint64(7))[used], numbering[starts])
 
 
 def _counted(batches):
-    """(key, toxic, ordinary): grams counted within the task's rows before they are exchanged."""
+    """(g, h, s, toxic, ordinary): grams counted within the task's rows before they are exchanged."""
     held, weights = [], []
     size = 0
 
     def flush():
-        keys = np.concatenate(held)
+        gram, history, shorter = (np.concatenate(part) for part in zip(*held))
         classes = np.concatenate(weights)
-        values, place = np.unique(keys, return_inverse=True)
+        values, first, place = np.unique(gram, return_index=True, return_inverse=True)
         toxic = np.bincount(place, weights=classes, minlength=len(values)).astype(np.int64)
         total = np.bincount(place, minlength=len(values)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(values.view(np.int64)), pa.array(toxic), pa.array(total - toxic)], names=["key", "toxic", "ordinary"])
+            [*(pa.array(v.view(np.int64)) for v in (values, history[first], shorter[first])), pa.array(toxic), pa.array(total - toxic)],
+            names=["g", "h", "s", "toxic", "ordinary"])
 
-    bits = np.uint64(SLOT_BITS)
     for batch in slices(batches):
         for text, label in zip(texts_of(batch), batch.column("toxic").to_pylist()):
             gram, history, shorter, _ = grams(text)
             if len(gram):
-                held.append(((gram << bits) | history) << bits | shorter)
+                held.append((gram, history, shorter))
                 weights.append(np.full(len(gram), float(label)))
                 size += len(gram)
-        if size > 8_000_000:
+        if size > 4_000_000:
             yield flush()
             held, weights, size = [], [], 0
     if size:
@@ -116,15 +112,20 @@ def _counted(batches):
 def counts(labelled: DataFrame) -> DataFrame:
     """(g, h, s, toxic, ordinary) over all rows (text, toxic)."""
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
-        _counted, "key long, toxic long, ordinary long")
-    total = rows.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    mask = (1 << SLOT_BITS) - 1
-    part = lambda shift: F.shiftright("key", shift).bitwiseAND(mask)
-    return total.select(part(2 * SLOT_BITS).alias("g"), part(SLOT_BITS).alias("h"), part(0).alias("s"), "toxic", "ordinary")
+        _counted, "g long, h long, s long, toxic long, ordinary long")
+    return rows.groupBy("g", "h", "s").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def without(counted: DataFrame, own: DataFrame) -> DataFrame:
+    """Counts less those of some of their rows; grams that only these had are gone."""
+    names = ("toxic", "ordinary")
+    total = (counted.unionByName(own.select("g", "h", "s", *((-F.col(n)).alias(n) for n in names)))
+             .groupBy("g", "h", "s").agg(*(F.sum(n).alias(n) for n in names)))
+    return total.where(F.col("toxic") + F.col("ordinary") > 0)
 
 
 def ratios(counted: DataFrame) -> DataFrame:
-    """(kind, slot, ratio): log-likelihood ratios of grams (kind 0) and of unseen successors of a history (kind 1)."""
+    """(kind, key, ratio): log-likelihood ratios of grams (kind 0) and of unseen successors of a history (kind 1)."""
     # Continuations: distinct histories of a symbol after the shortened history, and of anything after it.
     symbol = counted.groupBy("s").agg(F.count("*").alias("after"))
     per_history = counted.groupBy("h").agg(
@@ -138,30 +139,47 @@ def ratios(counted: DataFrame) -> DataFrame:
     rest = lambda types, n: F.when(F.col(n) > 0, DISCOUNT * F.col(types) / F.col(n)).otherwise(1.0)
     own = lambda x, n: F.when(F.col(n) > 0, F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) / F.col(n)).otherwise(0.0)
     seen = F.log((own("toxic", "nt") + rest("tt", "nt") * backoff) / (own("ordinary", "no") + rest("to", "no") * backoff))
-    weight = F.col("toxic") + F.col("ordinary")
-    by_gram = rows.groupBy(F.col("g").alias("slot")).agg((F.sum(seen * weight) / F.sum(weight)).alias("ratio"))
-    by_history = per_history.select(F.col("h").alias("slot"), F.log(rest("tt", "nt") / rest("to", "no")).alias("ratio"))
-    tagged = lambda df, kind: df.select(F.lit(kind).alias("kind"), "slot", F.col("ratio").cast("float").alias("ratio"))
+    by_gram = rows.select(F.col("g").alias("key"), seen.alias("ratio"))
+    by_history = per_history.select(F.col("h").alias("key"), F.log(rest("tt", "nt") / rest("to", "no")).alias("ratio"))
+    tagged = lambda df, kind: df.select(F.lit(kind).alias("kind"), "key", F.col("ratio").cast("float").alias("ratio"))
     return tagged(by_gram, 0).unionAll(tagged(by_history, 1))
 
 
-def model_arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The fixed-size tables: NaN where a gram is unseen, 0 where a history is."""
-    seen = np.full(1 << SLOT_BITS, np.nan, np.float32)
-    unseen = np.zeros(1 << SLOT_BITS, np.float32)
-    rows = table.toArrow()  # at most 2 * 2^SLOT_BITS rows
-    kind, slot, ratio = (rows.column(name).to_numpy() for name in ("kind", "slot", "ratio"))
-    seen[slot[kind == 0]] = ratio[kind == 0]
-    unseen[slot[kind == 1]] = ratio[kind == 1]
-    return seen, unseen
+class Ratios:
+    """Ratios by 64-bit key: sorted keys, entered by their leading bits."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = np.concatenate([keys[order], np.array([2**64 - 1], np.uint64)])
+        self.ratios = np.concatenate([ratios[order], np.array([np.nan], np.float32)])
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        starts = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.starts = np.searchsorted(self.keys[:-1], starts).astype(np.int32 if len(keys) < 2**31 else np.int64)
 
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The ratio of each key, NaN where there is none."""
+        place = self.starts[keys >> self.shift].astype(np.int64)
+        behind = np.flatnonzero(self.keys[place] < keys)
+        while len(behind):
+            place[behind] += 1
+            behind = behind[self.keys[place[behind]] < keys[behind]]
+        return np.where(self.keys[place] == keys, self.ratios[place], np.float32(np.nan))
 
-def evidence(text: str, seen: np.ndarray, unseen: np.ndarray) -> float:
+
+def model_arrays(table: DataFrame) -> tuple[Ratios, Ratios]:
+    """Ratios of grams and of unseen successors of a history."""
+    rows = table.toArrow()
+    kind, key, ratio = (rows.column(name).to_numpy() for name in ("kind", "key", "ratio"))
+    return tuple(Ratios(key[kind == k].astype(np.int64).view(np.uint64), ratio[kind == k].astype(np.float32)) for k in (0, 1))
+
+
+def evidence(text: str, seen: Ratios, unseen: Ratios) -> float:
     gram, history, _, starts = grams(text)
     if not len(starts):
         return 0.0
-    value = seen[gram]
-    value = np.where(np.isnan(value), unseen[history], value)
+    value = seen.of(gram)
+    unknown = np.flatnonzero(np.isnan(value))
+    value[unknown] = np.nan_to_num(unseen.of(history[unknown]))  # a history without ratio is no evidence
     words = np.add.reduceat(value.astype(np.float64), starts)
     return float(np.maximum(words - DEAD_ZONE, 0).sum() / len(words))
 
@@ -206,18 +224,25 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                    .withColumn("fold", remainder(F.col("l_id"))).where("fold <> 0"), "marks")
     labelled = lambda folds: docs.join(
         small(marks.where(F.col("fold").isin(folds))), F.col("doc_id") == F.col("l_id")).select("toxic", "text")
-    counted = staged(counts(labelled([2, 3, 4])), "counts")
-    classes = counted.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    usable = bool(classes[0]) and bool(classes[1])
-    table = ratios(counted) if usable else ratios(counted).limit(0)
-    model = spark.sparkContext.broadcast(model_arrays(table))
-    # A bounded sample of labelled rows fits the two numbers of the curve.
+    counted = staged(counts(labelled([1, 2, 3, 4])), "counts")
+
+    def model(table):
+        classes = table.agg(F.sum("toxic"), F.sum("ordinary")).first()
+        found = ratios(table)
+        return spark.sparkContext.broadcast(model_arrays(found if classes[0] and classes[1] else found.limit(0)))
+
+    # A bounded sample of labelled rows fits the two numbers of the curve, read without what it and its copies taught.
     calibration = bounded_texts(labelled([1]), CURVE_ROWS)
-    fitted = with_evidence(calibration, model).toArrow()
+    texts = staged(calibration.select(F.xxhash64("text").alias("__t")), "sample")
+    own = labelled([1, 2, 3, 4]).withColumn("__t", F.xxhash64("text")).join(small(texts), "__t", "left_semi")
+    others = model(staged(without(counted, counts(own)), "counts"))
+    fitted = with_evidence(calibration, others).toArrow()
+    others.unpersist()
+    trained = model(counted)
     scale, slope, level = fit_curve(fitted.column("evidence").to_numpy(), fitted.column("toxic").to_numpy().astype(float))
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.log1p(F.col("evidence") / F.lit(scale)) + F.lit(level))))
     held_out = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
-    return (with_evidence(docs, model).withColumn("score", score)
+    return (with_evidence(docs, trained).withColumn("score", score)
             .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 

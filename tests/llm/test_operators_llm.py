@@ -337,6 +337,29 @@ def test_semi_markov_against_enumeration():
     assert model.best(text, atoms) == max(all_paths(len(atoms)), key=lambda x: x[0])[1]
 
 
+def test_toxicity_counts_all_training_rows_apart(spark):
+    pick = np.random.default_rng(8)
+    many = pick.integers(0, 2**64, 300_000, dtype=np.uint64)
+    ratios = toxicity.Ratios(many, np.arange(len(many), dtype=np.float32))
+    assert (ratios.of(many) == np.arange(len(many))).all() and np.isnan(ratios.of(many + np.uint64(1))).all()  # none shares an entry
+    letters = words(77, 4000)
+    hashes = [np.unique(toxicity.grams(" ".join(letters))[k]) for k in range(3)]
+    assert all(int(h.max()) > 2**60 for h in hashes)
+    rows = spark.createDataFrame([("abc", 1), ("abc abd", 0)], "text string, toxic int")
+    whole, one = toxicity.counts(rows), toxicity.counts(rows.where("toxic = 1"))
+    left = {(r.g, r.toxic, r.ordinary) for r in toxicity.without(whole, one).collect()}
+    assert left == {(r.g, r.toxic, r.ordinary) for r in toxicity.counts(rows.where("toxic = 0")).collect()}
+    ids = [r.id for r in spark.range(4000).where(toxicity.remainder(F.col("id")) == 1).limit(400).collect()]
+    docs = [(i, f"{' '.join(words(5000 + i, 20))} {'vilez vilest' if n % 2 else ''}") for n, i in enumerate(ids)]
+    extra = [(10**6 + n, f"{' '.join(words(9000 + n, 20))} {'grabox' if n % 2 else ''}") for n in range(400)]
+    frame = spark.createDataFrame(docs + extra, "doc_id long, text string")
+    # only rows of remainder 1 hold the word "vilest": it is learnt although the curve is fitted on them
+    marks = spark.createDataFrame([(i, n % 2) for n, (i, _) in enumerate(docs)] + [(i, n % 2) for n, (i, _) in enumerate(extra)], "doc_id long, toxic int")
+    test = frame.unionByName(spark.createDataFrame([(None, "good vilez vilest vilez words"), (None, "good words only here")], "doc_id long, text string"))
+    got = [r.score for r in toxicity.scores(test, marks).where("doc_id is null").orderBy("score").collect()]
+    assert got[1] > got[0]
+
+
 def test_toxicity(spark, odd, empty):
     pick = random.Random(6)
     rows, labels = [], []

@@ -2,8 +2,8 @@
 
 import corpus_pipeline
 from jetlake.llm import (
-    chat_format, decontamination, exact_dedup, html_extract, minhash_dedup, pii, sentencepiece_codec, substring_dedup,
-    token_counts, toxicity)
+    centroid_clustering, chat_format, decontamination, exact_dedup, html_extract, merkle_manifest, minhash_dedup, pii,
+    sentencepiece_codec, substring_dedup, token_counts, toxicity, url_filters)
 from jetlake.llm.sql import ORACLES
 
 QUERIES = {
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_token_counts": token_counts.query,
     "op10_html_extraction": html_extract.query,
+    "op11_centroid_clustering": centroid_clustering.query,
+    "op12_merkle_manifest": merkle_manifest.query,
+    "op13_url_filters": url_filters.query,
     "pipeline": corpus_pipeline.query,
 }
 

@@ -1,9 +1,9 @@
 """Event rows: assembling them, filtering their particles, windows of events."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jetlake.operators.grouping import checked_broadcast, join_on
+from jetlake.operators.grouping import checked_broadcast, fixed, join_on
 
 FINAL_STATE = 1
 
@@ -30,46 +30,71 @@ def final_state(events: DataFrame) -> DataFrame:
         "particles", F.filter("particles", lambda p: p["status"] == FINAL_STATE))
 
 
-# Event numbers per span when ranking a file: the most one task sorts.
-SPAN = 65536
+# Cuts of a file's event numbers, and how many numbers one task should rank.
+CUTS, RANGE_ROWS = 255, 65_536
 
 
-def _spans(events: DataFrame, keys, span):
-    """Events with their span of consecutive numbers, and where each span starts in its file."""
-    spanned = events.withColumn("_span", F.expr(f"event div {span}"))
-    sizes = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
-    by = ", ".join(keys)
-    starts = sizes.selectExpr(
-        *keys, "_span", "_n",
-        f"coalesce(sum(_n) OVER (PARTITION BY {by} ORDER BY _span "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start")
-    return spanned, starts
+def _ranges(numbers: DataFrame, keys, range_rows) -> DataFrame:
+    """Per file: its cuts, plain event numbers that divide them into ranges of about equal size.
+
+    The cuts are approximate quantiles, so it does not matter how the numbers are
+    spread; small files need none.
+    """
+    shares = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
+    found = numbers.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("event", shares, 20_000).alias("_all"))
+    cuts = F.when(F.col("_n") > range_rows, F.array_distinct("_all")).otherwise(F.array().cast("array<bigint>"))
+    return found.select(*keys, cuts.alias("_cuts"))
+
+
+def _ranged(events: DataFrame, cuts: DataFrame, keys) -> DataFrame:
+    """Events with the number of their range: how many cuts lie below, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(CUTS.bit_length() - 1, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get("_cuts", at + step - 1) < F.col("event"), at + step).otherwise(at))
+    return join_on(events, cuts, keys).withColumn("_range", below).drop("_cuts")
+
+
+def _starts(ranged: DataFrame, keys) -> DataFrame:
+    """How many events of the file lie in a range and before it; a file has few ranges."""
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
 
 
-def nth_events(events: DataFrame, places: dict[str, int], keys=("file",), span=SPAN) -> DataFrame:
+def _numbers(events: DataFrame, keys, range_rows):
+    """The event numbers as a table of their own, the cuts of each file, and the sizes of its ranges."""
+    numbers = fixed(events.select(*keys, F.col("event").cast("long").alias("event")))
+    cuts = checked_broadcast(_ranges(numbers, keys, range_rows))
+    ranged = _ranged(numbers, cuts, keys)
+    return ranged, cuts, checked_broadcast(_starts(ranged, keys))
+
+
+def nth_events(events: DataFrame, places: dict[str, int], keys=("file",), range_rows=RANGE_ROWS) -> DataFrame:
     """Event numbers by their place in each file: one column per name in ``places``.
 
-    Spans of event numbers are counted first; only spans that hold a wanted
-    place are ranked.  Files without that many events have NULL.
+    The events are read once, for their numbers.  Ranges of numbers are counted
+    first; only those that hold a wanted place are ranked.  Files without that
+    many events have NULL.
     """
     keys = list(keys)
-    spanned, starts = _spans(events.select(*keys, "event"), keys, span)
+    ranged, _, starts = _numbers(events, keys, range_rows)
     wanted = F.filter(F.array(*[F.lit(n).cast("bigint") for n in places.values()]),
                       lambda n: (F.col("_start") < n) & (F.col("_start") + F.col("_n") >= n))
-    holding = starts.select(*keys, "_span", "_start", wanted.alias("_wanted")).where(F.size("_wanted") > 0)
-    inside = join_on(spanned, checked_broadcast(holding), [*keys, "_span"])
-    by = ", ".join([*keys, "_span"])
-    ranked = inside.selectExpr(
-        *keys, "event", "_wanted", f"_start + row_number() OVER (PARTITION BY {by} ORDER BY event) AS _place")
-    return ranked.where(F.array_contains("_wanted", F.col("_place"))).groupBy(*keys).agg(*[
+    holding = starts.select(*keys, "_range", "_start", wanted.alias("_wanted")).where(F.size("_wanted") > 0)
+    inside = join_on(ranged, holding, [*keys, "_range"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("event"))
+    ranked = inside.withColumn("_place", F.col("_start") + rank).where(F.array_contains("_wanted", F.col("_place")))
+    return ranked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_place") == n, F.col("event"))).alias(name) for name, n in places.items()])
 
 
-def event_window(events: DataFrame, max_events=None, skip_events=0, keys=("file",), span=SPAN) -> DataFrame:
+def event_window(events: DataFrame, max_events=None, skip_events=0, keys=("file",),
+                 range_rows=RANGE_ROWS) -> DataFrame:
     """Per file: cap at ``max_events`` events first, then drop ``skip_events``.
 
-    A negative cap is no cap.  Event numbers are unique in their file.  Only the
-    boundary events are looked up; the events themselves are filtered in place.
+    A negative cap is no cap.  Event numbers are unique in their file.  The events
+    are read twice: their numbers, to look up the boundary events of each file,
+    and whole, to be filtered in place.
     """
     if skip_events < 0:
         raise ValueError("skip_events must not be negative")
@@ -83,7 +108,7 @@ def event_window(events: DataFrame, max_events=None, skip_events=0, keys=("file"
     if not places:
         return events
     keys = list(keys)
-    kept = join_on(events, checked_broadcast(nth_events(events, places, keys, span)), keys, "left")
+    kept = join_on(events, checked_broadcast(nth_events(events, places, keys, range_rows)), keys, "left")
     if skip_events:
         # Files with fewer events have no such event, and nothing left.
         kept = kept.where(F.col("event") > F.col("_skip"))
@@ -92,18 +117,17 @@ def event_window(events: DataFrame, max_events=None, skip_events=0, keys=("file"
     return kept.drop(*places)
 
 
-def event_positions(events: DataFrame, keys=("file",), span=SPAN) -> DataFrame:
+def event_positions(events: DataFrame, keys=("file",), range_rows=RANGE_ROWS) -> DataFrame:
     """Add ``position``: 1-based order of each event number within its file.
 
-    Rows are ranked inside their span of event numbers only, so one large file
-    is ranked by many tasks.
+    Rows are ranked inside their range of event numbers only, so one large file
+    is ranked by many tasks, however sparse its numbers are.
     """
     keys = list(keys)
-    spanned, starts = _spans(events, keys, span)
-    by = ", ".join([*keys, "_span"])
-    return (join_on(spanned, starts.drop("_n"), [*keys, "_span"])
-            .selectExpr("*", f"_start + row_number() OVER (PARTITION BY {by} ORDER BY event) AS position")
-            .drop("_span", "_start"))
+    _, cuts, starts = _numbers(events, keys, range_rows)
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("event"))
+    return (join_on(_ranged(events, cuts, keys), starts.drop("_n"), [*keys, "_range"])
+            .withColumn("position", F.col("_start") + rank).drop("_range", "_start"))
 
 
 def require_events(events: DataFrame) -> DataFrame:
@@ -113,16 +137,6 @@ def require_events(events: DataFrame) -> DataFrame:
     return events
 
 
-def balance(events: DataFrame, partitions: int) -> DataFrame:
-    """Spread event rows evenly over ``partitions`` tasks ahead of clustering.
-
-    Cost grows with the square of the multiplicity while input splits follow
-    bytes, so a file of busy events can stall a stage; a round-robin exchange
-    mixes busy and quiet events.
-    """
-    return events.repartition(partitions)
-
-
 def map_events(events: DataFrame, function, schema) -> DataFrame:
     """Apply a function to Arrow-backed pandas batches of event rows."""
     return events.mapInPandas(function, schema)

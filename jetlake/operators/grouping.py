@@ -5,21 +5,37 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 # Small sides are broadcast only after their size was counted.
 BROADCAST_ROWS = 200_000
-# Largest group whose values one task may hold to find an exact quantile.
-BUFFER_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+# Values that one task may hold to find an exact quantile.
+CELL_ROWS = 65_536
+# By how many bits a cell of values, or a block of an index, is divided.
+BITS = 16
 
 
-def checked_broadcast(small: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
-    """Mark a derived table for broadcast if it is counted to be small.
+def _width(name: str, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    column = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, (ArrayType, StructType, MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+    return F.lit(16)
+
+
+def checked_broadcast(small: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> DataFrame:
+    """Mark a derived table for broadcast if its rows and bytes are counted to be few.
 
     A larger table is returned unmarked, so the join shuffles.  The table is
-    kept, as it was computed for the count; lost blocks are recomputed.
+    computed once, for the count; what is joined is its checkpoint.
     """
-    kept = small.persist()
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    kept = fixed(small)
+    width = reduce(lambda a, b: a + b, [_width(f.name, f.dataType) for f in kept.schema.fields])
+    size = kept.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(kept) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else kept
 
 
 def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
@@ -35,115 +51,127 @@ def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def quantiles(df: DataFrame, keys, values, probs, extra=(), buffer_rows=BUFFER_ROWS,
-              largest=None) -> DataFrame:
-    """Exact quantiles (linear interpolation, NULLs ignored) per group, at any group size.
+def quantiles(df: DataFrame, keys, values, probs, extra=(), cell_rows=CELL_ROWS, largest=None) -> DataFrame:
+    """Exact quantiles (linear interpolation, NULLs ignored, NaN above all numbers) per group, at any group size.
 
     Returns the keys, ``{value}_n``, ``{value}_q{i}`` for the i-th probability,
     and the ``extra`` aggregates.  Columns of all-NULL groups are NULL.
 
-    The groups are counted first.  If none has more than ``buffer_rows`` rows
-    the built-in aggregate, which buffers the values of a group, does it all in
-    one pass; otherwise see ``large_group_quantiles``.  Wide keys are replaced by
-    a hash while aggregating, if the count shows that it tells all groups apart,
-    so that sorting by group compares one number.  A caller that knows a bound
-    on the group size passes it as ``largest`` and saves the count.
+    Radix selection: a wanted quantile lies in a cell of values, at first its
+    whole group.  While some wanted cell holds more than ``cell_rows`` values, all
+    are divided by the next 16 bits of the values (see ``ordered_bits``), counted
+    by one aggregation that reduces before its exchange.  Cells that one task may
+    hold are finished from their values; after 64 bits a cell is one value.  A
+    caller that knows a bound on the group size passes it as ``largest`` and saves
+    the first count.
     """
     keys, values, probs, extra = list(keys), list(values), list(probs), list(extra)
-    if largest is not None and len(keys) < 2:
-        how = built_in_quantiles if largest <= buffer_rows else large_group_quantiles
-        return how(df, keys, values, probs, extra)
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn("_g", F.xxhash64(*keys or [F.lit(0)]))
-    if len(keys) > 1:
-        groups = groups.persist()
-    size = groups.agg(F.max("_rows").alias("rows"), F.count("*").alias("n"),
-                      F.count_distinct("_g").alias("hashes")).first()
-    how = built_in_quantiles if (size["rows"] or 0) <= buffer_rows else large_group_quantiles
-    if len(keys) < 2 or size["n"] != size["hashes"]:
-        return how(df, keys, values, probs, extra)
-    found = how(df.withColumn("_g", F.xxhash64(*keys)), ["_g"], values, probs, extra)
-    return groups.drop("_rows").join(found, "_g").drop("_g")
-
-
-def built_in_quantiles(df: DataFrame, keys, values, probs, extra=()) -> DataFrame:
-    """Exact quantiles by the built-in aggregate, for groups of a checked size.
-
-    The values of a group have to meet anyway, so rows are exchanged by group
-    first; combining them before the exchange would only sort them twice.
-    """
-    rows = df.repartition(*keys) if keys else df
-    found = rows.groupBy(*keys).agg(
-        *[F.count(v).alias(f"{v}_n") for v in values],
-        *[F.percentile(F.col(v).cast("double"), probs).alias(f"_q_{v}") for v in values], *extra)
-    return found.select(
-        *[c for c in found.columns if not c.startswith("_q_")],
-        *[F.get(f"_q_{v}", F.lit(i)).alias(f"{v}_q{i}") for v in values for i in range(len(probs))])
-
-
-def large_group_quantiles(df: DataFrame, keys, values, probs, extra=(), accuracy=20_000) -> DataFrame:
-    """Exact quantiles in three steps that never bring a large group together:
-    a mergeable sketch brackets every wanted quantile between two values; rows
-    outside the brackets are counted, rows inside keep their value and are
-    counted by value, both before the shuffle; the running count over the few
-    values left gives the exact order statistics.  Groups of up to ``accuracy``
-    rows keep all their values.  A bracket that misses its rank, which the
-    sketch's error bound rules out, is an error and not a guess.
-    """
-    keys, values, probs = list(keys), list(values), list(probs)
     if not keys:
-        whole = df.withColumn("_all", F.lit(0))
-        return large_group_quantiles(whole, ["_all"], values, probs, extra, accuracy).drop("_all")
-    margin = 5.0 / accuracy
-    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    m = len(probs)
-    sketch = df.groupBy(*keys).agg(
-        *[F.count(v).alias(f"{v}_n") for v in values],
-        *[F.percentile_approx(v, ends, accuracy).alias(f"_b_{v}") for v in values],
-        *extra)
-    sketch = checked_broadcast(sketch)
-
-    def cell(v):
-        """Where a value lies: itself inside a bracket, else the next bracket up."""
-        x, b = F.col(v).cast("double"), F.col(f"_b_{v}")
-        inside = reduce(lambda a, c: a | c, [(x >= b[i]) & (x <= b[m + i]) for i in range(m)],
-                        b.isNull() & x.isNotNull())
-        above = [F.when(b[i] > x, b[i]) for i in range(m)]
-        nearest = F.least(*above) if m > 1 else above[0]
-        return F.struct(F.lit(values.index(v)).alias("v"), F.when(inside, x).otherwise(nearest).alias("x"),
-                        inside.alias("inside"))
-
-    bounds = sketch.select(*keys, *[
-        F.when(F.col(f"{v}_n") > accuracy, F.col(f"_b_{v}")).alias(f"_b_{v}") for v in values])
-    slim = df.select(*keys, *values)
-    cells = join_on(slim, bounds, keys).select(*keys, F.explode(F.array(*[cell(v) for v in values])).alias("c"))
-    counted = (cells.select(*keys, "c.*").where(F.col("x").isNotNull())
-               .groupBy(*keys, "v", "x", "inside").agg(F.count("*").alias("n")))
-    order = Window.partitionBy(*keys, "v").orderBy("x", "inside")
-    ranked = counted.withColumn("last", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = sketch.select(*keys, F.array(*[f"{v}_n" for v in values]).alias("_sizes"))
-    ranked = join_on(ranked, sizes, keys).withColumn("total", F.get("_sizes", F.col("v")))
-
-    def at(rank):
-        hit = F.col("inside") & (F.col("last") > rank) & (F.col("last") - F.col("n") <= rank)
-        return F.max(F.when(hit, F.col("x")))
-
-    picked = []
-    for i, p in enumerate(probs):
-        place = (F.col("total") - 1) * F.lit(float(p))
-        picked += [at(F.floor(place)).alias(f"lo{i}"), at(F.ceil(place)).alias(f"hi{i}")]
-    found = ranked.groupBy(*keys, "v", "total").agg(*picked)
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], values, probs, extra, cell_rows, largest).drop("_all")
+    if largest is None:
+        groups = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        largest = groups.agg(F.max("_rows")).first()[0] or 0
+    if largest <= cell_rows:
+        # Every cell is a whole group: its values meet in the aggregate.
+        found = df.groupBy(*keys).agg(
+            *[F.count(v).alias(f"{v}_n") for v in values],
+            *[F.percentile(F.col(v).cast("double"), probs).alias(f"_q_{v}") for v in values], *extra)
+        return found.select(
+            *[c for c in found.columns if not c.startswith("_q_")],
+            *[F.get(f"_q_{v}", F.lit(i)).alias(f"{v}_q{i}") for v in values for i in range(len(probs))])
+    totals = df.groupBy(*keys).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra)
+    return join_on(totals, selected(df, keys, values, probs, cell_rows), keys, "left")
+
 
-    def value(i, p):
+_MANTISSA = 1 << 52
+
+
+def ordered_bits(x: Column) -> Column:
+    """A double as a 64-bit integer of the same order: the bits of its size, negated for negative numbers.
+
+    Made by exact arithmetic, as no SQL function gives the bits.  Both zeros are 0.
+    """
+    size = F.abs(x)
+    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023))
+    # The logarithm may be rounded across a power of two.
+    exponent = (guess - F.when(F.pow(F.lit(2.0), guess) > size, 1).otherwise(0)
+                + F.when(F.pow(F.lit(2.0), guess + 1) <= size, 1).otherwise(0))
+    exponent = F.greatest(F.least(exponent, F.lit(1023)), F.lit(-1022))
+    scaled = (size / F.pow(F.lit(2.0), exponent) * F.lit(float(_MANTISSA))).try_cast("long")
+    bits = (exponent + 1022).cast("long") * F.lit(_MANTISSA) + scaled
+    bits = F.when(size == 0, 0).when(size == float("inf"), 2047 * _MANTISSA).otherwise(bits)
+    return F.when(F.isnan(x), 2047 * _MANTISSA + 1).when(x < 0, -bits).otherwise(bits)
+
+
+def from_ordered_bits(bits: Column) -> Column:
+    """The double of ``ordered_bits``."""
+    size = F.abs(bits)
+    exponent = F.shiftright(size, 52)
+    part = size.bitwiseAND(F.lit(_MANTISSA - 1)) / F.lit(float(_MANTISSA))
+    normal = (part + 1.0) * F.pow(F.lit(2.0), exponent - 1023)
+    value = F.when(exponent == 0, part * F.lit(2.0**-1022)).when(exponent < 2047, normal).when(
+        part == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(bits < 0, -value).otherwise(value)
+
+
+def selected(df: DataFrame, keys, values, probs, cell_rows=CELL_ROWS) -> DataFrame:
+    """The quantiles alone, by radix selection: keys and ``{value}_q{i}``.
+
+    ``wanted`` has one row per group, value and rank: the cell it lies in, how
+    many values of the group lie before that cell and how many in it.
+    """
+    names = {f"_k{i}": k for i, k in enumerate(keys)}
+    keys = list(names)
+    cell = [*keys, "v"]
+    slim = df.select(*[F.col(k).alias(n) for n, k in names.items()], F.explode(F.array(*[
+        F.struct(F.lit(j).alias("v"), F.col(v).cast("double").alias("x")) for j, v in enumerate(values)])).alias("c"))
+    rows = slim.select(*keys, "c.v", ordered_bits(F.col("c.x")).alias("bits")).where(F.col("c.x").isNotNull())
+
+    def parts(bits_known):
+        return F.shiftright(F.col("bits"), 64 - bits_known) if bits_known else F.lit(0).cast("long")
+
+    counts = fixed(rows.groupBy(*cell).agg(F.count("*").alias("total")))
+    places = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor((F.col("total") - 1) * F.lit(float(p))), F.ceil((F.col("total") - 1) * F.lit(float(p))))
+        for p in probs])))
+    wanted = counts.select(*cell, F.explode(places).alias("rank"), F.lit(0).cast("long").alias("cell"),
+                           F.lit(0).cast("long").alias("before"), F.col("total").alias("size"))
+    known = 0
+    while known < 64 and (wanted.agg(F.max("size")).first()[0] or 0) > cell_rows:
+        cells = wanted.groupBy(*cell, "cell").agg(F.collect_set(F.struct("rank", "before")).alias("ranks"))
+        inside = rows.withColumn("cell", parts(known))
+        if known:
+            inside = join_on(inside, checked_broadcast(cells.drop("ranks")), [*cell, "cell"])
+        divided = (inside.withColumn("part", parts(known + BITS)).groupBy(*cell, "cell", "part")
+                   .agg(F.count("*").alias("n")).groupBy(*cell, "cell")
+                   .agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts")))
+        opened = join_on(divided, cells, [*cell, "cell"]).withColumn("r", F.explode("ranks"))
+        start = F.struct(F.lit(0).cast("long").alias("cell"), F.col("r.before").alias("before"),
+                         F.lit(0).cast("long").alias("size"))
+        hit = F.aggregate("parts", start, lambda a, p: F.when(a["before"] + a["size"] > F.col("r.rank"), a).otherwise(
+            F.struct(p["part"].alias("cell"), (a["before"] + a["size"]).alias("before"), p["n"].alias("size"))))
+        wanted = fixed(opened.select(*cell, F.col("r.rank").alias("rank"), hit.alias("h")).select(*cell, "rank", "h.*"))
+        known += BITS
+    if known < 64:
+        cells = wanted.select(*cell, "cell").distinct()
+        inside = rows.withColumn("cell", parts(known))
+        if known:
+            inside = join_on(inside, checked_broadcast(cells), [*cell, "cell"])
+        held = inside.groupBy(*cell, "cell").agg(F.sort_array(F.collect_list("bits")).alias("held"))
+        exact = join_on(wanted, held, [*cell, "cell"]).withColumn(
+            "bits", F.get("held", (F.col("rank") - F.col("before")).cast("int")))
+    else:
+        exact = wanted.withColumn("bits", F.col("cell"))
+    at = join_on(exact.select(*cell, "rank", from_ordered_bits(F.col("bits")).alias("x")), counts, cell)
+
+    def quantile(j, p):
         place = (F.col("total") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        missed = F.raise_error(F.lit("a quantile lies outside its bracket; raise the accuracy")).cast("double")
-        return F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * (place - F.floor(place)))
+        low, high = (F.max(F.when((F.col("v") == j) & (F.col("rank") == edge(place)), F.col("x"))) for edge in (F.floor, F.ceil))
+        share = F.max(F.when(F.col("v") == j, place - F.floor(place)))
+        return F.when(low == high, low).otherwise(low + (high - low) * share)
 
-    found = found.select(*keys, "v", *[value(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
-    wide = found.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("v") == j, F.col(f"q{i}"))).alias(f"{v}_q{i}")
-        for j, v in enumerate(values) for i in range(m)])
-    return join_on(sketch.drop(*[f"_b_{v}" for v in values]), wide, keys, "left")
+    return at.groupBy(*keys).agg(*[
+        quantile(j, p).alias(f"{v}_q{i}") for j, v in enumerate(values) for i, p in enumerate(probs)]).withColumnsRenamed(names)
 
 
 def first_known(column: str, order: Column) -> Column:
@@ -173,16 +201,16 @@ def numbered(distinct: DataFrame, columns, name: str, max_rows=BROADCAST_ROWS) -
     ranges, which are ranked apart and shifted by the sizes of those before.
     """
     order = [F.col(c).asc_nulls_last() for c in columns]
-    kept = distinct.persist()
+    kept = fixed(distinct)
     if kept.limit(max_rows + 1).count() <= max_rows:
-        return kept.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+        return kept.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     ranges = fixed(kept.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return join_on(ranges, checked_broadcast(starts), ["_range"]).select(
-        *columns, (F.col("_start") + inside).cast("int").alias(name))
+        *columns, (F.col("_start") + inside).alias(name))
 
 
 def ordinals(df: DataFrame, columns, name: str, max_rows=BROADCAST_ROWS) -> DataFrame:
@@ -192,24 +220,42 @@ def ordinals(df: DataFrame, columns, name: str, max_rows=BROADCAST_ROWS) -> Data
     """
     columns = list(columns)
     if not columns:
-        return df.withColumn(name, F.lit(1))
+        return df.withColumn(name, F.lit(1).cast("long"))
     table = numbered(df.select(*columns).distinct(), columns, name, max_rows)
     return join_on(df, checked_broadcast(table, max_rows), columns, "left")
 
 
-def prefix_min(df: DataFrame, index: str, value: str, keys=(), span=65536) -> DataFrame:
+def prefix_min(df: DataFrame, index: str, value: str, keys=(), span_bits=BITS) -> DataFrame:
     """Smallest value, and its first index, over every prefix of an indexed series.
 
-    The series is cut into spans of the index; whole spans are reduced first,
-    and rows only look back within their own span.
+    A scan over blocks in levels: a block of the index is the rows, or the blocks
+    of the level below, that share all but the next ``span_bits`` bits of their
+    number.  Going up, each block is reduced to its minimum until a series is one
+    block; going down, a block looks back over the blocks before it within its
+    parent and takes over what came before the parent.  No window is larger than
+    a block, whether or not the series has keys.
     """
     keys = list(keys)
-    low = F.struct(F.col(value).alias("value"), F.col(index).alias("index"))
-    rows = df.withColumn("_span", F.expr(f"`{index}` div {span}")).withColumn("_low", low)
-    spans = rows.groupBy(*keys, "_span").agg(F.min("_low").alias("_span_low"))
-    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    before = spans.select(*keys, "_span", F.min("_span_low").over(earlier).alias("_before"))
-    inside = Window.partitionBy(*keys, "_span").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    joined = join_on(rows, before, [*keys, "_span"]).withColumn("_here", F.min("_low").over(inside))
-    best = F.when(F.col("_before") <= F.col("_here"), F.col("_before")).otherwise(F.col("_here"))
+    low = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("value"), F.col(index).alias("index")))
+    first, last = ((end or 0) >> span_bits for end in df.agg(F.min(index), F.max(index)).first())
+    block = F.shiftright(F.col(index).cast("long"), span_bits) - F.lit(first)
+    rows = df.withColumn("_block", block).withColumn("_low", low)
+    levels = [fixed(rows.groupBy(*keys, "_block").agg(F.min("_low").alias("_low")))]
+    blocks = last - first
+    while blocks >> span_bits:
+        blocks >>= span_bits
+        block = F.shiftright("_block", span_bits).alias("_block")
+        levels.append(fixed(levels[-1].groupBy(*keys, block).agg(F.min("_low").alias("_low"))))
+    before = None
+    for level in reversed(levels):
+        above = level.withColumn("_parent", F.shiftright("_block", span_bits))
+        earlier = Window.partitionBy(*keys, "_parent").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        above = above.withColumn("_inside", F.min("_low").over(earlier))
+        if before is not None:
+            above = join_on(above, before.withColumnRenamed("_block", "_parent"), [*keys, "_parent"])
+            above = above.withColumn("_inside", F.least("_inside", "_before"))
+        before = above.select(*keys, "_block", F.col("_inside").alias("_before"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    joined = join_on(rows.withColumn("_here", F.min("_low").over(inside)), before, [*keys, "_block"])
+    best = F.least("_before", "_here")
     return joined.select(*keys, index, value, best["value"].alias("prefix_min"), best["index"].alias("prefix_index"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from jetlake.constants import TIMING_STATS
 from jetlake.functions.text import ratio
-from jetlake.operators.grouping import checked_broadcast, join_on, quantiles
+from jetlake.operators.grouping import checked_broadcast, fixed, join_on, quantiles
 
 STATS = ("n_samples", *TIMING_STATS)
 
@@ -41,7 +41,7 @@ def reject_outliers(df: DataFrame, keys, value="time_us", band=2.0) -> DataFrame
 
 def outlier_statistics(df: DataFrame, keys, value="time_us", band=2.0) -> DataFrame:
     """Full and outlier-excluded statistics of each group, told apart by ``selection``."""
-    full = trial_stats(df, keys, value).persist()
+    full = fixed(trial_stats(df, keys, value))
     largest = full.agg(F.max("n_samples")).first()[0] or 0
     kept = trial_stats(within_band(df, full, keys, value, band), keys, value, largest)
     return full.withColumn("selection", F.lit("full")).unionByName(

@@ -454,7 +454,7 @@ def top_of(spark, sf_dir):
 @query
 def prefix_minimum(spark, sf_dir):
     series_rows = views.trials(spark, sf_dir).select("trial", "time_us")
-    return rounded(prefix_min(series_rows, "trial", "time_us", span=1024))
+    return rounded(prefix_min(series_rows, "trial", "time_us", span_bits=6))
 
 
 # Figures

@@ -145,11 +145,11 @@ def test_event_window_and_positions(spark):
     df = spark.createDataFrame(data, "file string, event bigint")
     kept = rows(ev.event_window(df, max_events=5, skip_events=2))
     assert kept == [("a", 4), ("a", 6), ("a", 8), ("b", 4)]
-    assert rows(ev.event_window(df, max_events=5, skip_events=2, span=3)) == kept
-    assert rows(ev.event_window(df, skip_events=3, span=1)) == [("a", e) for e in (10, 12, 14, 16, 6, 8)]
+    assert rows(ev.event_window(df, max_events=5, skip_events=2, range_rows=3)) == kept
+    assert rows(ev.event_window(df, skip_events=3, range_rows=1)) == [("a", e) for e in (10, 12, 14, 16, 6, 8)]
     assert rows(ev.event_window(df, max_events=0)) == [] and ev.event_window(df).count() == 12
     assert len(rows(ev.event_window(df, max_events=-1, skip_events=1))) == 10
-    numbered = rows(ev.event_positions(df, span=4))
+    numbered = rows(ev.event_positions(df, range_rows=4))
     assert sorted(numbered) == [(f, e, e // 2 + 1) for f, e in sorted(data)]
     with pytest.raises(ValueError):
         ev.event_window(df, skip_events=-1)
@@ -172,6 +172,25 @@ def test_charged_counts(spark):
     assert rows(multiplicity.manifest_rows(df)) == [("f", 2.0)]
 
 
+def test_positions_of_sparse_numbers(spark):
+    """One file of numbers that differ by up to 2^40, another of few: ranks in many ranges, none of them large."""
+    number = F.col("id") * F.col("id") * F.col("id") * 1000 - 5
+    df = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("file"), number.alias("event"))
+    ranged, _, starts = ev._numbers(df, ["file"], 500)
+    sizes = [r["count"] for r in ranged.where("file = 'a'").groupBy("_range").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 500 and starts.count() == len(sizes) + 1
+    want = sorted((file, event) for file, event in ((r.file, r.event) for r in df.collect()))
+    places = {}
+    found = {(r.file, r.event): r.position for r in ev.event_positions(df, range_rows=500).collect()}
+    for file, event in want:
+        places[file] = places.get(file, 0) + 1
+        assert found[file, event] == places[file]
+    window = ev.event_window(df, max_events=1000, skip_events=990, range_rows=500)
+    for file in ("a", "b"):
+        own = [e for f, e in want if f == file]
+        assert sorted(r.event for r in window.where(F.col("file") == file).collect()) == own[990:1000]
+
+
 # Groups
 
 def test_quantiles_of_large_and_skewed_groups(spark):
@@ -183,14 +202,43 @@ def test_quantiles_of_large_and_skewed_groups(spark):
             F.pow(F.lit(1.7), (F.hash("id") % 40).cast("double")) + F.col("id") % 3).alias("x"),
         F.when(F.col("id") % 2 == 1, F.lit(5.0)).alias("y"))
     probs = [0.25, 0.5, 0.75, 0.99]
-    want = grouping.built_in_quantiles(df, ["k"], ["x", "y"], probs)
-    for accuracy in (200, 2000, 100_000):
-        got = grouping.large_group_quantiles(df, ["k"], ["x", "y"], probs, accuracy=accuracy)
-        assert rows(catalog.rounded(want, 6)) == rows(catalog.rounded(got.select(*want.columns), 6))
-    whole = grouping.large_group_quantiles(df, [], ["x"], [0.5], accuracy=500).first()
-    assert whole.x_q0 == pytest.approx(df.agg(F.median("x")).first()[0])
-    chosen = grouping.quantiles(df, ["k"], ["x"], [0.5], buffer_rows=10)
-    assert rows(chosen.select("k", "x_q0")) == rows(df.groupBy("k").agg(F.median("x")))
+    want = grouping.quantiles(df, ["k"], ["x", "y"], probs)
+    for cell_rows in (1, 2000):
+        got = grouping.quantiles(df, ["k"], ["x", "y"], probs, extra=[F.max("x").alias("top")], cell_rows=cell_rows)
+        assert rows(catalog.rounded(want, 9)) == rows(catalog.rounded(got.select(*want.columns), 9))
+        assert rows(got.select("k", "top")) == rows(df.groupBy("k").agg(F.max("x")))
+    whole = grouping.quantiles(df, [], ["x"], [0.5], cell_rows=500).first()
+    assert whole.x_q0 == df.agg(F.median("x")).first()[0]
+    # Columns under the names used inside.
+    odd = df.withColumnsRenamed({"k": "cell", "x": "v", "y": "rank"})
+    again = grouping.quantiles(odd, ["cell"], ["v", "rank"], [0.5], cell_rows=50)
+    assert rows(again.select("cell", "v_q0")) == rows(want.select("k", "x_q1"))
+    assert grouping.quantiles(df.limit(0), ["k"], ["x"], probs, cell_rows=0).count() == 0
+
+
+def test_quantiles_of_one_group_in_many_tasks(spark):
+    """Five million values of one group: a third equal, the others close together."""
+    df = spark.range(0, 5_000_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7.25)).otherwise(F.pmod(F.hash("id"), F.lit(1_000_003)) * 1e-9 + 100).alias("x"))
+    probs = [0.1, 0.5, 0.999]
+    got = grouping.quantiles(df, [], ["x"], probs).first()
+    want = np.quantile(df.toPandas()["x"].to_numpy(), probs)
+    assert [got[f"x_q{i}"] for i in range(len(probs))] == pytest.approx(want.tolist(), abs=1e-13) and got["x_n"] == 5_000_000
+
+
+def test_ordered_bits(spark):
+    """The bits of a double's size, whatever it is, and back."""
+    pick = np.random.default_rng(2)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, float("inf"), float("-inf")]
+    values += [float(np.nextafter(2.0**k, 0)) for k in range(-1070, 1024, 7)] + [2.0**k for k in range(-1074, 1024, 7)]
+    values += [v for v in pick.integers(-2**63, 2**63 - 1, 3000).view(np.float64).tolist() if v == v]
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan")]], "x double").withColumn(
+        "bits", grouping.ordered_bits(F.col("x"))).withColumn("back", grouping.from_ordered_bits(F.col("bits")))
+    found = df.collect()
+    for row in found[:-1]:
+        size = int(np.float64(abs(row.x)).view(np.int64))
+        assert row.bits == (-size if row.x < 0 else size) and row.back == row.x
+    assert found[-1].bits > max(r.bits for r in found[:-1]) and np.isnan(found[-1].back)
 
 
 def test_wide_keys_are_kept_apart(spark):
@@ -210,11 +258,30 @@ def test_checked_broadcast_leaves_large_tables_alone(spark):
 def test_prefix_min_over_spans(spark):
     values = [5, 7, 3, 3, 9, 2, 2, 8, 1, 4]
     df = spark.createDataFrame(list(enumerate(values)), "i bigint, v int")
-    got = grouping.prefix_min(df, "i", "v", span=3).orderBy("i").collect()
+    got = grouping.prefix_min(df, "i", "v", span_bits=1).orderBy("i").collect()
     assert [r.prefix_min for r in got] == list(np.minimum.accumulate(values))
     assert [r.prefix_index for r in got] == [0, 0, 2, 2, 2, 5, 5, 5, 8, 8]
 
 
+def test_prefix_min_in_levels(spark):
+    """Unkeyed and keyed series over four levels of blocks, with negative numbers, gaps and NULLs."""
+    pick = np.random.default_rng(4)
+    index = np.unique(pick.integers(-3000, 5000, 1500))
+    values = [None if v == 0 else float(v) for v in pick.integers(0, 400, len(index))]
+    df = spark.createDataFrame([(int(i), int(i) % 3, v) for i, v in zip(index, values)], "i bigint, k int, v double")
+    for keys in ([], ["k"]):
+        got = {r.i: (r.prefix_min, r.prefix_index) for r in grouping.prefix_min(df, "i", "v", keys, span_bits=3).collect()}
+        best = {}
+        for i, v in zip(index.tolist(), values):
+            k = i % 3 if keys else 0
+            if v is not None and (k not in best or v < best[k][0]):
+                best[k] = v, i
+            assert got[i] == best.get(k, (None, None))
+    plan = grouping.prefix_min(df, "i", "v", span_bits=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("_parent" in line or "_block" in line for line in plan.splitlines() if "Window [" in line)
+
+
+
 def test_ordinals_with_null(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "k string")
     assert rows(grouping.ordinals(df, ["k"], "n")) == [("a", 1), ("b", 2), ("b", 2), (None, 3)]

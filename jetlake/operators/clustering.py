@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from jetlake import schemas
 from jetlake.constants import ALGORITHMS, BEAM, NO_PARENT, SCHEME_NAMES, SCHEMES, STRATEGIES
-from jetlake.operators import kernel
+from jetlake.operators import closest, kernel
+from jetlake.operators.grouping import join_on
 
 COMPONENTS = ("px", "py", "pz", "e")
 
@@ -39,10 +40,19 @@ def resolve(algorithm="AntiKt", R=0.4, p=None, scheme="E", strategy="Best") -> k
 
 
 def _momenta(batch):
-    """Flat (4, n) momenta and particle counts of the events of a batch."""
+    """Flat (4, n) momenta and particle counts of the events of a batch.
+
+    A momentum that is null or not a finite number is an error that names its event.
+    """
     columns = [batch.column(f"_{c}") for c in COMPONENTS]
     offsets = np.asarray(columns[0].offsets, dtype=np.int64)
     flat = np.stack([np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=float) for c in columns])
+    fine = np.isfinite(flat).all(axis=0)
+    if not fine.all():
+        row = int(np.searchsorted(np.cumsum(np.diff(offsets)), int(fine.argmin()), side="right"))
+        named = [n for n in batch.schema.names if n[1:] not in COMPONENTS and not pa.types.is_nested(batch.schema.field(n).type)]
+        event = ", ".join(f"{n} {batch.column(n)[row].as_py()}" for n in named)
+        raise ValueError(f"momentum that is not a number in event: {event or row}")
     return flat, np.diff(offsets)
 
 
@@ -161,18 +171,6 @@ def _member_arrays(momenta, steps, ptmin):
     return _list(found, np.bincount(event[beam][kept], minlength=len(n)))
 
 
-def _first_step_arrays(steps):
-    has = steps.counts > 0
-    at = np.where(has, steps.offsets[:-1], 0)
-
-    def column(values, kind):
-        taken = values[at] if len(values) else np.zeros(len(at))
-        return pa.array(taken.astype(kind), mask=~has)
-
-    return {"parent1": column(steps.parent1, np.int32), "parent2": column(steps.parent2, np.int32),
-            "dij": column(steps.dij, float)}
-
-
 def _flat(events, keep, particles):
     """The columns to keep, and one array per momentum component."""
     none = F.array().cast("array<double>")
@@ -180,7 +178,7 @@ def _flat(events, keep, particles):
         F.coalesce(F.col(particles).getField(c), none).cast("array<double>").alias(f"_{c}") for c in COMPONENTS])
 
 
-def _cluster_map(events, spec, make, out, keep, particles, max_steps=None):
+def _cluster_map(events, spec, make, out, keep, particles):
     kept = [c for c in events.columns if c in keep]
     flat = _flat(events, kept, particles)
     schema = ", ".join([f"`{c}` {events.schema[c].dataType.simpleString()}" for c in kept] + [out])
@@ -188,7 +186,7 @@ def _cluster_map(events, spec, make, out, keep, particles, max_steps=None):
     def work(batches):
         for batch in batches:
             momenta, counts = _momenta(batch)
-            steps = kernel.cluster_batch(momenta, counts, spec, max_steps)
+            steps = kernel.cluster_batch(momenta, counts, spec)
             yield _pass(batch, kept, **make(momenta, steps))
 
     return flat.mapInArrow(work, schema)
@@ -238,13 +236,17 @@ def jets_with_constituents(events: DataFrame, algorithm="CA", R=0.4, p=None, sch
 
 
 def first_merge(events: DataFrame, algorithm="AntiKt", R=0.4, p=None, scheme="E",
-                particles="particles") -> DataFrame:
-    """The first step of each event: ``parent1``, ``parent2`` (-1 beam), ``dij``."""
+                particles="particles", keys=None) -> DataFrame:
+    """The first step of each event: ``parent1``, ``parent2`` (-1 beam), ``dij``.
+
+    Found by a join of tiles (see ``closest``), not by the step loop.  ``keys``
+    identify an event: all other columns, unless named.  Events without particles
+    have NULL.
+    """
     spec = resolve(algorithm, R, p, scheme)
-    keep = [c for c in events.columns if c != particles]
-    return _cluster_map(
-        events, spec, lambda _, steps: _first_step_arrays(steps),
-        "parent1 int, parent2 int, dij double", keep, particles, max_steps=1)
+    keys = list(keys or [c for c in events.columns if c != particles])
+    steps = closest.first_steps(events, spec, keys, particles)
+    return join_on(events.select(*[c for c in events.columns if c != particles]), steps, keys, "left")
 
 
 def parameter_grid(algorithms, radii, powers=(None,), strategies=("Best",)) -> list[dict]:

@@ -255,6 +255,25 @@ class Tiles:
         return per_query, cell // near.shape[1], self.members[near.reshape(-1)[cell], place]
 
 
+def _earliest(cost, look, spec):
+    """The slot of each row's next step: of equal costs the one of least (distance, first, second).
+
+    ``look`` gives, for rows and slots: the neighbour's slot (negative for the
+    beam), and for rows and slots weight, reach and name.
+    """
+    row, slot = np.nonzero(cost == cost.min(axis=1)[:, None])
+    if len(row) == len(cost):
+        return slot
+    mate, (w, near, one) = look(row, slot)
+    beam = mate < 0
+    _, (mate_w, _, two) = look(row, np.where(beam, slot, mate))
+    d = np.where(beam, w, spec.scale * near * np.minimum(w, mate_w))
+    two = np.where(beam, np.inf, two)
+    order = np.lexsort((np.maximum(one, two), np.minimum(one, two), d, row))
+    starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+    return slot[order[starts]]
+
+
 def _tiled(start, n, spec, steps, base, total_steps):
     """As ``_lockstep``, looking for neighbours only in the tiles around an object.
 
@@ -301,11 +320,15 @@ def _tiled(start, n, spec, steps, base, total_steps):
     for part in np.array_split(ident, max(1, len(ident) // 4000)):
         settle(part, *search(part)[:2])
 
+    def look(row, slot):
+        at = row * span + slot  # slots are in the order of creation, as are the names
+        return nn[at] - np.where(nn[at] < 0, 0, row * span), (weight[at], near[at], slot)
+
     worst = np.zeros(events)
     for step in range(total_steps):
         k = running[step]
         r = np.arange(k)
-        i = cost[:k, :width + step].argmin(axis=1) + r * span
+        i = _earliest(cost[:k, :width + step], look, spec) + r * span
         j = nn[i]
         beam = j < 0
         j = np.where(beam, i, j)
@@ -398,7 +421,8 @@ def _lockstep(start, n, spec, steps, base, total_steps):
     for step in range(total_steps):
         k, c = running[step], used
         r = rows[:k]
-        i = state[COST, :k, :c].argmin(axis=1)
+        i = _earliest(state[COST, :k, :c], lambda row, slot: (
+            neighbour[row, slot].astype(np.intp), state[WEIGHT:, row, slot]), spec)
         one = state[:, r, i]
         j = neighbour[r, i].astype(np.intp)
         beam = j < 0

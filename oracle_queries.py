@@ -224,6 +224,20 @@ SELECT c.event, c.jet_id, round(sqrt(t.px*t.px + t.py*t.py), 4) + 0.0 AS pt,
 FROM chosen c LEFT JOIN tagged t ON t.event = c.jet"""
 
 
+def tied_events():
+    """First steps of events whose particles have one of seven momenta: many distances are equal."""
+    return f"""WITH {PART.replace("px, py, pz, e,", "l_suppkey % 7 AS kind,", 1).replace("FROM (" + NUMBERED, "FROM (" + NUMBERED.replace("px, py, pz, e FROM", "l_suppkey FROM"))},
+seven AS (SELECT *, sqrt(px*px + py*py + pz*pz + CAST(0.01948 AS DOUBLE)) AS e FROM (SELECT k AS kind,
+  CAST(3 + k * k AS DOUBLE) AS px, CAST(7 * k - 20 AS DOUBLE) AS py, CAST(11 * k * k - 50 * k AS DOUBLE) AS pz FROM range(7) r(k))),
+act AS (SELECT p.event, p.idx AS id, px*px + py*py AS kt2, {RAP} AS rap, {PHI} AS phi FROM part p JOIN seven USING (kind)),
+steps AS (SELECT a.event, CASE WHEN a.rap = b.rap AND a.phi = b.phi THEN 0 ELSE {_pair("pp", 0.4, -1)} END AS d, a.id AS i, b.id AS j
+  FROM act a JOIN act b ON a.event = b.event AND a.id < b.id
+  UNION ALL SELECT a.event, {_weight("pp", -1, "a")}, a.id, 2147483647 FROM act a),
+best AS (SELECT event, arg_min(struct_pack(d := d, i := i, j := j), struct_pack(d := d, i := i, j := j)) AS m FROM steps GROUP BY event)
+SELECT event, CAST(m.i AS INT) AS parent1, CAST(CASE WHEN m.j = 2147483647 THEN -1 ELSE m.j END AS INT) AS parent2,
+  round(m.d, 9) + 0.0 AS dij FROM best"""
+
+
 def clustering_queries():
     antikt = inclusive()
     counts = f"WITH RECURSIVE {PART}, {cluster(p=0)} "
@@ -246,6 +260,7 @@ def clustering_queries():
         "first_merge": f"""WITH RECURSIVE {PART}, {cluster(stop="AND step = 0")}, {STEPS}
 SELECT event, CAST(p1 AS INT) AS parent1, CAST(CASE WHEN p2 < 0 THEN -1 ELSE p2 END AS INT) AS parent2,
   round(ln(d), 5) + 0.0 AS log_dij FROM steps WHERE id = (SELECT n FROM part WHERE part.event = steps.event LIMIT 1)""",
+        "tied_events": tied_events(),
         "history_rows": history(),
         "sequence_jets": sequence_jets(),
         "jet_count_per_file": counts + f"""SELECT event % 10 AS file,
@@ -461,7 +476,7 @@ FROM ({sides.format(keys="File, algorithm, strategy, radius, mean_particles")})
   GROUP BY File_path, code) a JOIN (SELECT File_path, CAST(sum(threads) AS BIGINT) AS n_jets FROM {r} GROUP BY File_path) b
 USING (File_path)""",
         "describe": " UNION ALL ".join(described(c) for c in ("threads", "n_samples", "time_per_event")),
-        "group_means": f"""SELECT *, CAST(row_number() OVER (ORDER BY code, radius) AS INT) AS group_no FROM (
+        "group_means": f"""SELECT *, row_number() OVER (ORDER BY code, radius) AS group_no FROM (
   SELECT code, radius, round(avg(time_per_event), 5) AS mean FROM {r} GROUP BY code, radius) g""",
         "group_count": f"SELECT count(*) AS n_groups FROM (SELECT DISTINCT code, algorithm, n_samples FROM {r}) g",
         "distinct_values": f"SELECT DISTINCT n_samples FROM {r}",
@@ -487,12 +502,12 @@ def figure_queries():
     wide = "trial, max(time_us) FILTER (WHERE workload = '{w}') AS v"
     return {
         "figure_series": f"""SELECT algorithm, radius, code, code_version,
-  CAST(dense_rank() OVER (ORDER BY algorithm, radius) AS INT) AS facet_no,
+  dense_rank() OVER (ORDER BY algorithm, radius) AS facet_no,
   CAST(dense_rank() OVER (PARTITION BY algorithm, radius ORDER BY code, code_version) AS INT) AS series_no,
   code || ' ' || code_version AS series_label, {xy}
 FROM ({curves}) c WHERE strategy = 'N2Tiled' AND algorithm IN ('AntiKt', 'Kt')""",
         "radius_scan": f"""SELECT algorithm, strategy, radius, code,
-  CAST(dense_rank() OVER (ORDER BY algorithm, strategy, radius) AS INT) AS facet_no, {place} AS series_no,
+  dense_rank() OVER (ORDER BY algorithm, strategy, radius) AS facet_no, {place} AS series_no,
   code AS series_label, {xy} FROM ({curves}) c WHERE strategy = 'N2Plain' AND algorithm IN ('AntiKt', 'CA')""",
         "showcase": f"""SELECT code, {place} AS series_no, {label} AS series_label, {xy} FROM ({curves}) c
 WHERE algorithm = 'Kt' AND radius = 1.0 AND strategy = 'N2Tiled' AND code <> '{PREFERRED_CODES[2]}'""",
@@ -525,7 +540,7 @@ def scalar_queries():
   round(time_per_event, 10) AS checked, CASE WHEN threads = 3 THEN NULL ELSE CAST(n_samples AS DOUBLE) END AS parsed,
   (threads - 1) % 3 + 1 AS wrapped, CASE WHEN n_samples IS NULL THEN 5 ELSE least(greatest(n_samples, 5), 20) END AS clamped,
   algorithm FROM {r}""",
-        "group_ordinals": f"""SELECT code, n_samples, CAST(row_number() OVER (ORDER BY code, n_samples NULLS LAST) AS INT) AS number,
+        "group_ordinals": f"""SELECT code, n_samples, row_number() OVER (ORDER BY code, n_samples NULLS LAST) AS number,
   count(*) AS n FROM {r} GROUP BY code, n_samples""",
         "product_text": """SELECT p_partkey, 'a|' || p_brand || '|' || p_size AS items,
   nullif(regexp_extract(p_brand, '(\\d)(\\d)', 1), '') AS digit, p_brand || '.hepmc3' AS unpacked FROM part""",

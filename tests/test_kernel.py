@@ -157,3 +157,21 @@ def test_one_step_only():
 def test_bad_parameters(options):
     with pytest.raises(ValueError):
         clustering.resolve(**options)
+
+
+TIED = [(6, 0, 40), (3, 1.5, -20), (6, 0, -40), (3, 1.5, 20)]  # pairs (0, 3) and (1, 2) are equally far, bit by bit
+
+
+@pytest.mark.parametrize("algorithm", ["Kt", "AntiKt", "CA"])
+@pytest.mark.parametrize("strategy", ["N2Plain", "N2Tiled"])
+def test_equal_distances_go_by_number(algorithm, strategy):
+    massless = [(x, y, z, math.sqrt(x * x + y * y + z * z)) for x, y, z in TIED]
+    # A square of equal particles in azimuth, every neighbour equally far, and copies of one particle.
+    ring = [(5.0 * x, 5.0 * y, 0.0, 5.0) for x, y in ((1, 0), (0, 1), (-1, 0), (0, -1))]
+    events = [massless, ring, [(1.0, 2.0, 3.0, 5.0)] * 6, massless[::-1]]
+    for R in (1.0, 2.0):
+        for got, event in zip(steps_of(events, algorithm=algorithm, R=R, strategy=strategy), events):
+            want = brute.cluster(event, R=R, p={"Kt": 1, "AntiKt": -1, "CA": 0}[algorithm])
+            assert got[0][:2] == want[0][:2]
+    if algorithm == "Kt":
+        assert steps_of([massless], algorithm="Kt", R=1.0, strategy=strategy)[0][0][:2] == (0, 3)

@@ -135,6 +135,25 @@ _groomed("mass_drop", "mass_drop")
 _groomed("soft_drop", "soft_drop")
 
 
+@query
+def jet_constituents(spark, sf_dir):
+    """The inputs of each jet, by their numbers, and their summed energy."""
+    found = substructure.constituents(substructure.substructure_input(pipe.event_rows(spark, sf_dir), 1.0))
+    energy = F.aggregate("particles", F.lit(0.0), lambda a, p: a + p["e"])
+    return rounded(found.select("event", "jet_id", F.size("particles").alias("n_members"), energy.alias("sum_e"),
+                                kin.pt(F.col("jet.px"), F.col("jet.py")).alias("pt")), digits=4)
+
+
+@query
+def object_members(spark, sf_dir):
+    """The inputs of every merged object of the sequence."""
+    sequence = substructure.with_intervals(substructure.substructure_input(pipe.event_rows(spark, sf_dir), 1.0))
+    objects = F.filter(F.transform("history", lambda h, x: F.struct(x.alias("entry"), h["parent2"].alias("p2"))), lambda o: o["p2"] >= 0)
+    rows = sequence.select("event", "spans", "leaves", F.explode(objects).alias("o")).select(
+        "event", (F.col("o.entry") + 1).alias("entry"), substructure.members(F.col("o.entry")).alias("m"))
+    return rows.select("event", "entry", F.size("m").alias("n_members"), F.array_join(F.col("m").cast("array<string>"), ",").alias("members"))
+
+
 # Event rows
 
 @query

@@ -272,6 +272,14 @@ SELECT event, CAST(p1 AS INT) AS parent1, CAST(CASE WHEN p2 < 0 THEN -1 ELSE p2
         "param_scan": param_scan(),
         "filter": _subjets(0.3, "place <= 3"),
         "trim": _subjets(0.3, "sqrt(px*px + py*py) >= jet_pt * CAST(0.3 AS DOUBLE)"),
+        "jet_constituents": f"""WITH RECURSIVE {PART}, {cluster(R=1.0, p=0)}, {CA_JETS}
+SELECT c.event, c.jet_id, CAST(count(*) AS INT) AS n_members, round(sum(q.e), 4) + 0.0 AS sum_e,
+  round(sqrt(c.px*c.px + c.py*c.py), 4) + 0.0 AS pt
+FROM (SELECT *, unnest(members) AS idx FROM chosen) c JOIN part q ON q.event = c.event AND q.idx = c.idx
+GROUP BY c.event, c.jet_id, c.px, c.py""",
+        "object_members": f"""WITH RECURSIVE {PART}, {cluster(R=1.0, p=0)}
+SELECT event, id + 1 AS entry, CAST(len(members) AS INT) AS n_members, array_to_string(list_sort(members), ',') AS members
+FROM st WHERE step > 0 AND id = n + step - 1""",
         "mass_drop": mass_drop(),
         "soft_drop": soft_drop(),
         "dump_round_trip": inclusive(50.0, R=1.0),

@@ -137,6 +137,29 @@ def require_events(events: DataFrame) -> DataFrame:
     return events
 
 
+def placed_by_cost(events: DataFrame, buckets: int, particles="particles") -> DataFrame:
+    """Spread event rows over ``buckets`` tasks of about equal cost ahead of clustering.
+
+    The cost of an event is the square of its particle count.  Counts are counted
+    (a small table, as there are few), laid end to end by their share of the whole
+    cost and cut into buckets: a frequent or costly count spans several, its events
+    salted over them, and rare small ones share one.
+    """
+    size = F.size(particles)
+    cost = F.col("_events") * F.greatest(F.col("_size"), F.lit(1)).cast("double") ** 2
+    counts = fixed(events.select(F.coalesce(size, F.lit(0)).alias("_size")).groupBy("_size").agg(F.count("*").alias("_events")))
+    total = counts.agg(F.sum(cost)).first()[0] or 1.0
+    upto = Window.orderBy("_size").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counts.withColumn("_end", F.sum(cost).over(upto) / total * buckets)
+    last = F.least(F.greatest(F.ceil(F.col("_end")) - 1, F.lit(0)), F.lit(buckets - 1))
+    first = F.least(F.floor(F.col("_end") - cost / total * buckets), last)
+    spans = ends.select("_size", F.greatest(first, F.lit(0)).alias("_first"), last.alias("_last"))
+    rows = events.withColumn("_size", F.coalesce(size, F.lit(0))).join(checked_broadcast(spans), "_size")
+    salt = F.pmod(F.xxhash64(*[c for c in ("file", "event") if c in events.columns] or [particles]), F.col("_last") - F.col("_first") + 1)
+    rows = rows.withColumn("_bucket", (F.col("_first") + salt).cast("int"))
+    return rows.repartitionById(buckets, "_bucket").drop("_size", "_first", "_last", "_bucket")
+
+
 def map_events(events: DataFrame, function, schema) -> DataFrame:
     """Apply a function to Arrow-backed pandas batches of event rows."""
     return events.mapInPandas(function, schema)

@@ -180,17 +180,20 @@ def first_known(column: str, order: Column) -> Column:
     return F.min_by(F.col(column), F.when(known, order))
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """Write a table out and read it back, so that every use sees the same rows.
-
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a local
-    session without one gets its own.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without one gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jetlake-"))
+        found = tempfile.mkdtemp(prefix="jetlake-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """Write a table out and read it back (a checkpoint), so that every use sees the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from jetlake.constants import (DEFAULT_CODE, DEFAULT_JSON_BACKEND, DEFAULT_SCHEDULE, SCAN_METRICS,
                                SCAN_ROW, WORKLOAD)
 from jetlake.functions import text
-from jetlake.operators.grouping import first_known, quantiles
+from jetlake.operators.grouping import checked_broadcast, first_known, quantiles
 from jetlake.operators.results import require_columns
 from jetlake.sources import tables
 
@@ -75,16 +75,36 @@ def skipped_runs(runs: DataFrame) -> DataFrame:
 
 def csv_rows(results: DataFrame, name="results") -> DataFrame:
     """Scan rows of a benchmark result table (times in microseconds per event)."""
-    require_columns(results, ["time_per_event", "code", "algorithm", "strategy", "radius", "power", "threads"], name)
     present = set(results.columns)
     c = F.col
+    required = ["time_per_event", "code", "algorithm", "strategy", "radius", "power", "threads"]
+    sources = [f for f in ("File_path", "input_file", "File") if f in present]
+    if "_names" in present:
+        # Rows of several files: each is held to its own header.
+        for column in required:
+            if column not in present:
+                results = results.withColumn(column, F.lit(None).cast("string"))
+        lacking = F.array_except(F.array(*map(F.lit, required)), "_names")
+        named = [(F.array_contains("_names", f), c(f)) for f in sources]
+        known = named[0][0] if named else F.lit(False)
+        for has, _ in named[1:]:
+            known = known | has
+        problem = F.when(F.size(lacking) > 0, F.concat(F.lit(" lacks column(s) "), F.array_join(lacking, ", "))).when(
+            ~known, F.lit(" names no input file (File_path, input_file or File)"))
+        checked = F.when(problem.isNull(), True).otherwise(F.raise_error(F.concat(c("source_file"), problem)).cast("boolean"))
+        results = results.where(checked)
+        source = F.lit(None).cast("string")
+        for has, column in reversed(named):
+            source = F.when(has, column).otherwise(source)
+    else:
+        require_columns(results, required, name)
+        if not sources:
+            raise ValueError(f"{name} names no input file (File_path, input_file or File)")
+        source = c(sources[0])
 
     def optional(column):
         return c(column) if column in present else F.lit(None).cast("string")
 
-    source = next((f for f in ("File_path", "input_file", "File") if f in present), None)
-    if source is None:
-        raise ValueError(f"{name} is missing an input file column; expected File_path, input_file, or File")
     seconds = text.positive_or_null(c("time_per_event")) * F.lit(1e-6)
     code = text.text_or(c("code"), "unknown")
     version = text.text_or(optional("backend_version"), "unknown")
@@ -97,38 +117,33 @@ def csv_rows(results: DataFrame, name="results") -> DataFrame:
         "events_per_second": F.lit(1.0) / seconds, "time_per_event_seconds": seconds,
         "algorithm": text.text_or(c("algorithm"), "unknown"),
         "strategy": text.text_or(c("strategy"), "unknown"),
-        "R": c("radius"), "p": c("power"), "input_file": text.text_or(c(source), "unknown"),
+        "R": c("radius"), "p": c("power"), "input_file": text.text_or(source, "unknown"),
         "nsamples": optional("n_samples"),
     })
 
 
 def read_scan(spark, paths, output=None) -> DataFrame:
-    """Scan rows of a mixed list of thread-run JSON files and result CSV files."""
+    """Scan rows of a mixed list of thread-run JSON files and result CSV files: one scan for each format."""
     json_paths, csv_paths = tables.split_by_format(paths, output)
+    known = checked_broadcast(spark.createDataFrame([(_absolute(p), n) for n, p in enumerate(paths)], "_path string, _file int"))
     parts = []
-    order = {path: F.lit(n).alias("file") for n, path in enumerate(paths)}
     if json_paths:
         runs = tables.read_thread_runs(spark, json_paths)
-        placed = runs.withColumn("_path", _path_key(F.col("_metadata.file_path")))
-        known = spark.createDataFrame([(_absolute(p), n) for n, p in enumerate(paths)], "_path string, _file int")
-        placed = placed.withColumns(_order_fields()).join(F.broadcast(known), "_path", "left")
-        parts.append(json_rows(placed.withColumn("_order", F.struct(F.col("_file").alias("file"), "block", "row"))))
-    for path in csv_paths:
-        raw = spark.read.csv(path, header=True)
-        typed = tables.typed(raw.withColumns({
-            "source_file": F.col("_metadata.file_path"),
-            "_order": F.struct(order[path], *[v.alias(k) for k, v in _order_fields().items()])}))
-        parts.append(csv_rows(typed, path))
+        placed = runs.withColumns({
+            "_path": _path_key(F.col("_metadata.file_path")), "_block": F.col("_metadata.file_block_start"),
+            "_row": F.monotonically_increasing_id()}).join(known, "_path", "left")
+        parts.append(json_rows(placed.withColumn("_order", _place())))
+    if csv_paths:
+        raw = tables.read_csv_files(spark, csv_paths).withColumn("source_file", F.col("_path"))
+        placed = raw.withColumn("_path", _path_key(F.col("_path"))).join(known, "_path", "left")
+        parts.append(csv_rows(tables.typed(placed.withColumn("_order", _place()))))
     if not parts:
         raise ValueError("no input rows to merge")
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _order_fields():
-    return {"block": F.col("_metadata.file_block_start"), "row": F.monotonically_increasing_id()}
+def _place():
+    return F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row"))
 
 
 def _path_key(path):

@@ -142,12 +142,12 @@ def jet_documents(selected: DataFrame, keep_empty=True) -> DataFrame:
     return docs if keep_empty else docs.where(F.size("jets") > 0)
 
 
-def format_jet_dump(selected: DataFrame) -> DataFrame:
-    """The text block of each event: a header line, then one line per jet."""
+def format_jet_dump(selected: DataFrame, number="event") -> DataFrame:
+    """The text block of each event: a header line with its ``number`` column, then one line per jet."""
     keys = [c for c in selected.columns if c != "jets"]
     lines = F.transform(_measured(F.col("jets")), lambda j, i: F.format_string(
         "%5d %15.10f %15.10f %15.10f", i, j["rap"], j["phi"], j["pt"]))
-    header = F.format_string("Jets in processed event %d", F.col("event"))
+    header = F.format_string("Jets in processed event %d", F.col(number))
     return selected.select(*keys, F.concat_ws("\n", F.array(header), lines).alias("value"))
 
 

@@ -1,5 +1,7 @@
 """Registered queries: every operator run over the given tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from jetlake.functions import kinematics as kin
 from jetlake.functions import text
 from jetlake.operators import clustering, events as ev, multiplicity as mult, results as res
 from jetlake.operators import scan, selection, substructure, trials
-from jetlake.operators.grouping import ordinals, prefix_min
+from jetlake.operators.grouping import ordinals, prefix_min, shared_folder
 from jetlake.plans import pipelines as pipe
 from jetlake.plans import series, views
 from jetlake.sources import event_files, sinks, tables
@@ -600,3 +602,82 @@ def product_text(spark, sf_dir):
         "p_partkey", F.concat_ws("|", items).alias("items"),
         text.captured(F.col("p_brand"), r"(\d)(\d)").alias("digit"),
         text.unpacked_name(F.concat("p_brand", F.lit(".hepmc3.gz"))).alias("unpacked"))
+
+
+# Queries through files, written from the tables into the shared folder and read back
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def manifest_events(spark, sf_dir):
+    """Event files and their manifest: the events of every file, with the density that the manifest states."""
+    folder = _folder(spark, "events")
+    p = views.particles(spark, sf_dir)
+    line = F.concat_ws(" ", F.lit("P"), F.col("idx") + 1, F.lit("0"), "pdgid", "px", "py", "pz", "e", F.lit("0.0"), "status")
+    records = p.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", line.alias("line")))).alias("l")).select(
+        F.concat(F.lit("run-"), F.col("event") % 5, F.lit(".hepmc3")).alias("name"), "event", F.concat(
+            F.lit("E "), F.col("event"), F.lit(" 1 "), F.size("l"), F.lit("\nU GEV MM\n"),
+            F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("value"))
+    sinks.write_named(records, folder, F.col("name"), fmt="text", order=["event"], columns=["value"])
+    listed = records.groupBy(F.col("name").alias("File")).agg(F.count("*").cast("double").alias("mean_particles"))
+    sinks.write_named(listed, folder, F.lit("manifest.csv"))
+    events = event_files.read_manifest_events(spark, f"{folder}/manifest.csv", skip_events=3, buckets=16)
+    return events.groupBy(F.col("listed_file").alias("File"), F.col("mean_particles").cast("long").alias("listed")).agg(
+        F.count("*").alias("n_events"), F.sum(F.size("particles").cast("long")).alias("n_particles"), F.max("event").alias("last_event"))
+
+
+@query
+def scan_files(spark, sf_dir):
+    """Result files of three layouts, named by their runs' parameters, read in one scan."""
+    folder = _folder(spark, "results")
+    rows = views.results(spark, sf_dir).withColumns({"backend": text.default_backend(F.col("code")), "backend_version": F.lit("1.0")})
+    rows = rows.withColumn("n_threads", F.col("threads")).withColumn("threads", F.lit(1)).withColumn("name", sinks.run_name())
+    rows = rows.withColumn("threads", F.col("n_threads"))
+    columns = ["threads", "time_per_event", "code", "algorithm", "strategy", "radius", "power", "n_samples", "File"]
+    layouts = {CODES[0]: columns, CODES[1]: [*columns[::-1], "schedule"], CODES[4]: ["File_path", *columns[:-1]]}
+    paths = []
+    for number, (code, layout) in enumerate(layouts.items()):
+        paths.append(f"{folder}/{number}")
+        sinks.write_named(rows.where(F.col("code") == code), paths[-1], F.col("name"), columns=layout)
+    shown = scan.read_scan(spark, [f"{path}/*.csv" for path in paths])
+    ticks = F.sum(F.round(F.col("time_per_event_seconds") * 1e10).cast("long"))
+    return shown.groupBy("code", "algorithm", "strategy", "threads", "schedule", "input_file").agg(
+        F.count("*").alias("n"), F.count("nsamples").alias("n_sampled"), ticks.alias("sum_ticks"))
+
+
+@query
+def variant_runs(spark, sf_dir):
+    """Thread-run documents of one file each, some with other packages, odd types or broken off; the last are reported."""
+    folder = _folder(spark, "runs")
+    rows = views.results(spark, sf_dir).where("l_orderkey % 97 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "threads", "algorithm", "strategy")
+    body = F.to_json(F.struct(
+        F.lit(True).alias("success"), "algorithm", "strategy", F.col("threads").alias("julia_threads"),
+        F.map_from_arrays(F.array(F.concat(F.lit("Package"), F.col("l_suppkey") % 3)), F.array(
+            F.struct(F.concat(F.lit("0."), F.col("l_suppkey") % 5).alias("version")))).alias("packages"),
+        F.struct((F.col("l_partkey") / 8).alias("wall_time_seconds_median")).alias("summary"), F.lit(100).alias("measured_events")))
+    body = F.when(F.col("l_partkey") % 7 == 0, F.replace(body, F.lit('"measured_events":100'), F.lit('"measured_events":"many"'))).otherwise(body)
+    body = F.when(F.col("l_partkey") % 11 == 0, F.substring(body, 1, 40)).otherwise(body)
+    sinks.write_named(rows.groupBy((F.col("l_orderkey") % 50).alias("k")).agg(
+        F.min_by(body, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("value")), folder,
+        F.concat(F.lit("run-"), F.col("k"), F.lit(".json")), fmt="text", columns=["value"])
+    documents = tables.read_run_documents(spark, f"{folder}/*.json")
+    runs = tables.variant_runs(documents)
+    whole = runs.select(
+        text.basename(F.col("source_file")).alias("name"), "algorithm", "strategy", "julia_threads", "measured_events",
+        F.col("summary.wall_time_seconds_median").alias("seconds"), F.element_at(F.map_keys("package_versions"), 1).alias("package"),
+        F.element_at(F.map_values("package_versions"), 1).alias("version"), F.lit(False).alias("broken"))
+    broken = tables.broken_documents(documents).select(text.basename(F.col("source_file")).alias("name"), F.lit(True).alias("broken"))
+    return rounded(whole.unionByName(broken, allowMissingColumns=True))
+
+
+@query
+def skipped_runs(spark, sf_dir):
+    """The failed runs among thread-run documents, by file."""
+    folder = _folder(spark, "skipped")
+    rows = views.results(spark, sf_dir).groupBy((F.col("l_orderkey") % 40).alias("k")).agg(F.max("l_linenumber").alias("m"), F.count("*").alias("n"))
+    document = F.to_json(F.struct((F.col("n") % 3 != 0).alias("success"), F.col("m").alias("threads")))
+    sinks.write_named(rows.select("k", document.alias("value")), folder, F.concat(F.lit("run-"), F.col("k"), F.lit(".json")),
+                      fmt="text", columns=["value"])
+    return scan.skipped_runs(tables.read_thread_runs(spark, f"{folder}/*.json")).select(text.basename(F.col("source_file")).alias("name"))

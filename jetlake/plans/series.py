@@ -13,7 +13,7 @@ def figure_series(df: DataFrame, select_by=None, split_by=(), plot_by=("code",),
                   y="time_per_event", labels=None) -> DataFrame:
     """Selected rows as points of lines in facets.
 
-    Columns: the facet keys and ``facet_no``, the line keys, ``series_no`` (its
+    Sorted by facet, line and x.  Columns: the facet keys and ``facet_no``, the line keys, ``series_no`` (its
     order within the facet) and ``series_label``, then ``x`` and ``y``.
     """
     split_by, plot_by = list(split_by), list(plot_by)
@@ -28,7 +28,7 @@ def figure_series(df: DataFrame, select_by=None, split_by=(), plot_by=("code",),
     keys = list(dict.fromkeys([*split_by, *plot_by]))
     return rows.select(
         *keys, "facet_no", (F.col("_line") - F.col("_first") + 1).cast("int").alias("series_no"),
-        label.alias("series_label"), F.col(x).alias("x"), F.col(y).alias("y"))
+        label.alias("series_label"), F.col(x).alias("x"), F.col(y).alias("y")).orderBy("facet_no", "series_no", "x")
 
 
 def scan_series(summary: DataFrame, metric="efficiency", split_by="input_file",
@@ -46,11 +46,12 @@ def scan_series(summary: DataFrame, metric="efficiency", split_by="input_file",
     lines = summary.select(
         shown.alias("split"), text.row_label(summary, group).alias("series"),
         F.col("threads"), F.col(column).alias("value"))
+    in_order = ["split", "series", "threads"]  # the points of a line by their threads
     if not ideal or metric == "throughput":
-        return lines
+        return lines.orderBy(*in_order)
     y = F.col("threads").cast("double") if metric == "speedup" else F.lit(1.0)
     reference = lines.select("split", F.lit("ideal").alias("series"), "threads").distinct().withColumn("value", y)
-    return lines.unionByName(reference)
+    return lines.unionByName(reference).orderBy(*in_order)
 
 
 def radius_scan(df: DataFrame, algorithms=None, strategies=None) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jetlake.operators import events as ev
+from jetlake.operators.grouping import checked_broadcast, fixed
+from jetlake.sources import tables
 
 END_MARK = "-END_EVENT_LISTING"
 # Token positions (from 0) in a particle line.
@@ -84,3 +86,33 @@ def read_particles(spark, path, keys=("event",), order="idx", max_events=None, f
         wanted = ev.event_window(particles.select(*files, "event").distinct(), max_events, keys=files)
         particles = particles.join(wanted, [*files, "event"], "left_semi").drop("_all")
     return ev.assemble_events(particles, list(keys), order)
+
+
+def read_manifest_events(spark, manifest, max_events=None, skip_events=0, final_only=True, buckets=None) -> DataFrame:
+    """The events of all files of a manifest, each with its file's row: ``listed_file``, mean_particles, File_path.
+
+    ``manifest`` is a CSV or a list of event files (``tables.read_manifest``).  With
+    ``buckets`` the events are spread over so many tasks by the cost of clustering
+    them.  A file that the manifest lists twice is read once.
+    """
+    # A name of its own, as ``file`` is the path that was read.
+    listed = fixed(tables.read_manifest(spark, manifest).withColumnRenamed("File", "listed_file").dropDuplicates(["File_path"]))
+    paths = [row.File_path for row in listed.select("File_path").collect()]  # the reader's list of files
+    if not paths:
+        raise ValueError("the manifest lists no files")
+    events = read_hepmc3(spark, paths, max_events, skip_events, final_only)
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(
+        spark.sparkContext._jsc.hadoopConfiguration()).getWorkingDirectory().toUri().getPath()
+    known = checked_broadcast(listed.withColumn("_path", _bare_path(F.col("File_path"), here)))
+    joined = events.withColumn("_path", F.url_decode(F.replace(_bare_path(F.col("file"), here), F.lit("+"), F.lit("%2B"))))
+    joined = joined.join(known, "_path", "left")
+    lost = F.raise_error(F.concat(F.lit("file is not in the manifest: "), F.col("_path")))
+    joined = joined.withColumn("File_path", F.coalesce("File_path", lost.cast("string"))).drop("_path")
+    return ev.placed_by_cost(joined, buckets) if buckets else joined
+
+
+def _bare_path(path, here):
+    """A full path without scheme and authority."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    full = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit(f"{here}/"), bare))
+    return F.regexp_replace(full, r"/(\.?/)+", "/")

@@ -1,8 +1,12 @@
 """Writers.  Tables are written in parallel, as directories."""
 
+import urllib.parse
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jetlake.operators import events as ev
 from jetlake.operators import selection
 
 RUN_COLUMNS = ("code", "algorithm", "strategy", "radius", "power")
@@ -37,9 +41,52 @@ def write_jet_documents(selected: DataFrame, path, keep_empty=True, mode="errori
 
 
 def write_jet_dump(selected: DataFrame, path, mode="errorifexists"):
-    """Text dump of the jets of every event; events keep their order inside a part."""
-    ordered = selected.sortWithinPartitions(*[c for c in ("file", "event") if c in selected.columns])
-    selection.format_jet_dump(ordered).select("value").write.mode(mode).text(path)
+    """Text dump of the jets of every event by its processed position, counted from 1 in its file.
+
+    The parts are ranges of files and positions, so read in the order of their
+    names they give all events in order.
+    """
+    files = [c for c in ("file",) if c in selected.columns]
+    keyed = selected if files else selected.withColumn("_all", F.lit(0))
+    placed = ev.event_positions(keyed, files or ["_all"])
+    ordered = placed.repartitionByRange(*files, "position").sortWithinPartitions(*files, "position")
+    selection.format_jet_dump(ordered, "position").select("value").write.mode(mode).text(path)
+
+
+def write_named(df: DataFrame, folder: str, name: Column, fmt="csv", order=(), columns=None):
+    """One file per value of ``name`` in ``folder``, under that very name (see ``run_name``).
+
+    Rows are sorted by ``order`` inside a file; ``columns`` are written, all unless named.
+
+    All files are written aside first by Spark's own committer, so a failed task or
+    run leaves nothing under a final name; the driver then renames them, one call
+    a file.  A name that is taken is an error before anything is renamed.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    aside = path(f"{folder}/.{uuid.uuid4().hex}")
+    files = aside.getFileSystem(conf)
+    try:
+        rows = df.withColumn("_name", name)
+        rows = rows.repartition("_name").sortWithinPartitions("_name", *order).select("_name", *(columns or df.columns))
+        options = {"header": True} if fmt == "csv" else {}
+        rows.write.partitionBy("_name").format(fmt).options(**options).save(aside.toString())
+        moves = []
+        for status in files.globStatus(path(f"{aside.toString()}/_name=*/part-*")) or []:
+            source = status.getPath()
+            final = urllib.parse.unquote(source.getParent().getName().removeprefix("_name="))
+            moves.append((source, path(f"{folder}/{final}")))
+        taken = [target.getName() for _, target in moves if files.exists(target)]
+        if taken or len({target.getName() for _, target in moves}) < len(moves):
+            raise FileExistsError(f"names taken in {folder}: {', '.join(taken[:5])}")
+        for done, (source, target) in enumerate(moves):
+            if not files.rename(source, target):
+                for _, earlier in moves[:done]:
+                    files.delete(earlier, False)
+                raise OSError(f"cannot rename to {target.getName()}")
+    finally:
+        files.delete(aside, True)
 
 
 def write_thread_runs(runs: DataFrame, path, mode="errorifexists"):

@@ -555,6 +555,30 @@ def scalar_queries():
     }
 
 
+def file_queries():
+    r = f"({views.RESULTS}) r"
+    seconds = "CASE WHEN l_suppkey % 2 = 0 THEN 'events-small.hepmc3' ELSE 'events-large.hepmc3' END"
+    source = f"CASE WHEN code = '{CODES[4]}' THEN File_path ELSE {seconds} END"
+    body = """SELECT *, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place
+  FROM {r} WHERE l_orderkey % 97 = 1""".format(r=r)
+    good = "CASE WHEN l_partkey % 11 <> 0 THEN {} END"
+    return {
+        "manifest_events": f"""WITH p AS (SELECT event, count(*) FILTER (status = 1) AS n,
+    row_number() OVER (PARTITION BY event % 5 ORDER BY event) AS place FROM ({NUMBERED}) q GROUP BY event)
+SELECT 'run-' || (event % 5) || '.hepmc3' AS File, count(*) AS listed, count(*) FILTER (place > 3) AS n_events,
+  CAST(sum(n) FILTER (place > 3) AS BIGINT) AS n_particles, max(event) AS last_event FROM p GROUP BY 1""",
+        "scan_files": f"""SELECT code, algorithm, strategy, threads, {SCHEDULE} AS schedule, {source} AS input_file,
+  count(*) AS n, count(n_samples) AS n_sampled, CAST(sum(CAST(round(time_per_event * 10000) AS BIGINT)) AS BIGINT) AS sum_ticks
+FROM (SELECT * REPLACE (CASE WHEN code = '{CODES[1]}' THEN schedule ELSE '' END AS schedule) FROM {r}) q GROUP BY ALL""",
+        "variant_runs": f"""SELECT 'run-' || (l_orderkey % 50) || '.json' AS name, {good.format('algorithm')} AS algorithm,
+  {good.format('strategy')} AS strategy, {good.format('threads')} AS julia_threads,
+  CASE WHEN l_partkey % 11 <> 0 AND l_partkey % 7 <> 0 THEN 100 END AS measured_events,
+  {good.format('round(l_partkey / CAST(8 AS DOUBLE), 5) + 0.0')} AS seconds, {good.format("'Package' || (l_suppkey % 3)")} AS package,
+  {good.format("'0.' || (l_suppkey % 5)")} AS version, l_partkey % 11 = 0 AS broken FROM ({body}) b WHERE place = 1""",
+        "skipped_runs": f"SELECT 'run-' || (l_orderkey % 40) || '.json' AS name FROM {r} GROUP BY l_orderkey % 40 HAVING count(*) % 3 = 0",
+    }
+
+
 def all_queries() -> dict[str, str]:
     return {**clustering_queries(), **event_queries(), **trial_queries(), **scan_queries(),
-            **result_queries(), **figure_queries(), **scalar_queries()}
+            **result_queries(), **figure_queries(), **scalar_queries(), **file_queries()}

@@ -202,3 +202,104 @@ def test_files_that_keep_arriving(spark, hepmc, tmp_path):
     run.awaitTermination(120)
     batch = clustering.inclusive_jets(event_files.read_hepmc3(spark, str(hepmc)), ptmin=1.0)
     assert spark.table("arriving_jets").exceptAll(batch).count() == 0 and spark.table("arriving_jets").count() == 6
+
+
+def test_many_files_of_many_layouts_in_one_scan(spark, tmp_path):
+    """2,000 files of four layouts, quoted fields and blank lines: one scan, headers by path."""
+    layouts = [["File", "code", "threads"], ["threads", "File", "code", "schedule"], ["code", " threads ", "File"], ["note", "File", "threads", "code"]]
+    want = []
+    for n in range(2000):
+        layout = layouts[n % 4]
+        rows = [{"File": f"f{n}", "code": f'a, "b" {k}', "threads": str(k), "schedule": "", "note": "x"} for k in range(1, n % 3 + 1)]
+        text = "\n".join([",".join(layout), "", *(",".join('"' + r[c.strip()].replace('"', '\\"') + '"' for c in layout) for r in rows)])
+        (tmp_path / f"{n}.csv").write_text(("\ufeff" if n % 5 == 0 else "") + text + ("\n" if n % 2 else ""))
+        want += [(r["File"], r["code"], int(r["threads"])) for r in rows]
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    got = tables.read_results(spark, [str(tmp_path / f"{n}.csv") for n in range(2000)])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 20
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert set(got.columns) == {"File", "code", "threads", "schedule", "note"}
+    assert sorted((r.File, r.code, r.threads) for r in got.collect()) == sorted(want)
+
+
+def test_csv_rows_name_the_file_at_fault(spark, tmp_path):
+    head = "File,time_per_event,code,algorithm,strategy,radius,power,threads"
+    (tmp_path / "good.csv").write_text(f"{head}\nf,10,Fastjet,CA,Best,0.4,0,1\n")
+    (tmp_path / "bad.csv").write_text(f"{head.replace('radius,', '')}\nf,10,Fastjet,CA,Best,0,1\n")
+    (tmp_path / "none.csv").write_text(f"{head.replace('File,', '')}\n10,Fastjet,CA,Best,0.4,0,1\n")
+    paths = [str(tmp_path / f"{n}.csv") for n in ("good", "bad", "none")]
+    assert scan.read_scan(spark, paths[:1]).count() == 1
+    for at, text in ((1, "bad.csv lacks column.* radius"), (2, "none.csv names no input file")):
+        with pytest.raises(Exception, match=text):
+            scan.read_scan(spark, [paths[0], paths[at]]).collect()
+
+
+def test_manifest_events_in_balanced_tasks(spark, tmp_path):
+    """One file of a few very busy events among quiet ones: tasks of about equal cost, every event once, with its row."""
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    quiet = {n: [(211, 1.0, 1.0, 2.0, 5.0, 1)] * (n % 7 + 1) for n in range(400)}
+    busy = {n: [(211, 1.0, 1.0, 2.0, 5.0, 1)] * 60 for n in range(40)}
+    for name, events in (("q.hepmc3", quiet), ("b.hepmc3", busy)):
+        (folder / name).write_text(HEAD + "".join(hepmc_event(n, p) for n, p in events.items()) + END)
+    (folder / "m.csv").write_text("File,mean_particles\nq.hepmc3, 4\nb.hepmc3, 60\nq.hepmc3, 4\n")
+    events = event_files.read_manifest_events(spark, str(folder / "m.csv"), buckets=8)
+    rows = events.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.listed_file, r.event, len(r.particles), r.mean_particles) for r in rows) == sorted(
+        [("q.hepmc3", n, len(p), 4.0) for n, p in quiet.items()] + [("b.hepmc3", n, 60, 60.0) for n in busy])
+    cost = {}
+    for r in rows:
+        cost[r.task] = cost.get(r.task, 0) + len(r.particles) ** 2
+    assert len(cost) == 8 and max(cost.values()) < 2 * sum(cost.values()) / 8
+    with pytest.raises(ValueError, match="no files"):
+        (folder / "e.csv").write_text("File,mean_particles\n")
+        event_files.read_manifest_events(spark, str(folder / "e.csv"))
+
+
+def test_named_outputs(spark, tmp_path):
+    names = ("code", "code_version", "algorithm", "strategy", "radius", "power", "backend", "backend_version", "threads", "schedule")
+    df = spark.createDataFrame(
+        [("Fastjet", "1.0", "CA", "Best", 0.4, 0.0, "C++", "a/b=c", 1, None, 1.5), ("Fastjet", "1.0", "CA", "Best", 0.4, 0.0, "C++", "x", 4, "static", 2.5)] * 3,
+        ", ".join(f"{n} {'double' if n in ('radius', 'power') else 'int' if n == 'threads' else 'string'}" for n in names) + ", t double")
+    plain = F.replace(sinks.run_name(), F.lit("/"), F.lit("_"))
+    sinks.write_named(df, str(tmp_path / "out"), plain, columns=["t", "threads"])
+    found = {p.name: p.read_text() for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")}
+    assert found == {"Fastjet_1.0_CA_Best_R0.4_P0.0_C++_a_b=c.csv": "t,threads\n" + "1.5,1\n" * 3,
+                     "Fastjet_1.0_CA_Best_R0.4_P0.0_C++_x_T4_static.csv": "t,threads\n" + "2.5,4\n" * 3}
+    with pytest.raises(FileExistsError):
+        sinks.write_named(df, str(tmp_path / "out"), plain)
+    # A task that fails leaves nothing behind, the files of other tasks included.
+    broken = df.withColumn("t", F.when(F.col("threads") == 4, F.raise_error(F.lit("broken row")).cast("double")).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="broken row"):
+        sinks.write_named(broken, str(tmp_path / "failed"), plain)
+    assert not (tmp_path / "failed").exists() or not list((tmp_path / "failed").iterdir())
+
+
+def test_dump_by_processed_position(spark, tmp_path):
+    jets = "file string, event bigint, jets array<struct<px:double,py:double,pz:double,e:double>>"
+    rows = [("a", e, [(float(e), 0.0, 0.0, float(e))]) for e in (90, 7, 1000)] + [("b", 5, []), ("b", 2, [(1.0, 0.0, 0.0, 1.0)])]
+    sinks.write_jet_dump(spark.createDataFrame(rows, jets), str(tmp_path / "dump"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "dump").glob("part-*")))
+    shown = [line.split()[-1] if line.startswith("Jets") else round(float(line.split()[-1])) for line in text.splitlines()]
+    assert shown == ["1", 7, "2", 90, "3", 1000, "1", 1, "2"]
+
+
+def test_documents_without_a_schema(spark, tmp_path):
+    whole = run_document(2, 1.25)
+    odd = {**whole, "packages": {"OtherPackage": {"version": "9.9", "extra": [1, 2]}, "Third": {"version": "0.1"}},
+           "measured_events": "many", "summary": {"wall_time_seconds_median": 3.5}, "surprise": {"deep": [1]}}
+    for name, text in {"whole": json.dumps(whole, indent=2), "odd": json.dumps(odd), "broken": '{"success": tru', "empty": ""}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    documents = tables.read_run_documents(spark, str(tmp_path / "*.json"))
+    runs = {r.source_file.rsplit("/", 1)[-1]: r for r in tables.variant_runs(documents).collect()}
+    assert set(runs) == {"whole.json", "odd.json"}
+    assert runs["odd.json"].measured_events is None and runs["odd.json"].summary.wall_time_seconds_median == 3.5
+    assert runs["odd.json"].package_versions == {"OtherPackage": "9.9", "Third": "0.1"}
+    assert runs["whole.json"].samples[0].wall_time_seconds == 1.25 and runs["whole.json"].package_versions == {CODES[0]: "0.4.3"}
+    broken = {r.source_file.rsplit("/", 1)[-1]: (r.n_chars, r.begins) for r in tables.broken_documents(documents).collect()}
+    assert broken["broken.json"] == (15, '{"success": tru')
+    strict = tables.read_thread_runs(spark, str(tmp_path / "whole.json"))
+    same = tables.variant_runs(documents).where("source_file LIKE '%whole.json'").select(strict.columns)
+    assert same.drop("source_file").collect() == strict.drop("source_file").collect()
+    rows = scan.json_rows(tables.variant_runs(documents).withColumn("_order", F.lit(0)))
+    assert rows.count() == 2

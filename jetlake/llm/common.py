@@ -67,6 +67,14 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {column.lower() for column in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Whole texts of a batch, null as empty."""
     return [text or "" for text in batch.column(name).to_pylist()]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jetlake.llm.common import mixed, shingle_hashes, shingle_set, slices, small, staged, texts_of, word_hashes
+from jetlake.llm.common import free_name, mixed, shingle_hashes, shingle_set, slices, small, staged, texts_of, word_hashes
 
 HASHES, LEAST, PERCENT = 64, 16, 80
 BLOCK_CHARS = 16_000_000
@@ -151,8 +151,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that contain no item; columns as they came, rows without id stay."""
-    leaks = staged(contained_items(docs, benchmark, percent).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(small(leaks), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    name = free_name(docs, "leak_id")
+    leaks = staged(contained_items(docs, benchmark, percent).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(small(leaks), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

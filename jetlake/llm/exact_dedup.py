@@ -25,7 +25,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jetlake.llm.common import columns, has_file_position, new_folder, small, staged
+from jetlake.llm.common import columns, free_name, has_file_position, new_folder, small, staged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DIGESTS = "doc_id long, chars int, digest binary, file string, row long"
@@ -127,9 +127,10 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that stay, all columns as they came."""
     names = docs.columns
     docs = docs if has_file_position(docs) else staged(docs, "texts")
-    stays = deduplicate(docs).where("kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    located = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return located.join(small(staged(stays, "kept")), ["__file", "__row"], "left_semi").select(*names)
+    file, row = free_name(docs, "kept_file"), free_name(docs, "kept_row")
+    stays = deduplicate(docs).where("kept").select(F.col("file").alias(file), F.col("row").alias(row))
+    located = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return located.join(small(staged(stays, "kept")), [file, row], "left_semi").select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

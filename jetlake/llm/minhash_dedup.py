@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jetlake.llm.common import columns, long_list, mixed, shingle_set, slices, small, staged, texts_of
+from jetlake.llm.common import columns, free_name, long_list, mixed, shingle_set, slices, small, staged, texts_of
 from jetlake.llm.components import components
 
 PERMUTATIONS, BAND = 160, 4
@@ -256,8 +256,9 @@ def kept_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     At 80 % three permutations make a band: 53 bands miss a pair with probability 1e-7.
     """
-    gone = staged(near_duplicates(docs, percent, permutations=159, band=3).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    name = free_name(docs, "gone_id")
+    gone = staged(near_duplicates(docs, percent, permutations=159, band=3).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jetlake.llm.common import bounded_texts, columns, mixed, slices, small, staged, texts_of
+from jetlake.llm.common import bounded_texts, columns, free_name, mixed, slices, small, staged, texts_of
 
 HISTORY = 5
 DISCOUNT = 0.75
 DEAD_ZONE = 3.0
 CURVE_ROWS = 20_000
+HELD = 400_000  # symbols that a worker counts at once
 
 _LETTERS = np.array([chr(code).isalpha() for code in range(0xD800)])
 _WEIGHTS = mixed(np.arange(1, HISTORY + 3, dtype=np.uint64)) | np.uint64(1)
@@ -102,7 +103,7 @@ def _counted(batches):
                 held.append((gram, history, shorter))
                 weights.append(np.full(len(gram), float(label)))
                 size += len(gram)
-        if size > 4_000_000:
+        if size > HELD:
             yield flush()
             held, weights, size = [], [], 0
     if size:
@@ -217,6 +218,11 @@ def fit_curve(values: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of ``docs`` with doc_id, held_out, score, predicted."""
+    return _scored(docs, labels)[0]
+
+
+def _scored(docs: DataFrame, labels: DataFrame):
+    """The scores and the broadcast model that they need."""
     spark = docs.sparkSession
     docs = columns(docs, "doc_id", "text")
     marks = staged(labels.where("doc_id is not null and toxic is not null")
@@ -243,14 +249,17 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.log1p(F.col("evidence") / F.lit(scale)) + F.lit(level))))
     held_out = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
     return (with_evidence(docs, trained).withColumn("score", score)
-            .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+            .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))), trained
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the model does not reject, columns as they came; rows without id stay."""
-    rejected = staged(scores(docs, labels).where("predicted = 1 and doc_id is not null")
-                      .select(F.col("doc_id").alias("__id")).distinct(), "rejected")
-    return docs.join(small(rejected), F.col("doc_id") == F.col("__id"), "left_anti")
+    scored, model = _scored(docs, labels)
+    name = free_name(docs, "rejected_id")
+    rejected = staged(scored.where("predicted = 1 and doc_id is not null")
+                      .select(F.col("doc_id").alias(name)).distinct(), "rejected")
+    model.unpersist()
+    return docs.join(small(rejected), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from jetlake.llm import centroid_clustering, merkle_manifest, url_filters
+from jetlake.llm.common import staged
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ("g", "pos", "n", "block", "leaf", "node", "part", "cluster", "v", "d", "host", "root", "verdict", "copy")
@@ -252,3 +254,17 @@ def test_no_rules_and_no_terms(spark):
     assert [r.verdict for r in url_filters.judge_urls(pages, rules=(), strict=(), soft=()).collect()] == ["allow"]
     with pytest.raises(ValueError):
         url_filters.judge_urls(pages, several=0)
+
+
+# The pipeline's stages on columns under any names
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    rows = [(k, f"text number {k} " + "word " * 30 + str(k % 3), "en", "s", 9) for k in range(12)] + [(None, None, None, None, None), (3, "", "en", "s", 0)]
+    taken = ("__id", "__file", "__row", "rejected_id", "gone_id", "leak_id", "Kept_File", "kept_row", "id", "label")
+    docs = spark.createDataFrame(rows, DOC).withColumns({name: F.lit(name) for name in taken})
+    spark.createDataFrame([(k, k % 2, k % 2) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "another text of eight words or so here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == [f.split()[0] for f in DOC.split(", ")] + list(taken)
+    assert docs.count() > 0

@@ -255,23 +255,38 @@ class Tiles:
         return per_query, cell // near.shape[1], self.members[near.reshape(-1)[cell], place]
 
 
-def _earliest(cost, look, spec):
+def _earliest(cost, mate_of, facts, spec):
     """The slot of each row's next step: of equal costs the one of least (distance, first, second).
 
-    ``look`` gives, for rows and slots: the neighbour's slot (negative for the
-    beam), and for rows and slots weight, reach and name.
+    ``mate_of`` gives the neighbour's slot for rows and slots (negative for the
+    beam), ``facts`` their weight, reach and name.
     """
-    row, slot = np.nonzero(cost == cost.min(axis=1)[:, None])
+    if spec.power == 0:
+        # Equal weights: partners of equal cost are both in the tie, so its first slot has the least numbers.
+        return cost.argmin(axis=1)
+    row, slot = _where(cost == cost.min(axis=1)[:, None])
     if len(row) == len(cost):
         return slot
-    mate, (w, near, one) = look(row, slot)
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    counts = np.diff(starts, append=len(row))
+    chosen = slot[starts]
+    # Two slots that have each other are one step.
+    open_ = counts > 1
+    two = starts[counts == 2]
+    one = (mate_of(row[two], slot[two]) == slot[two + 1]) & (mate_of(row[two], slot[two + 1]) == slot[two])
+    open_[row[two[one]]] = False
+    if not open_.any():
+        return chosen
+    seen = open_[row]
+    row, slot = row[seen], slot[seen]
+    mate, (w, near, name) = mate_of(row, slot), facts(row, slot)
     beam = mate < 0
-    _, (mate_w, _, two) = look(row, np.where(beam, slot, mate))
+    mate_w, _, mate_name = facts(row, np.where(beam, slot, mate))
     d = np.where(beam, w, spec.scale * near * np.minimum(w, mate_w))
-    two = np.where(beam, np.inf, two)
-    order = np.lexsort((np.maximum(one, two), np.minimum(one, two), d, row))
-    starts = np.flatnonzero(np.diff(row[order], prepend=-1))
-    return slot[order[starts]]
+    mate_name = np.where(beam, np.inf, mate_name)
+    order = np.lexsort((np.maximum(name, mate_name), np.minimum(name, mate_name), d, row))
+    chosen[open_] = slot[order[np.flatnonzero(np.diff(row[order], prepend=-1))]]
+    return chosen
 
 
 def _tiled(start, n, spec, steps, base, total_steps):
@@ -320,15 +335,19 @@ def _tiled(start, n, spec, steps, base, total_steps):
     for part in np.array_split(ident, max(1, len(ident) // 4000)):
         settle(part, *search(part)[:2])
 
-    def look(row, slot):
+    def mate_of(row, slot):
+        mate = nn[row * span + slot]
+        return np.where(mate < 0, -1, mate - row * span)
+
+    def facts(row, slot):
         at = row * span + slot  # slots are in the order of creation, as are the names
-        return nn[at] - np.where(nn[at] < 0, 0, row * span), (weight[at], near[at], slot)
+        return weight[at], near[at], slot
 
     worst = np.zeros(events)
     for step in range(total_steps):
         k = running[step]
         r = np.arange(k)
-        i = _earliest(cost[:k, :width + step], look, spec) + r * span
+        i = _earliest(cost[:k, :width + step], mate_of, facts, spec) + r * span
         j = nn[i]
         beam = j < 0
         j = np.where(beam, i, j)
@@ -421,8 +440,8 @@ def _lockstep(start, n, spec, steps, base, total_steps):
     for step in range(total_steps):
         k, c = running[step], used
         r = rows[:k]
-        i = _earliest(state[COST, :k, :c], lambda row, slot: (
-            neighbour[row, slot].astype(np.intp), state[WEIGHT:, row, slot]), spec)
+        i = _earliest(state[COST, :k, :c], lambda row, slot: neighbour[row, slot].astype(np.intp),
+                      lambda row, slot: state[WEIGHT:, row, slot], spec)
         one = state[:, r, i]
         j = neighbour[r, i].astype(np.intp)
         beam = j < 0

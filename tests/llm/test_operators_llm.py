@@ -208,6 +208,25 @@ def test_codec_round_trip(odd, empty):
     assert sentencepiece_codec.digests(empty).count() == 0 and token_counts.token_counts(empty).count() == 0
 
 
+def test_trie_counts_equal_segmentation(spark):
+    """Shared beginnings, letters without piece, pre-tokens longer than the trie, texts cut into parts."""
+    pick = random.Random(5)
+    scores = {c: -2.0 - pick.random() for c in "abc "} | {
+        "".join(pick.choice("abc") for _ in range(pick.randrange(2, 6))): -3 - 3 * pick.random() for _ in range(60)}
+    vocabulary = unigram.Vocabulary(scores, {p: k + 256 for k, p in enumerate(scores)}, list(range(256)))
+    sizes = (1, 3, 8, token_counts.DEPTH, token_counts.DEPTH + 1, 300)
+    distinct = sorted({"".join(pick.choice("abc\u00e9\U0001F600") for _ in range(pick.choice(sizes))) for _ in range(600)})
+    trie = token_counts.Trie(vocabulary)
+    assert trie.counts(distinct) == [len(unigram.segment(u, vocabulary)) for u in distinct] and trie.counts([]) == []
+    assert trie.nodes < sum(min(len(u), token_counts.DEPTH) for u in distinct)  # beginnings are scored once
+    text = "".join(pick.choice("ab  ") for _ in range(500))
+    cut = list(token_counts.parts(text, vocabulary, 7))
+    assert len(cut) > 5 and [u for part in cut for u in unigram.units(part, vocabulary)] == unigram.units(text, vocabulary)
+    docs = spark.createDataFrame([(1, "ab" * 100_000), (2, "\u00fcber " * 50_000)], "doc_id long, text string")
+    want = {r.doc_id: r.n_tokens for r in sentencepiece_codec.digests(docs).collect()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == want
+
+
 def test_scan_equals_the_whole():
     """Transfer matrices give the score of the undivided text, with and without places that no piece crosses."""
     pick = random.Random(1)

@@ -16,7 +16,7 @@ CELL_ROWS = 65_536
 BITS = 16
 
 
-def _width(name: str, kind: DataType) -> Column:
+def byte_width(name: str, kind: DataType) -> Column:
     """About how many bytes a value takes."""
     column = F.col(f"`{name}`")
     if isinstance(kind, (StringType, BinaryType)):
@@ -33,7 +33,7 @@ def checked_broadcast(small: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROAD
     computed once, for the count; what is joined is its checkpoint.
     """
     kept = fixed(small)
-    width = reduce(lambda a, b: a + b, [_width(f.name, f.dataType) for f in kept.schema.fields])
+    width = reduce(lambda a, b: a + b, [byte_width(f.name, f.dataType) for f in kept.schema.fields])
     size = kept.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
     return F.broadcast(kept) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else kept
 

@@ -7,6 +7,8 @@ from jetlake.operators import events as ev
 from jetlake.operators.grouping import checked_broadcast, fixed
 from jetlake.sources import tables
 
+# The last part of a path.
+_LAST = r"/[^/]*$"
 END_MARK = "-END_EVENT_LISTING"
 # Token positions (from 0) in a particle line.
 TOKENS = {"barcode": (1, "int"), "vertex": (2, "int"), "pdgid": (3, "int"),
@@ -93,21 +95,29 @@ def read_manifest_events(spark, manifest, max_events=None, skip_events=0, final_
 
     ``manifest`` is a CSV or a list of event files (``tables.read_manifest``).  With
     ``buckets`` the events are spread over so many tasks by the cost of clustering
-    them.  A file that the manifest lists twice is read once.
+    them.  A file that the manifest lists twice is read once; a listed directory is one
+    file in parts (see ``sinks.write_named``).
     """
     # A name of its own, as ``file`` is the path that was read.
     listed = fixed(tables.read_manifest(spark, manifest).withColumnRenamed("File", "listed_file").dropDuplicates(["File_path"]))
     paths = [row.File_path for row in listed.select("File_path").collect()]  # the reader's list of files
     if not paths:
         raise ValueError("the manifest lists no files")
-    events = read_hepmc3(spark, paths, max_events, skip_events, final_only)
+    events = read_hepmc3(spark, paths, final_only=final_only)
     here = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(
         spark.sparkContext._jsc.hadoopConfiguration()).getWorkingDirectory().toUri().getPath()
     known = checked_broadcast(listed.withColumn("_path", _bare_path(F.col("File_path"), here)))
+    homes = known.select(F.col("_path").alias("_home"), F.struct(*listed.columns).alias("_of"))
     joined = events.withColumn("_path", F.url_decode(F.replace(_bare_path(F.col("file"), here), F.lit("+"), F.lit("%2B"))))
-    joined = joined.join(known, "_path", "left")
+    joined = joined.withColumn("_home", F.regexp_replace("_path", _LAST, "")).join(known, "_path", "left")
+    joined = joined.join(homes, "_home", "left")
+    part = F.col("File_path").isNull()
     lost = F.raise_error(F.concat(F.lit("file is not in the manifest: "), F.col("_path")))
-    joined = joined.withColumn("File_path", F.coalesce("File_path", lost.cast("string"))).drop("_path")
+    joined = joined.withColumn("file", F.when(part, F.regexp_replace("file", _LAST, "")).otherwise(F.col("file"))).withColumns({
+        c: F.when(part, F.col(f"_of.`{c}`")).otherwise(F.col(f"`{c}`")) for c in listed.columns})
+    joined = joined.withColumn("File_path", F.coalesce("File_path", lost.cast("string"))).drop("_path", "_home", "_of")
+    if max_events is not None or skip_events:
+        joined = ev.event_window(joined, max_events, skip_events)
     return ev.placed_by_cost(joined, buckets) if buckets else joined
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from jetlake.operators import events as ev
 from jetlake.operators import selection
+from jetlake.operators.grouping import byte_width
 
+# About how many bytes one task writes under one name.
+FILE_BYTES = 128 << 20
 RUN_COLUMNS = ("code", "algorithm", "strategy", "radius", "power")
 
 
@@ -53,37 +56,58 @@ def write_jet_dump(selected: DataFrame, path, mode="errorifexists"):
     selection.format_jet_dump(ordered, "position").select("value").write.mode(mode).text(path)
 
 
-def write_named(df: DataFrame, folder: str, name: Column, fmt="csv", order=(), columns=None):
+def write_named(df: DataFrame, folder: str, name: Column, fmt="csv", order=(), columns=None, file_bytes=FILE_BYTES):
     """One file per value of ``name`` in ``folder``, under that very name (see ``run_name``).
 
     Rows are sorted by ``order`` inside a file; ``columns`` are written, all unless named.
+    A name whose rows take more than ``file_bytes`` becomes a directory of that name, as
+    Spark reads it: its parts are ranges of ``order``, written by several tasks, and hold
+    the rows in order when read in the order of their names.
 
     All files are written aside first by Spark's own committer, so a failed task or
     run leaves nothing under a final name; the driver then renames them, one call
-    a file.  A name that is taken is an error before anything is renamed.
+    a name.  A name that is taken is an error before anything is renamed.
     """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     aside = path(f"{folder}/.{uuid.uuid4().hex}")
     files = aside.getFileSystem(conf)
+    columns = list(columns or df.columns)
+    rows = df.withColumn("_name", name)
+    options = {"header": True} if fmt == "csv" else {}
+
+    def write(some: DataFrame, part: str):
+        out = some.sortWithinPartitions("_name", *order).select("_name", *columns)
+        out.write.partitionBy("_name").format(fmt).options(**options).save(f"{aside.toString()}/{part}")
+
+    def moves(pattern: str, named) -> list:
+        found = [status.getPath() for status in files.globStatus(path(f"{aside.toString()}/{pattern}")) or []]
+        return [(source, path(f"{folder}/{urllib.parse.unquote(named(source).getName().removeprefix('_name='))}"))
+                for source in found]
+
     try:
-        rows = df.withColumn("_name", name)
-        rows = rows.repartition("_name").sortWithinPartitions("_name", *order).select("_name", *(columns or df.columns))
-        options = {"header": True} if fmt == "csv" else {}
-        rows.write.partitionBy("_name").format(fmt).options(**options).save(aside.toString())
-        moves = []
-        for status in files.globStatus(path(f"{aside.toString()}/_name=*/part-*")) or []:
-            source = status.getPath()
-            final = urllib.parse.unquote(source.getParent().getName().removeprefix("_name="))
-            moves.append((source, path(f"{folder}/{final}")))
-        taken = [target.getName() for _, target in moves if files.exists(target)]
-        if taken or len({target.getName() for _, target in moves}) < len(moves):
+        size = sum((byte_width(f.name, f.dataType) for f in df.schema.fields if f.name in columns), F.lit(0))
+        # As many rows as names, which the driver renames.
+        sizes = rows.groupBy("_name").agg(F.sum(size).alias("bytes")).collect()
+        large = [r for r in sizes if r["bytes"] > file_bytes and r["_name"] is not None]
+        small = rows
+        if large:
+            names = F.broadcast(spark.createDataFrame([(r["_name"],) for r in large], "_name string"))
+            ranges = list(order) or [F.xxhash64(*[F.col(f"`{c}`") for c in columns])]
+            parts = sum(-(-r["bytes"] // file_bytes) for r in large)
+            write(rows.join(names, "_name", "left_semi").repartitionByRange(parts, "_name", *ranges), "large")
+            small = rows.join(names, "_name", "left_anti")
+        if len(large) < len(sizes) or not large:
+            write(small.repartition("_name"), "small")
+        moved = moves("small/_name=*/part-*", lambda source: source.getParent()) + moves("large/_name=*", lambda source: source)
+        taken = [target.getName() for _, target in moved if files.exists(target)]
+        if taken or len({target.getName() for _, target in moved}) < len(moved):
             raise FileExistsError(f"names taken in {folder}: {', '.join(taken[:5])}")
-        for done, (source, target) in enumerate(moves):
+        for done, (source, target) in enumerate(moved):
             if not files.rename(source, target):
-                for _, earlier in moves[:done]:
-                    files.delete(earlier, False)
+                for _, earlier in moved[:done]:
+                    files.delete(earlier, True)
                 raise OSError(f"cannot rename to {target.getName()}")
     finally:
         files.delete(aside, True)

@@ -275,6 +275,27 @@ def test_named_outputs(spark, tmp_path):
     assert not (tmp_path / "failed").exists() or not list((tmp_path / "failed").iterdir())
 
 
+def test_large_named_outputs_are_directories(spark, tmp_path):
+    """A name with many rows is written by many tasks, its parts in order; a listed directory is read as one file."""
+    folder = str(tmp_path / "out")
+    rows = [("big.hepmc3", n, hepmc_event(n, [(211, 1.0, 1.0, 2.0, 5.0, 1)] * 3).rstrip("\n")) for n in range(600)]
+    rows += [("small.hepmc3", n, hepmc_event(n, [(211, 1.0, 1.0, 2.0, 5.0, 1)]).rstrip("\n")) for n in range(10)]
+    df = spark.createDataFrame(rows, "name string, event bigint, value string").repartition(5)
+    sinks.write_named(df, folder, F.col("name"), fmt="text", order=["event"], columns=["value"], file_bytes=10_000)
+    listed = spark.createDataFrame([("big.hepmc3", 3.0), ("small.hepmc3", 1.0)], "File string, mean_particles double")
+    sinks.write_named(listed, folder, F.lit("m.csv"))
+    assert (tmp_path / "out" / "small.hepmc3").is_file()
+    parts = sorted((tmp_path / "out" / "big.hepmc3").glob("part-*"))
+    assert len(parts) > 3 and max(p.stat().st_size for p in parts) < 40_000
+    numbers = [int(line.split()[1]) for p in parts for line in p.read_text().splitlines() if line.startswith("E ")]
+    assert numbers == list(range(600))
+    events = event_files.read_manifest_events(spark, f"{folder}/m.csv", max_events=500, skip_events=3, buckets=4)
+    found = events.collect()
+    assert sorted((r.listed_file, r.event, len(r.particles), r.mean_particles) for r in found) == sorted(
+        [("big.hepmc3", n, 3, 3.0) for n in range(3, 500)] + [("small.hepmc3", n, 1, 1.0) for n in range(3, 10)])
+    assert {r.file.rsplit("/", 1)[-1] for r in found} == {"big.hepmc3", "small.hepmc3"}
+
+
 def test_dump_by_processed_position(spark, tmp_path):
     jets = "file string, event bigint, jets array<struct<px:double,py:double,pz:double,e:double>>"
     rows = [("a", e, [(float(e), 0.0, 0.0, float(e))]) for e in (90, 7, 1000)] + [("b", 5, []), ("b", 2, [(1.0, 0.0, 0.0, 1.0)])]

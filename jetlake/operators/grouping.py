@@ -5,13 +5,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DecimalType, MapType, NumericType, StringType, StructType
 
 # Small sides are broadcast only after their size was counted.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 # Values that one task may hold to find an exact quantile.
 CELL_ROWS = 65_536
+# Tables of more than so many times that are reduced by counting before their values meet.
+CELLS = 16
 # By how many bits a cell of values, or a block of an index, is divided.
 BITS = 16
 
@@ -58,20 +60,22 @@ def quantiles(df: DataFrame, keys, values, probs, extra=(), cell_rows=CELL_ROWS,
     and the ``extra`` aggregates.  Columns of all-NULL groups are NULL.
 
     Radix selection: a wanted quantile lies in a cell of values, at first its
-    whole group.  While some wanted cell holds more than ``cell_rows`` values, all
-    are divided by the next 16 bits of the values (see ``ordered_bits``), counted
+    whole group.  While some wanted cell holds more than ``cell_rows`` values, or all
+    of them more than ``CELLS`` times that, all are divided by the next 16 bits of the values (see ``ordered_bits``), counted
     by one aggregation that reduces before its exchange.  Cells that one task may
     hold are finished from their values; after 64 bits a cell is one value.  A
     caller that knows a bound on the group size passes it as ``largest`` and saves
-    the first count.
+    the count by group.  A small table of small groups is one aggregation of its values.
     """
     keys, values, probs, extra = list(keys), list(values), list(probs), list(extra)
     if not keys:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], values, probs, extra, cell_rows, largest).drop("_all")
     if largest is None:
         groups = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-        largest = groups.agg(F.max("_rows")).first()[0] or 0
-    if largest <= cell_rows:
+        largest, total = (n or 0 for n in groups.agg(F.max("_rows"), F.sum("_rows")).first())
+    else:
+        total = df.count() if largest <= cell_rows else largest
+    if largest <= cell_rows and total <= CELLS * cell_rows:
         # Every cell is a whole group: its values meet in the aggregate.
         found = df.groupBy(*keys).agg(
             *[F.count(v).alias(f"{v}_n") for v in values],
@@ -137,20 +141,22 @@ def selected(df: DataFrame, keys, values, probs, cell_rows=CELL_ROWS) -> DataFra
     wanted = counts.select(*cell, F.explode(places).alias("rank"), F.lit(0).cast("long").alias("cell"),
                            F.lit(0).cast("long").alias("before"), F.col("total").alias("size"))
     known = 0
-    while known < 64 and (wanted.agg(F.max("size")).first()[0] or 0) > cell_rows:
-        cells = wanted.groupBy(*cell, "cell").agg(F.collect_set(F.struct("rank", "before")).alias("ranks"))
+
+    def large():
+        sizes = wanted.select(*cell, "cell", "size").distinct().agg(F.max("size"), F.sum("size")).first()
+        return (sizes[0] or 0) > cell_rows or (sizes[1] or 0) > CELLS * cell_rows
+
+    while known < 64 and large():
+        ranks = wanted.select(*cell, "cell", "rank", "before").distinct()
         inside = rows.withColumn("cell", parts(known))
         if known:
-            inside = join_on(inside, checked_broadcast(cells.drop("ranks")), [*cell, "cell"])
-        divided = (inside.withColumn("part", parts(known + BITS)).groupBy(*cell, "cell", "part")
-                   .agg(F.count("*").alias("n")).groupBy(*cell, "cell")
-                   .agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts")))
-        opened = join_on(divided, cells, [*cell, "cell"]).withColumn("r", F.explode("ranks"))
-        start = F.struct(F.lit(0).cast("long").alias("cell"), F.col("r.before").alias("before"),
-                         F.lit(0).cast("long").alias("size"))
-        hit = F.aggregate("parts", start, lambda a, p: F.when(a["before"] + a["size"] > F.col("r.rank"), a).otherwise(
-            F.struct(p["part"].alias("cell"), (a["before"] + a["size"]).alias("before"), p["n"].alias("size"))))
-        wanted = fixed(opened.select(*cell, F.col("r.rank").alias("rank"), hit.alias("h")).select(*cell, "rank", "h.*"))
+            inside = join_on(inside, checked_broadcast(ranks.select(*cell, "cell").distinct()), [*cell, "cell"])
+        divided = inside.withColumn("part", parts(known + BITS)).groupBy(*cell, "cell", "part").agg(F.count("*").alias("size"))
+        earlier = Window.partitionBy(*cell, "cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        opened = join_on(divided.withColumn("start", F.coalesce(F.sum("size").over(earlier), F.lit(0))), ranks, [*cell, "cell"])
+        start = F.col("before") + F.col("start")
+        wanted = fixed(opened.where((start <= F.col("rank")) & (F.col("rank") < start + F.col("size"))).select(
+            *cell, "rank", F.col("part").alias("cell"), start.alias("before"), "size"))
         known += BITS
     if known < 64:
         cells = wanted.select(*cell, "cell").distinct()
@@ -167,8 +173,8 @@ def selected(df: DataFrame, keys, values, probs, cell_rows=CELL_ROWS) -> DataFra
     def quantile(j, p):
         place = (F.col("total") - 1) * F.lit(float(p))
         low, high = (F.max(F.when((F.col("v") == j) & (F.col("rank") == edge(place)), F.col("x"))) for edge in (F.floor, F.ceil))
-        share = F.max(F.when(F.col("v") == j, place - F.floor(place)))
-        return F.when(low == high, low).otherwise(low + (high - low) * share)
+        above, below = (F.max(F.when(F.col("v") == j, part)) for part in (F.ceil(place) - place, place - F.floor(place)))
+        return F.when(low == high, low).otherwise(above * low + below * high)  # as the aggregate has it
 
     return at.groupBy(*keys).agg(*[
         quantile(j, p).alias(f"{v}_q{i}") for j, v in enumerate(values) for i, p in enumerate(probs)]).withColumnsRenamed(names)
@@ -180,6 +186,37 @@ def first_known(column: str, order: Column) -> Column:
     return F.min_by(F.col(column), F.when(known, order))
 
 
+def first_values(df: DataFrame, keys, columns, order, cell_rows=CELL_ROWS) -> DataFrame:
+    """Per group the first non-NULL value of each column in the order of the rows: keys and columns.
+
+    Groups without any known value have no row.
+    Rows that cannot be first are left out before whole rows are sorted: of a large
+    table those stay that have, for some column, the least first field of the order
+    among the group's known values, then the least second one, and so on.  The least
+    numbers are found by an aggregation that keeps one row a group.
+    """
+    keys, columns = list(keys), list(columns)
+    kind = df.schema[order].dataType
+    names = kind.names if isinstance(kind, StructType) else [None]
+    kinds = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind]
+    rows = df.select(*keys, order, *columns).withColumn("_open", F.array(*[F.col(c).isNotNull() for c in columns]))
+    rows = rows.where(F.exists("_open", lambda x: x))
+    for name, kind in zip(names, kinds):
+        if not isinstance(kind, NumericType) or isinstance(kind, DecimalType) or rows.limit(CELLS * cell_rows + 1).count() <= CELLS * cell_rows:
+            break
+        field = F.col(order)[name] if name else F.col(order)
+        opened = [F.get("_open", F.lit(i)) for i in range(len(columns))]
+        # In an order NULL comes before all numbers.
+        least = rows.withColumn("_field", field).groupBy(*keys).agg(*[
+            a for i, o in enumerate(opened) for a in (
+                F.min(F.when(o, F.col("_field"))).alias(f"_m{i}"), F.max(F.when(o, F.col("_field").isNull())).alias(f"_n{i}"))])
+        joined = join_on(rows.withColumn("_field", field), checked_broadcast(least), keys)
+        still = [o & F.when(F.col(f"_n{i}"), F.col("_field").isNull()).otherwise(F.col("_field").eqNullSafe(F.col(f"_m{i}")))
+                 for i, o in enumerate(opened)]
+        rows = joined.withColumn("_open", F.array(*still)).where(F.exists("_open", lambda x: x)).select(*keys, order, *columns, "_open")
+    return rows.groupBy(*keys).agg(*[first_known(c, F.col(order)).alias(c) for c in columns])
+
+
 def shared_folder(spark) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without one gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

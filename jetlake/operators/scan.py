@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from jetlake.constants import (DEFAULT_CODE, DEFAULT_JSON_BACKEND, DEFAULT_SCHEDULE, SCAN_METRICS,
                                SCAN_ROW, WORKLOAD)
 from jetlake.functions import text
-from jetlake.operators.grouping import checked_broadcast, first_known, quantiles
+from jetlake.operators.grouping import checked_broadcast, first_values, join_on, quantiles
 from jetlake.operators.results import require_columns
 from jetlake.sources import tables
 
@@ -159,8 +159,8 @@ def _absolute(path: str) -> str:
 def merge_scan(rows: DataFrame, order="_order") -> DataFrame:
     """Medians per workload, thread count and schedule; first known attributes; row counts."""
     known = [c for c in ATTRIBUTES if c in rows.columns]
-    merged = quantiles(rows, GROUP, SCAN_METRICS, [0.5], extra=[
-        *[first_known(c, F.col(order)).alias(c) for c in known], F.count("*").alias("raw_rows")])
+    merged = quantiles(rows, GROUP, SCAN_METRICS, [0.5], extra=[F.count("*").alias("raw_rows")])
+    merged = join_on(merged, first_values(rows, GROUP, known, order), GROUP, "left")
     return merged.select(
         *GROUP, *[F.col(f"{m}_q0").alias(f"{m}_median") for m in SCAN_METRICS],
         *known, "raw_rows")

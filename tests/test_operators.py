@@ -226,6 +226,21 @@ def test_quantiles_of_one_group_in_many_tasks(spark):
     assert [got[f"x_q{i}"] for i in range(len(probs))] == pytest.approx(want.tolist(), abs=1e-13) and got["x_n"] == 5_000_000
 
 
+def test_many_small_groups_are_counted_first(spark):
+    """Many groups of few rows: no task takes the values of all groups, and rows that cannot be first are not sorted."""
+    df = spark.range(6_000).select(
+        F.when(F.col("id") % 60 != 7, F.col("id") % 60).alias("k"), F.when(F.col("id") % 11 != 0, F.hash("id") % 1000 / 7).alias("x"),
+        F.struct(F.when(F.col("id") % 13 != 0, F.hash("id") % 3).alias("a"), (F.hash("id") % 1000 / 3).alias("b"), "id").alias("o"),
+        F.when(F.col("id") % 4 == 1, F.col("id").cast("string")).alias("p"), F.when(F.col("id") % 60 > 30, F.col("id")).alias("q"),
+        F.lit(None).cast("string").alias("never"))
+    want = grouping.quantiles(df, ["k"], ["x"], [0.5, 0.9])
+    got = grouping.quantiles(df, ["k"], ["x"], [0.5, 0.9], cell_rows=200)
+    assert "percentile" in want._jdf.queryExecution().toString() and "percentile" not in got._jdf.queryExecution().toString()
+    assert rows(got.select(*want.columns)) == rows(want)
+    first = grouping.first_values(df, ["k"], ["p", "q", "never"], "o", cell_rows=1)
+    assert rows(first) == rows(df.groupBy("k").agg(*[grouping.first_known(c, F.col("o")).alias(c) for c in ("p", "q", "never")]).where("p is not null or q is not null"))
+
+
 def test_ordered_bits(spark):
     """The bits of a double's size, whatever it is, and back."""
     pick = np.random.default_rng(2)

@@ -64,6 +64,10 @@ def update_state(spark: SparkSession, arrivals: str, state: str, files_per_trigg
     retained = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
     with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
                              "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+                             # the stores of an executor share so much, and none stays open when its task is done
+                             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+                             "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+                             "spark.sql.streaming.stateStore.unloadOnCommit": "true",
                              # no space is set aside in advance: many partitions then cost no more than their keys
                              "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}):
         query = (retained.writeStream.format("noop").outputMode("update").trigger(availableNow=True)

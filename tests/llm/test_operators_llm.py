@@ -497,3 +497,15 @@ def test_pipeline_stages(spark):
         "toxicity", "exact dedup", "MinHash near-dedup", "benchmark decontamination", "SentencePiece encoding and decoding"]
     result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0.6 * docs.count() < result.count() < docs.count() and "n_tokens" in result.columns
+
+
+def test_state_stores_do_not_stay_open(spark, monkeypatch):
+    """The stores of a finished stream are closed by their tasks and share a bounded cache."""
+    seen, settings = {}, exact_dedup._settings
+    monkeypatch.setattr(exact_dedup, "_settings", lambda session, **values: seen.update(values) or settings(session, **values))
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(docs).collect()}
+    assert found == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True)}
+    prefix = "spark.sql.streaming.stateStore."
+    assert seen[f"{prefix}unloadOnCommit"] == "true" and int(seen[f"{prefix}rocksdb.maxMemoryUsageMB"]) <= 128
+    assert all(spark.conf.get(key, None) is None for key in (f"{prefix}rocksdb.maxMemoryUsageMB", f"{prefix}rocksdb.writeBufferSizeMB"))

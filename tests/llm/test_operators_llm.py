@@ -155,6 +155,54 @@ def test_passages_with_an_inserted_word(spark):
     assert (2, 0) not in found  # 12 of 50 words missing: not similar enough
 
 
+def test_passages_whose_first_holder_has_less(spark):
+    rows = []
+    for n in range(40):
+        passage = words(1000 + n, 60)
+        edited = passage[:25] + ["inserted"] + passage[25:]
+        rows += [(10 * n, " ".join(words(1100 + n, 30) + passage[6:46] + words(1200 + n, 30))),  # too little of it
+                 (10 * n + 1, " ".join(words(1300 + n, 40) + passage + words(1400 + n, 20))),
+                 (10 * n + 2, " ".join(words(1500 + n, 10) + edited + words(1600 + n, 70)))]
+    found = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(10 * n + 2, 10 * n + 1) for n in range(40)}
+
+
+def test_passages_around_a_frequent_line(spark):
+    line, rows, linked = words(2000, 40), [], set()
+    for n in range(24):  # the line alone is no passage
+        rows.append((n, " ".join(words(2100 + n, 40) + line + words(2200 + n, 40))))
+    for n in range(6):  # with what surrounds it here it is one, a word of which differs
+        head, tail = words(2300 + n, 8), words(2400 + n, 8)
+        for k in range(2):
+            rows.append((100 + 2 * n + k, " ".join(words(2500 + 2 * n + k, 40) + head + line[:20 + n] + [f"edit{n}{k}"] + line[21 + n:] + tail + words(2600 + 2 * n + k, 40))))
+        linked.add((101 + 2 * n, 100 + 2 * n))
+    found = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == linked
+
+
+def test_frequent_passages_are_connected(spark):
+    passage = words(2700, 70)
+    rows = [(n, " ".join(words(2800 + n, 30) + passage[:10 + 5 * (n % 5)] + [f"edit{n % 5}"] + passage[11 + 5 * (n % 5):] + words(2900 + n, 30))) for n in range(40)]
+    rows += [(100 + n, " ".join(words(3000 + n, 30) + passage[:30] + words(3100 + n, 30))) for n in range(5)]
+    labels = list(range(105))
+    for row in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        old, new = labels[row.doc_id], labels[row.other_id]
+        labels = [new if label == old else label for label in labels]
+    assert len(set(labels[:40])) == 1 and len(set(labels[100:])) == 5 and labels[0] not in labels[100:]
+
+
+def test_prefix_of_similar_passages_meets():
+    pick = np.random.default_rng(8)
+    for _ in range(50):
+        a = pick.permutation(91)
+        b = a.copy()
+        at = int(pick.integers(0, 46))
+        b[:at], b[at + 46:] = 1000 + np.arange(at), 2000 + np.arange(45 - at)
+        b[at + pick.choice(46, 5, replace=False)] = 3000 + np.arange(5)
+        shared = [np.flatnonzero(np.isin(x, y)) for x, y in ((a, b), (b, a))]
+        assert set(substring_dedup.prefix(shared[0], a[shared[0]])) & set(substring_dedup.prefix(shared[1], b[shared[1]]))
+
+
 def test_aligned_passages_have_the_similarity():
     pick = np.random.default_rng(4)
     for size in (50, 70, 120, 300):

@@ -20,12 +20,11 @@ empty table gives an empty result; columns other than doc_id and text are not re
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jetlake.llm.common import columns, free_name, has_file_position, new_folder, small, staged
+from jetlake.llm.common import settings as _settings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DIGESTS = "doc_id long, chars int, digest binary, file string, row long"
@@ -45,18 +44,6 @@ def digest_rows(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values):
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def update_state(spark: SparkSession, arrivals: str, state: str, files_per_trigger: int = 4096) -> None:
     """Feed the digest files of the folder ``arrivals`` that the state at ``state`` has not seen yet."""
     rows = (spark.readStream.schema(DIGESTS).option("maxFilesPerTrigger", files_per_trigger).parquet(arrivals))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from jetlake.llm import (
-    chat_format, components, decontamination, exact_dedup, html_extract, minhash_dedup, pii, sentencepiece_codec,
+    chat_format, common, components, decontamination, exact_dedup, html_extract, minhash_dedup, pii, sentencepiece_codec,
     substring_dedup, token_counts, toxicity, unigram)
 from jetlake.llm.common import shingle_set, word_hashes
 
@@ -155,6 +155,12 @@ def test_passages_with_an_inserted_word(spark):
     assert (2, 0) not in found  # 12 of 50 words missing: not similar enough
 
 
+def test_staged_tables_leave_settings_as_they_were(spark):
+    before = {key: spark.conf.get(key, None) for key in common.STAGING}
+    assert common.staged(spark.range(10).repartition(3), "numbers").count() == 10
+    assert {key: spark.conf.get(key, None) for key in common.STAGING} == before
+
+
 def test_passages_whose_first_holder_has_less(spark):
     rows = []
     for n in range(40):

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,34 @@ def test_frequent_passages_are_connected(spark):
     assert len(set(labels[:40])) == 1 and len(set(labels[100:])) == 5 and labels[0] not in labels[100:]
 
 
+def test_lines_from_equal_tokens_are_those_of_each_line():
+    for seed, vocabulary in ((1, 400), (2, 40), (3, 6)):  # the last one has too many equal tokens and goes line by line
+        pick = np.random.default_rng(seed)
+        left = pick.integers(0, vocabulary, 300).astype(np.uint64)
+        right = np.concatenate([left[40:160], pick.integers(0, vocabulary, 30).astype(np.uint64), left[100:230], left[:20]])
+        right[[5, 60, 61, 200]] = 10**6
+        order, tokens = substring_dedup.by_token(left)
+        lines = substring_dedup.Lines(left, right, order, np.searchsorted(tokens, right, "left"), np.searchsorted(tokens, right, "right"))
+        assert lines.whole == (vocabulary > 6)
+        shifts, places = (v.ravel() for v in np.meshgrid(np.arange(-len(right), len(left)), np.arange(len(right))))
+        want = []
+        runs = {s: substring_dedup.shared_runs(left, right, s) for s in np.unique(shifts).tolist()}
+        for shift, place in zip(shifts.tolist(), places.tolist()):
+            want.append(next((r for r in runs[shift] if r[0] <= place < r[1]), (-1, -1)))
+        assert any(w[0] >= 0 for w in want) and list(zip(*(v.tolist() for v in lines.covering(shifts, places)))) == want
+
+
+def test_texts_of_many_pairs_are_hashed_once(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda text: hashed.append(text) or common.word_hashes(text))
+    texts = {k: " ".join(words(3300 + k, 80)) for k in range(4)}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    rows = pa.RecordBatch.from_arrays([*(pa.array(v) for v in zip(*pairs)), pa.array([[]] * len(pairs), pa.list_(pa.int64())),
+                                       *(pa.array([texts[p[k]] for p in pairs]) for k in (0, 1))], names=["a", "b", "hits", "ta", "tb"])
+    assert sum(batch.num_rows for batch in substring_dedup._verified([rows])) == 0
+    assert sorted(hashed) == sorted(texts.values())
+
+
 def test_prefix_of_similar_passages_meets():
     pick = np.random.default_rng(8)
     for _ in range(50):

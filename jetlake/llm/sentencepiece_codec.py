@@ -90,7 +90,11 @@ class Encoder:
         return sum(self.scored[u] if len(u) <= CACHED_LENGTH else forward(u, self.vocabulary)[0][-1] for u in words)
 
     def decoded(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.texts.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+        return decoded(ids, self.vocabulary)
+
+
+def decoded(ids: bytes, vocabulary: Vocabulary) -> bytes:
+    return b"".join(map(vocabulary.texts.__getitem__, np.frombuffer(ids, np.int32).tolist()))
 
 
 def cut_places(body: str, vocabulary: Vocabulary) -> tuple[int, int] | None:
@@ -247,52 +251,55 @@ def _joined(table: pa.Table) -> pa.Table:
                      "ids": pa.array([b"".join(table.column("ids").to_pylist())], pa.binary())})
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """Every row of ``docs`` with doc_id and ids, the token ids as 32-bit integers in native byte order."""
+def _encoded(docs: DataFrame, model: str, chunk: int, finished, schema: str) -> DataFrame:
+    """``finished(batches, vocabulary)`` of the batches (doc_id, ids), in the tasks that encode: one Python worker each."""
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(load(model))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ahead = vocabulary.value.longest - 1
     short = (docs.where(F.char_length("text") < chunk)
-             .mapInArrow(lambda batches: _whole(batches, vocabulary.value), "doc_id long, ids binary"))
+             .mapInArrow(lambda batches: finished(_whole(batches, vocabulary.value), vocabulary.value), schema))
     chunks = staged(docs.where(F.char_length("text") >= chunk)
                     .mapInArrow(lambda batches: _chunks(batches, chunk, ahead), _CHUNKS).repartition("id", "chunk"), "chunks")
     matrices = chunks.mapInArrow(lambda batches: _matrices(batches, vocabulary.value), "id string, chunk int, matrix binary")
     states = staged(matrices.groupBy("id").applyInArrow(_scanned, "id string, chunk int, entry int, leaving int"), "states")
     traced = (chunks.join(small(states), ["id", "chunk"])
               .mapInArrow(lambda batches: _traced(batches, vocabulary.value), "id string, doc_id long, chunk int, ids binary"))
-    long = traced.groupBy("id").applyInArrow(_joined, "doc_id long, ids binary")
+    long = traced.groupBy("id").applyInArrow(
+        lambda table: pa.Table.from_batches(finished(_joined(table).to_batches(), vocabulary.value)), schema)
     return short.unionAll(long)
 
 
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """Every row of ``docs`` with doc_id and ids, the token ids as 32-bit integers in native byte order."""
+    return _encoded(docs, model, chunk, lambda batches, _: batches, "doc_id long, ids binary")
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Every row of ``encoded`` with doc_id and the text its ids stand for."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches):
-        encoder = Encoder(vocabulary.value)
         for batch in slices(batches):
-            texts = [encoder.decoded(ids or b"")[1:].decode("utf-8", "surrogatepass") for ids in batch.column("ids").to_pylist()]
+            texts = [decoded(ids or b"", vocabulary.value)[1:].decode("utf-8", "surrogatepass") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def _digested(batches, vocabulary):
-    encoder = Encoder(vocabulary)
     for batch in slices(batches):
         ids = batch.column("ids").to_pylist()
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()),
             pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-            pa.array([hashlib.sha256(encoder.decoded(i)[1:]).hexdigest() for i in ids])],
+            pa.array([hashlib.sha256(decoded(i, vocabulary)[1:]).hexdigest() for i in ids])],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def digests(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (little-endian 32-bit ids) and decoded_sha256 (decoded text) of every row."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))
-    return encode(docs, model, chunk).mapInArrow(lambda batches: _digested(batches, vocabulary.value), _RESULT)
+    return _encoded(docs, model, chunk, _digested, _RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,6 +291,11 @@ def test_codec_round_trip(odd, empty):
     assert sentencepiece_codec.digests(empty).count() == 0 and token_counts.token_counts(empty).count() == 0
 
 
+def test_texts_are_encoded_and_digested_by_one_worker(odd, capsys):
+    sentencepiece_codec.digests(odd, chunk=300).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 2  # short texts and chunks; digests add no worker to a task
+
+
 def test_trie_counts_equal_segmentation(spark):
     """Shared beginnings, letters without piece, pre-tokens longer than the trie, texts cut into parts."""
     pick = random.Random(5)

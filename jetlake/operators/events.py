@@ -41,8 +41,8 @@ def _ranges(numbers: DataFrame, keys, range_rows) -> DataFrame:
     spread; small files need none.
     """
     shares = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
-    found = numbers.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("event", shares, 20_000).alias("_all"))
-    cuts = F.when(F.col("_n") > range_rows, F.array_distinct("_all")).otherwise(F.array().cast("array<bigint>"))
+    found = numbers.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("event", shares, 20_000).alias("_shares"))
+    cuts = F.when(F.col("_n") > range_rows, F.array_distinct("_shares")).otherwise(F.array().cast("array<bigint>"))
     return found.select(*keys, cuts.alias("_cuts"))
 
 

@@ -90,7 +90,7 @@ def csv_rows(results: DataFrame, name="results") -> DataFrame:
         for has, _ in named[1:]:
             known = known | has
         problem = F.when(F.size(lacking) > 0, F.concat(F.lit(" lacks column(s) "), F.array_join(lacking, ", "))).when(
-            ~known, F.lit(" names no input file (File_path, input_file or File)"))
+            ~known, F.lit(" names no input file column (File_path, input_file or File)"))
         checked = F.when(problem.isNull(), True).otherwise(F.raise_error(F.concat(c("source_file"), problem)).cast("boolean"))
         results = results.where(checked)
         source = F.lit(None).cast("string")
@@ -99,7 +99,7 @@ def csv_rows(results: DataFrame, name="results") -> DataFrame:
     else:
         require_columns(results, required, name)
         if not sources:
-            raise ValueError(f"{name} names no input file (File_path, input_file or File)")
+            raise ValueError(f"{name} names no input file column (File_path, input_file or File)")
         source = c(sources[0])
 
     def optional(column):

@@ -226,6 +226,32 @@ def test_texts_of_many_pairs_are_hashed_once(monkeypatch):
     assert sorted(hashed) == sorted(texts.values())
 
 
+def test_pairs_of_a_short_common_line_send_no_texts(spark, monkeypatch):
+    line, shared = words(40, 20), words(41, 60)
+    edited = shared[:30] + ["put"] + shared[30:]
+    rows = [(n, " ".join(words(300 + n, 60) + line + words(400 + n, 60))) for n in range(60)]
+    rows += [(100, " ".join(words(500, 30) + shared + words(501, 30))), (101, " ".join(words(502, 50) + edited)),
+             (102, " ".join(shared + words(503, 40))), (102, " ".join(shared + words(503, 40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, verified = [], substring_dedup.verified
+    monkeypatch.setattr(substring_dedup, "verified", lambda docs, pairs: sent.append(
+        {(r.a, r.b) for r in pairs.select("a", "b").collect()}) or verified(docs, pairs))
+    monkeypatch.setattr(substring_dedup, "PART_MEMBERS", 1)
+    found = {(r.other_id, r.doc_id) for r in substring_dedup.shared_passages(docs).collect()}
+    assert found == {(100, 101), (100, 102), (101, 102)}
+    assert sent[0] == found and all(not pairs for pairs in sent[1:])
+
+
+def test_common_tokens_around_windows_keep_pairs():
+    batch = lambda a, b: pa.RecordBatch.from_pylist(
+        [{"a": n, "b": n + 1, "regions": [{"ta": x.tobytes(), "tb": y.tobytes()} for x, y in zip(a, b)]} for n in range(3)],
+        pa.schema([("a", pa.int64()), ("b", pa.int64()), ("regions", pa.list_(pa.struct([("ta", pa.binary()), ("tb", pa.binary())])))]))
+    one, other = np.arange(41, dtype=np.uint16), np.arange(100, 150, dtype=np.uint16)
+    rows = lambda a, b: [r.num_rows for r in substring_dedup._likely([batch(a, b), batch(a, b).slice(1)])]
+    assert rows([one], [one]) == [3, 2] and rows([one], [one[:40]]) == [0, 0] and rows([one], [other]) == [0, 0]
+    assert rows([one[:20], one[20:]], [other, one]) == [3, 2]  # a passage may lie across two windows
+
+
 def test_prefix_of_similar_passages_meets():
     pick = np.random.default_rng(8)
     for _ in range(50):

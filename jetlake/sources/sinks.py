@@ -46,14 +46,14 @@ def write_jet_documents(selected: DataFrame, path, keep_empty=True, mode="errori
 def write_jet_dump(selected: DataFrame, path, mode="errorifexists"):
     """Text dump of the jets of every event by its processed position, counted from 1 in its file.
 
+    A table without a file column has no such position and keeps its event numbers.
     The parts are ranges of files and positions, so read in the order of their
     names they give all events in order.
     """
-    files = [c for c in ("file",) if c in selected.columns]
-    keyed = selected if files else selected.withColumn("_all", F.lit(0))
-    placed = ev.event_positions(keyed, files or ["_all"])
-    ordered = placed.repartitionByRange(*files, "position").sortWithinPartitions(*files, "position")
-    selection.format_jet_dump(ordered, "position").select("value").write.mode(mode).text(path)
+    by_file = "file" in selected.columns
+    placed, order = (ev.event_positions(selected), ["file", "position"]) if by_file else (selected, ["event"])
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    selection.format_jet_dump(ordered, order[-1]).select("value").write.mode(mode).text(path)
 
 
 def write_named(df: DataFrame, folder: str, name: Column, fmt="csv", order=(), columns=None, file_bytes=FILE_BYTES):

@@ -243,13 +243,18 @@ def test_pairs_of_a_short_common_line_send_no_texts(spark, monkeypatch):
 
 
 def test_common_tokens_around_windows_keep_pairs():
-    batch = lambda a, b: pa.RecordBatch.from_pylist(
-        [{"a": n, "b": n + 1, "regions": [{"ta": x.tobytes(), "tb": y.tobytes()} for x, y in zip(a, b)]} for n in range(3)],
-        pa.schema([("a", pa.int64()), ("b", pa.int64()), ("regions", pa.list_(pa.struct([("ta", pa.binary()), ("tb", pa.binary())])))]))
+    side = pa.list_(pa.struct([(name, pa.binary()) for name in ("ta", "tb", "rb")]))
+
+    def kept(*hits):
+        hits = [{"ta": a.tobytes(), "tb": b.tobytes(), "rb": np.array([place, len(b)], np.int32).tobytes()} for a, b, place in hits]
+        batch = pa.RecordBatch.from_pylist([{"a": n, "b": n + 1, "regions": hits} for n in range(3)],
+                                           pa.schema([("a", pa.int64()), ("b", pa.int64()), ("regions", side)]))
+        return [r.num_rows for r in substring_dedup._likely([batch, batch.slice(1)])]
     one, other = np.arange(41, dtype=np.uint16), np.arange(100, 150, dtype=np.uint16)
-    rows = lambda a, b: [r.num_rows for r in substring_dedup._likely([batch(a, b), batch(a, b).slice(1)])]
-    assert rows([one], [one]) == [3, 2] and rows([one], [one[:40]]) == [0, 0] and rows([one], [other]) == [0, 0]
-    assert rows([one[:20], one[20:]], [other, one]) == [3, 2]  # a passage may lie across two windows
+    assert kept((one, one, 7)) == [3, 2] and kept((one, one[:40], 7)) == [0, 0] and kept((one, other, 7)) == [0, 0]
+    assert kept((one[:20], other, 300), (one[20:], one, 7)) == [3, 2]  # a passage may lie across two windows
+    assert kept((one, one[:40], 7), (one, one[:40], 7)) == [0, 0]  # a place counts once
+    assert kept((one, one[:40], 7), (one, one[:40], 8)) == [3, 2]
 
 
 def test_prefix_of_similar_passages_meets():

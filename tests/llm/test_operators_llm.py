@@ -226,6 +226,17 @@ def test_texts_of_many_pairs_are_hashed_once(monkeypatch):
     assert sorted(hashed) == sorted(texts.values())
 
 
+def test_labels_after_further_links(spark):
+    pick = random.Random(8)
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    rows = [(pick.randrange(80), pick.randrange(80)) for _ in range(50)]
+    labels = components.components(links(rows[:25]))
+    for low, high in ((25, 40), (40, 50)):
+        labels = components.merged(labels, links(rows[low:high]))
+        assert sorted(labels.collect()) == sorted(components.components(links(rows[:high])).collect())
+    assert sorted(components.merged(labels, links([])).collect()) == sorted(labels.collect())
+
+
 def test_pairs_of_a_short_common_line_send_no_texts(spark, monkeypatch):
     line, shared = words(40, 20), words(41, 60)
     edited = shared[:30] + ["put"] + shared[30:]

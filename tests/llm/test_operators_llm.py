@@ -486,6 +486,32 @@ def test_semi_markov_against_enumeration():
     assert model.best(text, atoms) == max(all_paths(len(atoms)), key=lambda x: x[0])[1]
 
 
+def test_pii_regions_are_whole():
+    card, model = "4539 5787 6362 1486", pii.SemiMarkov({(3, "checkTrue"): 1.0, (3, "groups4"): 1.0, (3, "ends-digit"): -2.0, (3, "endsdigit-"): -2.0})
+    for before, after in (("7 " * 29, " 7" * 90), ("x" * 300 + "-", "-7" * 9), ("x-" * 119, "-" * 300), ("8 " * 500, "")):
+        text = before + card + after  # across 60 and 240 atoms, behind 300 characters without a digit, in a region of 1,000 atoms
+        (_, atoms), = pii.regions(text)
+        assert atoms[0][0] == 0 and atoms[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(atoms, atoms[1:]))
+        assert (len(before), 2, len(before) + len(card)) in pii.added_spans(text, [], model)
+    assert pii.regions("no such words " * 30 + "x" * 500) == []
+    assert [start for start, _ in pii.regions("a b1 c@  d2 e\t3")] == [2, 9, 14]
+    assert len(pii.regions("x" * 300_000 + "1 " * 100_000)[0][1]) == 200_001  # linear
+    gold = [(55, 62, 3), (118, 130, 3), (356, 368, 1), (700, 714, 2)]
+    for text in ("7 " * 400, "7-" * 400):
+        (_, atoms), = pii.regions(text)
+        parts = list(pii.pieces(text, atoms, gold))
+        assert [a for part, _ in parts for a in part] == atoms and sum(len(spans) for _, spans in parts) == len(gold)
+        assert all((240 if "-" in text else 60) <= len(part) < (260 if "-" in text else 80) for part, _ in parts[:-1])
+
+
+def test_pii_field_finds_what_lies_deep_in_a_word(spark):
+    card = "4539578763621486"
+    texts = [f"pay ,{card}, now {k}" for k in range(30)]
+    texts.append("," * 300 + f"{card} 4539578763621487 end")  # the pattern takes both as one and drops it
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[30].n_card == 0 and rows[30].spans.split(",")[0] == "card:300:316"
+
+
 def test_toxicity_counts_all_training_rows_apart(spark):
     pick = np.random.default_rng(8)
     many = pick.integers(0, 2**64, 300_000, dtype=np.uint64)

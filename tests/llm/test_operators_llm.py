@@ -226,6 +226,65 @@ def test_texts_of_many_pairs_are_hashed_once(monkeypatch):
     assert sorted(hashed) == sorted(texts.values())
 
 
+def test_words_of_many_texts_are_hashed_together():
+    pick = random.Random(5)
+    texts = ["", " ", "a", "A\x0bB\x0c\x1c c\x85d e", "\udcff q", " ".join("k" * n for n in range(70))]
+    texts += ["".join(pick.choice("aB \n\té日\x00\x08\x0e") for _ in range(pick.randrange(90))) for _ in range(500)]
+    hashes, counts = common.joined_word_hashes(texts)
+    want = [common.word_hashes(text) for text in texts]
+    assert counts.tolist() == [len(w) for w in want] and (hashes == np.concatenate(want)).all()
+    tokens, sizes = substring_dedup.joined_tokens(texts)
+    want = [common.shingle_hashes(w) if len(w) >= 5 else w[:0] for w in want]
+    assert sizes.tolist() == [len(w) for w in want] and (tokens == np.concatenate(want)).all()
+    assert [len(part) for part in (*common.joined_word_hashes([]), *substring_dedup.joined_tokens(["a", ""]))] == [0, 0, 0, 2]
+
+
+def test_windows_of_joined_texts_are_those_of_each():
+    pick = np.random.default_rng(1)
+    for top in (4, 30, 2**60):
+        sizes = np.array([0, 3, 60, 9, 10, 11, 0, 200, 1])
+        values = pick.integers(0, top, sizes.sum()).astype(np.uint64)
+        first, want = np.cumsum(sizes) - sizes, []
+        for start, size in zip(first.tolist(), sizes.tolist()):
+            want += [tuple(start + x for x in window) for window in substring_dedup.compact_windows(values[start:start + size], 10)]
+        assert sorted(zip(*(v.tolist() for v in substring_dedup.windows_of(values, sizes, 10)))) == sorted(want)
+
+
+def test_hits_of_a_slice_are_its_own():
+    window = pa.list_(pa.struct([(name, pa.int32()) for name in "clr"]))
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("many", pa.bool_()), ("wa", window), ("wb", window)]))
+    side = lambda n: [{"c": n + k, "l": n, "r": n + 9} for k in range(1 + n % 3)]
+    lists = pa.array([[{"key": 10 * n + k, "many": k == 1, "wa": side(n), "wb": side(n + k)} for k in range(1 + n % 2)] for n in range(300)], kind)
+    whole, part = substring_dedup.Hits(lists), substring_dedup.Hits(lists.slice(130, 64))
+    assert len(part.arrays[1]) == 96 and len(part.arrays[3][1]) == sum(len(side(n)) * (1 + n % 2) for n in range(130, 194))
+    for n in range(64):
+        assert all((x == y).all() for x, y in zip(whole.of(130 + n), part.of(n)))
+
+
+def test_prefixes_are_those_of_each_member(monkeypatch):
+    pick, rows = np.random.default_rng(2), []
+    for member in range(12):  # some have places of several tokens, some too few
+        places = pick.permutation(160)[:20 + 12 * member]
+        tokens = np.unique(pick.integers(-2**60, 2**60, len(places)))
+        owner = np.concatenate([np.arange(len(tokens)), pick.integers(0, len(tokens), len(places) - len(tokens))])
+        rows += [(member // 4, member, int(token), np.sort(places[owner == k]).astype(np.int32), int(pick.integers(2, 5))) for k, token in enumerate(tokens)]
+    keys = np.array([r[0] for r in rows])
+    table = pa.RecordBatch.from_arrays(
+        [pa.array(np.array([r[2] for r in rows]) ^ substring_dedup._salt(keys)), pa.array(keys), pa.array([r[1] for r in rows]),
+         pa.array([r[3].tobytes() for r in rows], pa.binary()), pa.array([r[4] for r in rows])], names=["group", "key", "doc_id", "places", "n"])
+    want = set()
+    for member in range(12):
+        own = sorted((r[4], r[2], tuple(r[3])) for r in rows if r[1] == member)
+        at = sorted((place, rank) for rank, r in enumerate(own) for place in r[2])
+        chosen = substring_dedup.prefix(*(np.array(v, np.int64) for v in zip(*at)))
+        want |= {(member, own[k][1]) for k in chosen.tolist()}
+    assert want
+    for size in (1, 300, 20_000):
+        monkeypatch.setattr(substring_dedup, "MEMBER_ROWS", size)
+        found = [r for b in substring_dedup._prefixes(table.slice(k, 7) for k in range(0, len(rows), 7)) for r in b.to_pylist()]
+        assert len(found) == len(want) and {(r["doc_id"], r["group"] ^ int(substring_dedup._salt(np.array([r["key"]]))[0])) for r in found} == want
+
+
 def test_labels_after_further_links(spark):
     pick = random.Random(8)
     links = lambda rows: spark.createDataFrame(rows, "a long, b long")
